@@ -31,7 +31,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -183,74 +182,131 @@ def _recurring(key, frame: pd.DataFrame) -> pd.DataFrame:
     gram, owner, hot = gram[order], owner[order], hot[order]
     cuts = np.append(np.flatnonzero(np.append(True, owner[1:] != owner[:-1])), len(owner)) if len(owner) else np.zeros(1, int)
     chunk = frame.chunk.to_numpy()
-    rows = [(chunk[owner[a]], key[0], 0, _zip((gram[a:b] << np.uint64(1) | hot[a:b]).tobytes())) for a, b in zip(cuts[:-1], cuts[1:])]
-    return pd.DataFrame(rows, columns=["chunk", "bucket", "kind", "blob"])
+    rows = [(chunk[owner[a]], key[0], _zip((gram[a:b] << np.uint64(1) | hot[a:b]).tobytes())) for a, b in zip(cuts[:-1], cuts[1:])]
+    return pd.DataFrame(rows, columns=["chunk", "bucket", "blob"])
 
 
-def _entries(row, answers: pd.DataFrame, width: int, bits: int):
-    """The chunk's distinct suffixes by bucket, sorted: (suffix + left part, left bytes, postings)."""
-    ids, raw, data, offsets = _opened(row)
-    known = answers[answers.kind == 0]
-    if not len(known):
-        return ids, data, offsets, {}
-    tagged = np.concatenate([np.frombuffer(_unzip(x), np.uint64) | np.uint64(b) << np.uint64(BITS + 1) for b, x in zip(known.bucket, known.blob)])
-    tagged.sort()
-    gram, anchor, first, last, doc = _anchors(data, offsets, width)
-    want = gram >> np.uint64(64 - BITS - bits)
-    at = np.minimum(np.searchsorted(tagged, want << np.uint64(1)), len(tagged) - 1)
-    take = np.flatnonzero(tagged[at] >> np.uint64(1) == want)
-    buckets: dict[int, dict] = {}
-    hot = tagged[at] & np.uint64(1) > 0
-    for b, a, lo, hi, d, h in zip((want[take] >> np.uint64(BITS)).tolist(), anchor[take].tolist(), first[take].tolist(), last[take].tolist(), doc[take].tolist(), hot[take].tolist()):
-        if h:
-            for p in range(lo, hi + 1):
-                window = raw[p : p + width]
-                buckets.setdefault(xxhash.xxh64_intdigest(window) >> (64 - bits), {}).setdefault((window, 0), []).append((d, p, p))
-        else:
-            buckets.setdefault(b, {}).setdefault((raw[a : hi + width] + raw[lo:a], a - lo), []).append((d, lo, hi))
-    return ids, data, offsets, {b: sorted((s, left, posts) for (s, left), posts in x.items()) for b, x in buckets.items()}
+def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places starts[i] to starts[i] + lengths[i], one range after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+#: Of a 64-bit word: its first n bytes.
+FIRST = np.array([0, *((1 << 64) - (1 << 64 - 8 * n) for n in range(1, 9))], np.uint64)
+
+
+def _words(words: np.ndarray, start: np.ndarray, length: np.ndarray, most: int) -> list[np.ndarray]:
+    """The strings at ``start`` as big-endian words, zeros after their ends: in the order of bytes."""
+    return [words[np.minimum(start + 8 * j, len(words) - 1)] & FIRST[np.clip(length - 8 * j, 0, 8)] for j in range(-(-most // 8))]
 
 
 def _send_runs(width: int, bits: int):
     def send(key, chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in chunk.itertuples():
-            ids, _, _, buckets = _entries(row, answers, width, bits)
-            for b, entries in buckets.items():
-                strings = [x[0] for x in entries]
-                lengths = np.array([len(x) for x in strings], np.int64)
-                grid = np.array(strings, f"S{2 * width}").view(np.uint8).reshape(len(strings), -1)
-                differ = grid[1:] != grid[:-1]
-                common = np.where(differ.any(1), differ.argmax(1), 2 * width)
-                common = np.append(0, np.minimum(common, np.minimum(lengths[1:], lengths[:-1])))
-                least = np.array([min(ids[d] for d, _, _ in x[2]) for x in entries], np.int64)
-                several = np.array([any(ids[d] != ids[x[2][0][0]] for d, _, _ in x[2]) for x in entries], np.uint8)
-                coded = b"".join(s[c:] for s, c in zip(strings, common.tolist()))
-                left = np.array([x[1] for x in entries], np.uint8)
-                out.append((b, row.chunk, len(entries), _zip(b"".join([lengths.astype(np.uint8).tobytes(), common.astype(np.uint8).tobytes(), left.tobytes(), several.tobytes(), least.tobytes(), coded]))))
+            if len(answers):
+                out += _runs(row, answers, width, bits)
         return pd.DataFrame(out, columns=["bucket", "chunk", "n", "run"])
 
     return send
 
 
-def _decode(n: int, run: bytes) -> Iterator[tuple[int, bytes, int, int, int, int]]:
-    """Entries of a front-coded run: common prefix with the one before, string, left, several, least id, place."""
-    run = _unzip(run)
-    lengths, common, left, several = (run[i * n : (i + 1) * n] for i in range(4))
-    least = np.frombuffer(run, np.int64, n, 4 * n).tolist()
-    at, last = 12 * n, b""
-    for i in range(n):
-        c = common[i]
-        end = at + lengths[i] - c
-        last = last[:c] + run[at:end]
-        at = end
-        yield c, last, left[i], several[i], least[i], i
+def _runs(row, answers: pd.DataFrame, width: int, bits: int) -> list[tuple]:
+    ids, _, data, offsets = _opened(row)
+    tagged = np.concatenate([np.frombuffer(_unzip(x), np.uint64) | np.uint64(b) << np.uint64(BITS + 1) for b, x in zip(answers.bucket, answers.blob)])
+    tagged.sort()
+    gram, anchor, first, last, doc = _anchors(data, offsets, width)
+    want = gram >> np.uint64(64 - BITS - bits)
+    at = np.minimum(np.searchsorted(tagged, want << np.uint64(1)), len(tagged) - 1)
+    known = tagged[at] >> np.uint64(1) == want
+    hot = known & (tagged[at] & np.uint64(1) > 0)
+    plain, hot = np.flatnonzero(known & ~hot), np.flatnonzero(hot)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.zeros(len(data) + 1, np.uint64)
+    for j in range(8):
+        words |= padded[j : j + len(words)].astype(np.uint64) << np.uint64(56 - 8 * j)
+    # windows of hot anchors stand alone, in buckets of their own hash
+    lone = _ragged(first[hot], last[hot] - first[hot] + 1)
+    lone_hash = np.zeros(len(lone), np.uint64)
+    for j, w in enumerate(_words(words, lone, np.full(len(lone), width), width)):
+        lone_hash = lone_hash * np.uint64(0x9E3779B97F4A7C15) + w * np.uint64(0xC2B2AE3D27D4EB4F + 2 * j)
+    bucket = np.concatenate([want[plain] >> np.uint64(BITS), mix(lone_hash) >> np.uint64(64 - bits)]).astype(np.int64)
+    lo = np.concatenate([first[plain], lone])
+    a = np.concatenate([anchor[plain], lone])
+    right = np.concatenate([last[plain], lone]) + width - a
+    left = a - lo
+    owner = ids[np.concatenate([doc[plain], np.repeat(doc[hot], last[hot] - first[hot] + 1)])]
+    suffix, before = _words(words, a, right, width), _words(words, lo, left, width - GRAM)
+    keys = [bucket, *suffix, right, *before, left]
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    heads = np.flatnonzero(new)
+    if not len(heads):
+        return []
+    least, most = np.minimum.reduceat(owner[order], heads), np.maximum.reduceat(owner[order], heads)
+    posts = lo[order].astype(np.uint32)
+    counts = np.diff(np.append(heads, len(order)))
+    top = order[heads]
+    common, open_ = np.zeros(len(top), np.int64), np.ones(max(len(top) - 1, 0), bool)
+    for w in suffix:
+        w = w[top]
+        x = w[1:] ^ w[:-1]
+        alike = np.full(len(x), 8)
+        for j in range(8):
+            alike -= x >= np.uint64(1) << np.uint64(56 - 8 * j) if j < 7 else x > 0
+        common[1:] += np.where(open_, alike, 0)
+        open_ &= x == 0
+    bucket, right, left, a, lo = bucket[top], right[top], left[top], a[top], lo[top]
+    common[1:] = np.minimum(common[1:], np.minimum(right[1:], right[:-1]))
+    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    common[cut] = 0
+    cut = np.append(cut, len(bucket))
+    ends, post_ends = np.cumsum(right - common), np.cumsum(counts)
+    coded, side = data[_ragged(a + common, right - common)], data[_ragged(lo, left)]
+    side_ends = np.cumsum(left)
+    edge = lambda sums, i: int(sums[i - 1]) if i else 0
+    out = []
+    for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        parts = [x[s:e].astype(np.uint8) for x in (right, common, left, most > least)]
+        parts += [counts[s:e].astype(np.uint32), least[s:e], posts[edge(post_ends, s) : edge(post_ends, e)], coded[edge(ends, s) : edge(ends, e)], side[edge(side_ends, s) : edge(side_ends, e)]]
+        out.append((int(bucket[s]), row.chunk, e - s, _zip(b"".join(x.tobytes() for x in parts))))
+    return out
+
+
+class _Run:
+    """A chunk's front-coded run: sorted suffixes, what stands before them, and their places in the chunk."""
+
+    def __init__(self, n: int, data: bytes):
+        self.data = data = _unzip(data)
+        self.right, self.common, self.left, self.several = (np.frombuffer(data, np.uint8, n, i * n).astype(np.int64) for i in range(4))
+        self.counts = np.frombuffer(data, np.uint32, n, 4 * n).astype(np.int64)
+        self.least = np.frombuffer(data, np.int64, n, 8 * n).tolist()
+        total = int(self.counts.sum())
+        self.posts = np.frombuffer(data, np.uint32, total, 16 * n)
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.at = 16 * n + 4 * total
+
+    def __iter__(self) -> Iterator[tuple[int, bytes, bytes, int, int, int]]:
+        """Common prefix with the one before, suffix, left part, several documents, least id, place."""
+        data, at, last = self.data, self.at, b""
+        side = at + int((self.right - self.common).sum())
+        for i, (r, c, l, several, least) in enumerate(zip(self.right.tolist(), self.common.tolist(), self.left.tolist(), self.several.tolist(), self.least)):
+            end = at + r - c
+            last = last[:c] + data[at:end]
+            at = end
+            yield c, last, data[side : side + l], several, least, i
+            side += l
 
 
 class LoserTree:
     """Merges sorted, front-coded runs.
 
-    A head is [common prefix with the last winner, string, left, ..., run]. Of two heads the one with the
+    A head is [common prefix with the last winner, suffix, left part, ..., run]. Of two heads the one with the
     longer known prefix is the lesser and nothing is compared; at equal prefixes, bytes are compared
     from there on, and the loser remembers what it has in common with the winner.
     """
@@ -287,7 +343,7 @@ class LoserTree:
             return (a, b) if i > b[0] else (b, a)
         s, t = a[1], b[1]
         if s == t:
-            if (a[2], a[-1]) > (b[2], b[-1]):
+            if a[2] > b[2] or a[2] == b[2] and a[-1] > b[-1]:
                 a, b = b, a
             b[0] = len(s)
             return a, b
@@ -315,41 +371,47 @@ class LoserTree:
 def _merge(width: int):
     def merge(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("chunk", kind="stable")
-        chunks = frame.chunk.tolist()
-        places: list[list[int]] = [[] for _ in chunks]
-        sizes: list[list[int]] = [[] for _ in chunks]
-        least: list[list[int]] = [[] for _ in chunks]
+        runs = [_Run(n, run) for n, run in zip(frame.n, frame.run)]
+        whole: list[tuple[list[int], list[int]]] = [([], []) for _ in runs]  # places and least ids
+        mixed: list[list[tuple[int, int, int, int]]] = [[] for _ in runs]  # place, first window, windows, least id
 
         def answer(classes: list[list]) -> None:
             if len(classes) == 1:
-                tables = [[min(x[4] for x in classes[0])]]
-            else:
-                seen: dict[bytes, int] = {}
-                owned = []
-                for members in classes:
-                    s, left = members[0][1], members[0][2]
-                    text = s[len(s) - left :] + s[: len(s) - left]
-                    low = min(x[4] for x in members)
-                    windows = [text[o : o + width] for o in range(len(text) - width + 1)]
-                    owned.append(windows)
-                    for w in windows:
-                        if seen.get(w, NO_ID) > low:
-                            seen[w] = low
-                tables = []
-                for windows in owned:
-                    ids = [seen.get(w, NO_ID) for w in windows]
-                    tables.append(ids[:1] if ids.count(ids[0]) == len(ids) else ids)
-            for members, ids in zip(classes, tables):
-                low = min(ids)
+                members = classes[0]
+                if len(members) == 1 and not members[0][3]:
+                    return
+                low = min([x[4] for x in members])
+                for x in members:
+                    if x[3] or low < x[4]:
+                        places, ids = whole[x[6]]
+                        places.append(x[5])
+                        ids.append(low)
+                return
+            seen: dict[bytes, int] = {}
+            owned = []
+            for members in classes:
+                text = members[0][2] + members[0][1]
+                low = min([x[4] for x in members])
+                windows = [text[o : o + width] for o in range(len(text) - width + 1)]
+                owned.append(windows)
+                for w in windows:
+                    if seen.get(w, NO_ID) > low:
+                        seen[w] = low
+            for members, windows in zip(classes, owned):
+                ids = [seen.get(w, NO_ID) for w in windows]
+                least = min(ids)
                 for _, _, _, several, own, place, r in members:
-                    if several or low < own:
-                        places[r].append(place)
-                        sizes[r].append(len(ids))
-                        least[r].extend(ids)
+                    if not several and least >= own:
+                        continue
+                    start = 0
+                    for o in range(1, len(ids) + 1):
+                        if o == len(ids) or ids[o] != ids[start]:
+                            mixed[r].append((place, start, o - start, ids[start]))
+                            start = o
 
         classes: list[list] = []
         last = None
-        for head in LoserTree([_decode(n, run) for n, run in zip(frame.n, frame.run)]):
+        for head in LoserTree([iter(run) for run in runs]):
             if classes and head[0] >= GRAM:
                 if head[0] == len(head[1]) == len(last[1]) and head[2] == last[2]:
                     classes[-1].append(head)
@@ -362,45 +424,48 @@ def _merge(width: int):
             last = head
         if classes:
             answer(classes)
-        rows = [(c, key[0], 1, _zip(np.array([len(p)], np.int64).tobytes() + np.array(p, np.int64).tobytes() + np.array(s, np.int64).tobytes() + np.array(g, np.int64).tobytes())) for c, p, s, g in zip(chunks, places, sizes, least) if p]
-        return pd.DataFrame(rows, columns=["chunk", "bucket", "kind", "blob"])
+        rows = []
+        for chunk, run, (places, ids), parts in zip(frame.chunk.tolist(), runs, whole, mixed):
+            if not places and not parts:
+                continue
+            places = np.array(places + [p[0] for p in parts], np.int64)
+            windows = np.append((run.right + run.left - width + 1)[places[: len(ids)]], [p[2] for p in parts]).astype(np.uint8)
+            shift = np.array([0] * len(ids) + [p[1] for p in parts], np.int64)
+            ids = np.array(ids + [p[3] for p in parts], np.int64)
+            counts = run.counts[places]
+            spot = run.posts[_ragged(run.starts[places], counts)] + np.repeat(shift, counts)
+            spot, windows, ids = spot.astype(np.uint32), np.repeat(windows, counts), np.repeat(ids, counts)
+            rows.append((chunk, len(spot), _zip(spot.tobytes() + windows.tobytes() + ids.tobytes())))
+        return pd.DataFrame(rows, columns=["chunk", "n", "blob"])
 
     return merge
 
 
-def _apply(width: int, bits: int):
+def _apply(width: int):
     def apply(key, chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in chunk.itertuples():
-            ids, data, offsets, buckets = _entries(row, answers, width, bits)
+            ids, raw, data, offsets = _opened(row)
             change = np.zeros(len(data) + 1, np.int32)
-            told = answers[answers.kind == 1]
-            for b, blob in zip(told.bucket, told.blob):
-                numbers = np.frombuffer(_unzip(blob), np.int64)
-                n = int(numbers[0])
-                at = 1 + 2 * n
-                for place, size in zip(numbers[1 : 1 + n].tolist(), numbers[1 + n : at].tolist()):
-                    least = numbers[at : at + size].tolist()
-                    at += size
-                    for d, lo, hi in buckets[b][place][2]:
-                        if size == 1:
-                            if least[0] < ids[d]:
-                                change[lo] += 1
-                                change[hi + width] -= 1
-                            continue
-                        for o, low in enumerate(least):
-                            if low < ids[d]:
-                                change[lo + o] += 1
-                                change[lo + o + width] -= 1
+            for n, blob in zip(answers.n, answers.blob):
+                blob = _unzip(blob)
+                spot = np.frombuffer(blob, np.uint32, n).astype(np.int64)
+                windows = np.frombuffer(blob, np.uint8, n, 4 * n)
+                later = np.frombuffer(blob, np.int64, n, 5 * n) < ids[np.searchsorted(offsets, spot, "right") - 1]
+                spot, windows = spot[later], windows[later]
+                np.add.at(change, spot, 1)
+                np.add.at(change, spot + windows + (width - 1), -1)
             covered = np.cumsum(change[:-1]) > 0
             edge = covered.copy()
             edge[1:] &= ~covered[:-1]
-            edge[offsets[:-1][offsets[:-1] < len(data)]] = covered[offsets[:-1][offsets[:-1] < len(data)]]
-            for i, doc in enumerate(ids.tolist()):
-                a, b = offsets[i], offsets[i + 1]
-                gone = int(covered[a:b].sum())
-                kept = data[a:b][~covered[a:b]] if gone else data[a:b]
-                out.append((None if doc == NO_ID else doc, int(b - a), gone, int(edge[a:b].sum()), kept.tobytes()))
+            starts = offsets[:-1][offsets[:-1] < len(data)]
+            edge[starts] = covered[starts]
+            gone = np.concatenate([[0], np.cumsum(covered)])
+            spans = np.concatenate([[0], np.cumsum(edge)])
+            for doc, a, b in zip(ids.tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                lost = int(gone[b] - gone[a])
+                kept = data[a:b][~covered[a:b]].tobytes() if lost else raw[a:b]
+                out.append((None if doc == NO_ID else doc, b - a, lost, int(spans[b] - spans[a]), kept))
         frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
         return frame.astype({"doc_id": "Int64"})
 
@@ -419,9 +484,7 @@ def dedup_substrings(docs: DataFrame, width: int = 50) -> DataFrame:
     total = chunks.agg(F.sum("bytes")).first()[0] or 0
     bits = max(8, (total >> 24).bit_length())
     grams = chunks.mapInPandas(_send_grams(width, bits), "bucket long, chunk long, n int, steps binary, low binary")
-    answer = "chunk long, bucket long, kind int, blob binary"
-    suspects = cut_lineage(grams.groupBy("bucket").applyInPandas(_recurring, answer))
+    suspects = cut_lineage(grams.groupBy("bucket").applyInPandas(_recurring, "chunk long, bucket long, blob binary"))
     runs = chunks.groupBy("chunk").cogroup(suspects.groupBy("chunk")).applyInPandas(_send_runs(width, bits), "bucket long, chunk long, n int, run binary")
-    least = runs.groupBy("bucket").applyInPandas(_merge(width), answer)
-    told = suspects.unionByName(least)
-    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_apply(width, bits), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    least = runs.groupBy("bucket").applyInPandas(_merge(width), "chunk long, n long, blob binary")
+    return chunks.groupBy("chunk").cogroup(least.groupBy("chunk")).applyInPandas(_apply(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
