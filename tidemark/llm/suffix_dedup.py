@@ -41,13 +41,13 @@ from .common import byte_table, cut_lineage, mix, text_buffer
 CHUNK = 4 << 20  # bytes of text in a chunk
 SLICE = 1 << 20  # windows hashed at once
 GRAM = 24  # bytes of an anchor's k-gram
-HOT = 256  # occurrences from which an anchor's windows go out one by one
+HOT = 4096  # occurrences from which an anchor's windows go out one by one
 BITS = 48  # hash bits kept beyond the bucket
 NO_ID = np.iinfo(np.int64).max
 
 
-def _zip(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
+def _zip(data: bytes, level: int = 3) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def _unzip(data: bytes) -> bytes:
@@ -62,7 +62,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def chunk() -> pa.RecordBatch:
         lengths = np.array([len(x) for x in texts], np.int64)
-        row = [[part << 32 | made], [int(lengths.sum())], [np.array(ids, np.int64).tobytes()], [lengths.tobytes()], [_zip(b"".join(texts))]]
+        row = [[part << 32 | made], [int(lengths.sum())], [np.array(ids, np.int64).tobytes()], [lengths.tobytes()], [_zip(b"".join(texts), 9)]]
         return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), pa.array(row[1], pa.int64()), *(pa.array(x, pa.binary()) for x in row[2:])], ["chunk", "bytes", "ids", "lengths", "data"])
 
     for batch in batches:
@@ -274,7 +274,7 @@ def _runs(row, answers: pd.DataFrame, width: int, bits: int) -> list[tuple]:
     for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
         parts = [x[s:e].astype(np.uint8) for x in (right, common, left, most > least)]
         parts += [counts[s:e].astype(np.uint32), least[s:e], posts[edge(post_ends, s) : edge(post_ends, e)], coded[edge(ends, s) : edge(ends, e)], side[edge(side_ends, s) : edge(side_ends, e)]]
-        out.append((int(bucket[s]), row.chunk, e - s, _zip(b"".join(x.tobytes() for x in parts))))
+        out.append((int(bucket[s]), row.chunk, e - s, _zip(b"".join(x.tobytes() for x in parts), 5)))
     return out
 
 
