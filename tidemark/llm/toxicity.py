@@ -1,10 +1,10 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Expressions are words (runs of ASCII letters, folded to lower case, and of non-ASCII bytes). A class model
-has three levels, joined by absolute discounts: the number of the class's documents with the word; under
-it, Kneser-Ney continuation counts (how many distinct words of the class go on from the word's first five
-bytes); at the bottom the continuation counts that both classes share. So a rare expression has the same
-probability in both models but for what its beginning tells.
+has levels that are joined by absolute discounts: the number of the class's documents with the word; under
+it, Kneser-Ney continuation counts of the word's first seven, five and four bytes (how many distinct longer
+beginnings of the class go on from them); at the bottom the continuation counts that both classes
+share. So a rare expression has the same probability in both models but for what its beginnings tell.
 
 A document's score compares its log-likelihoods under both models, divided by its length; an
 expression counts with the evidence that exceeds what an unseen expression gives, which keeps the
@@ -12,8 +12,8 @@ noise of hundreds of neutral words from drowning a few telling ones. A logistic
 held-back training rows, turns that into a probability.
 
 The models are fitted on at most ``max_rows`` labelled documents, those with the least hash of their
-text (equal texts once); a quarter of them fits the curve. Word tables are hashed into 2**20 buckets,
-beginnings into 2**18, so what goes to the executors has a fixed size. Every document is scored, whole.
+text (equal texts once); a quarter of them fits the curve. Words are hashed into 2**20 buckets,
+beginnings into 2**18 a level, so what goes to the executors has a fixed size. Every document is scored, whole.
 
 Edge cases: null and empty texts have no expressions and get the curve's score at zero; null labels
 don't count; of several labels of a document the largest counts; with no label of one class the
@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from .common import byte_table, mix, row_blocks, text_buffer
 
 WORDS, STARTS = 20, 18  # bits of the hashed tables
-PREFIX = 5  # bytes of a word's beginning
+PREFIXES = (7, 5, 4)  # bytes of a word's beginnings
 DISCOUNT = 0.75
-MARGIN = 0.5
+MARGIN = 0.25
 BLOCK = 1 << 20
 
 FOLD = np.arange(256, dtype=np.uint8)
@@ -43,10 +43,10 @@ LETTER = np.zeros(256, bool)
 LETTER[97:123] = LETTER[65:91] = LETTER[128:] = True
 
 
-def expressions(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def expressions(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """64-bit hashes of the words of each row and of their beginnings, and the first word of each row."""
     rows = len(offsets) - 1
-    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
+    none = [np.zeros(0, np.uint64)] * (1 + len(PREFIXES)), np.zeros(rows + 1, np.int64)
     if not len(data):
         return none
     solid = LETTER[data]
@@ -61,68 +61,88 @@ def expressions(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     power = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
     value = byte_table(23)[FOLD[data]] * (power[place & 63] + (place >> 6).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1E))
     value[~solid] = 0
-    words = mix(np.add.reduceat(value, starts))
-    value[place >= PREFIX] = 0
-    return words, mix(np.add.reduceat(value, starts)), np.searchsorted(starts, offsets)
+    found = [mix(np.add.reduceat(value, starts))]
+    for size in PREFIXES:
+        value[place >= size] = 0
+        found.append(mix(np.add.reduceat(value, starts)))
+    return found, np.searchsorted(starts, offsets)
+
+
+LEVELS = ["word", *(f"start{n}" for n in PREFIXES)]
+COUNTS = "kind int, " + ", ".join(f"{c} long" for c in LEVELS) + ", n long"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class, word, beginning, documents) of labelled rows."""
+    """(class, word, its beginnings, documents) of labelled rows."""
     for batch in batches:
         data, offsets = text_buffer(batch.column(0))
         label = batch.column(1).to_numpy(zero_copy_only=False)
         for a, b in row_blocks(offsets, BLOCK):
-            words, starts, first = expressions(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            found, first = expressions(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             row = np.repeat(np.arange(a, b), np.diff(first))
-            order = np.lexsort((words, row))
-            words, starts, row = words[order], starts[order], row[order]
-            own = np.append(True, (words[1:] != words[:-1]) | (row[1:] != row[:-1])) if len(words) else np.zeros(0, bool)
-            words, starts, kind = words[own], starts[own], label[row[own]]
-            order = np.lexsort((words, kind))
-            words, starts, kind = words[order], starts[order], kind[order]
-            heads = np.flatnonzero(np.append(True, (words[1:] != words[:-1]) | (kind[1:] != kind[:-1]))) if len(words) else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([pa.array(kind[heads].astype(np.int32)), pa.array(words[heads].view(np.int64)), pa.array(starts[heads].view(np.int64)), pa.array(np.diff(np.append(heads, len(words))))], ["kind", "word", "start", "n"])
+            order = np.lexsort((found[0], row))
+            words, row = found[0][order], row[order]
+            own = np.append(True, (words[1:] != words[:-1]) | (row[1:] != row[:-1]))[: len(words)]
+            found, kind = [x[order][own] for x in found], label[row[own]]
+            order = np.lexsort((found[0], kind))
+            words, kind = found[0][order], kind[order]
+            heads = np.flatnonzero(np.append(True, (words[1:] != words[:-1]) | (kind[1:] != kind[:-1]))[: len(words)])
+            columns = [pa.array(x[order][heads].view(np.int64)) for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(kind[heads].astype(np.int32)), *columns, pa.array(np.diff(np.append(heads, len(words))))], ["kind", *LEVELS, "n"])
 
 
 class Model:
-    """Probabilities of both classes, as a part for the word and a part for its beginning."""
+    """Probabilities of both classes: of a word, the part of its own count and, by level, those of its beginnings."""
 
     def __init__(self, counts: DataFrame):
-        kept = counts.groupBy("kind", "word", "start").agg(F.sum("n").alias("n")).persist()
+        kept = counts.groupBy("kind", *LEVELS).agg(F.sum("n").alias("n")).persist()
         totals = {r[0]: r[1:] for r in kept.groupBy("kind").agg(F.sum("n"), F.count("*")).collect()}
         self.usable = len(totals) == 2
         if not self.usable:
             kept.unpersist()
             return
-        slots = {name: F.shiftrightunsigned(name, 64 - bits) for name, bits in (("word", WORDS), ("start", STARTS))}
-        # at most 2**WORDS and 2**STARTS slots a class; a word seen once is left to its beginning
-        words = kept.filter("n > 1").groupBy("kind", slots["word"].alias("slot")).agg(F.sum("n").alias("n")).toPandas()
-        starts = kept.groupBy("kind", slots["start"].alias("slot")).agg(F.count("*").alias("n")).toPandas()
-        shared = kept.groupBy(slots["start"].alias("slot")).agg(F.countDistinct("word").alias("n")).toPandas()
+        slot = lambda name: F.shiftrightunsigned(name, 64 - (WORDS if name == "word" else STARTS)).alias("slot")
+        # at most 2**WORDS and 2**STARTS slots a class; a word seen once is left to its beginnings
+        words = kept.filter("n > 1").groupBy("kind", slot("word")).agg(F.sum("n").alias("n")).toPandas()
+        starts, longer = [], "word"
+        for name in LEVELS[1:]:
+            # how many distinct longer beginnings go on from a beginning
+            starts.append(kept.select("kind", longer, name).distinct().groupBy("kind", slot(name)).agg(F.count("*").alias("n")).toPandas())
+            longer = name
+        shared = kept.select(*LEVELS[-2:]).distinct().groupBy(slot(LEVELS[-1])).agg(F.count("*").alias("n")).toPandas()
         kept.unpersist()
         base = np.full(1 << STARTS, 0.5)
         base[shared.slot] += shared.n
         base /= base.sum()
-        self.word, self.start, unseen = [], [], []
+        self.word, self.starts, unseen = [], [], []
         for kind in (0, 1):
             total, types = totals[kind]
-            word, start = np.zeros(1 << WORDS, np.float32), np.zeros(1 << STARTS)
+            word = np.zeros(1 << WORDS, np.float32)
             own = words[words.kind == kind]
             word[own.slot] = np.maximum(own.n - DISCOUNT, 0) / total
-            own = starts[starts.kind == kind]
-            start[own.slot] = np.maximum(own.n - DISCOUNT, 0) / types
-            start = (start + DISCOUNT * len(own) / types * base) * DISCOUNT * types / total
-            unseen.append(DISCOUNT * len(own) / types * DISCOUNT * types / total)
+            left, parts = DISCOUNT * types / total, []
+            for i, counted in enumerate(starts):
+                own = counted[counted.kind == kind]
+                whole = own.n.sum()
+                part = np.zeros(1 << STARTS)
+                part[own.slot] = np.maximum(own.n - DISCOUNT, 0) / whole
+                fall = DISCOUNT * len(own) / whole
+                if i == len(starts) - 1:
+                    part += fall * base
+                parts.append((left * part).astype(np.float32))
+                left *= fall
+            unseen.append(left)
             self.word.append(word)
-            self.start.append(start.astype(np.float32))
+            self.starts.append(parts)
         self.margin = max(float(np.log(unseen[1] / unseen[0])), 0.0) + MARGIN
 
     def evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Of each row: the log-likelihood ratio beyond the margin, divided by its number of expressions."""
-        words, starts, first = expressions(data, offsets)
-        words, starts = (words >> np.uint64(64 - WORDS)).astype(np.int64), (starts >> np.uint64(64 - STARTS)).astype(np.int64)
-        ratio = np.log((self.word[1][words] + self.start[1][starts]) / (self.word[0][words] + self.start[0][starts]))
-        total = np.concatenate([[0.0], np.cumsum(np.maximum(ratio - self.margin, 0), dtype=np.float64)])
+        found, first = expressions(data, offsets)
+        words, *starts = [(x >> np.uint64(64 - (STARTS if i else WORDS))).astype(np.int64) for i, x in enumerate(found)]
+        chance = [self.word[k][words] + sum(p[x] for p, x in zip(self.starts[k], starts)) for k in (0, 1)]
+        gain = np.maximum(np.log(chance[1] / chance[0]) - self.margin, 0)
+        total = np.concatenate([[0.0], np.cumsum(gain, dtype=np.float64)])
         return (total[first[1:]] - total[first[:-1]]) / np.maximum(np.diff(first), 1)
 
 
@@ -167,7 +187,7 @@ def score(docs: DataFrame, labels: DataFrame, held_out, max_rows: int = 16_000)
     # the bound on rows is the parameter max_rows; ids and labels of the sample are at most 16 bytes a row
     sample = marks.orderBy(order, "doc_id").limit(max_rows).withColumn("part", F.pmod(F.shiftright(order, 7), F.lit(4)))
     rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic", "part").dropDuplicates(["text"]).persist()
-    model = Model(rows.filter("part > 0").select("text", "toxic").mapInArrow(_count, "kind int, word long, start long, n long"))
+    model = Model(rows.filter("part > 0").select("text", "toxic").mapInArrow(_count, COUNTS))
     if not model.usable:
         share = sample.agg(F.avg("toxic")).first()[0] or 0.0
         rows.unpersist()
