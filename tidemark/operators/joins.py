@@ -37,15 +37,15 @@ def nearest(left: DataFrame, right: DataFrame, on: list[str], row: str, value: s
 
 
 def latest_by(rows: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
-    """The columns of each key's last row by ``order``; partially aggregated, so hot keys are no hot spot."""
+    """Order and columns of each key's last row by ``order``; partially aggregated, so hot keys are no hot spot."""
     found = rows.groupBy(*keys).agg(F.max(F.struct(*order, *(c for c in columns if c not in order))).alias("_r"))
-    return found.select(*keys, *(F.col(f"_r.{c}").alias(c) for c in columns))
+    return found.select(*keys, "_r.*")
 
 
 def first_by(rows: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """As ``latest_by``, the first row: insert-if-absent and DISTINCT ON."""
     found = rows.groupBy(*keys).agg(F.min(F.struct(*order, *(c for c in columns if c not in order))).alias("_r"))
-    return found.select(*keys, *(F.col(f"_r.{c}").alias(c) for c in columns))
+    return found.select(*keys, "_r.*")
 
 
 def top_by(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:

@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+import importlib
+
+from .registry import ORACLE_SQL, QUERIES
+
+for _name in ("ingest", "measure", "evaluate", "wallets", "signals"):
+    importlib.import_module(f"tidemark.plans.{_name}")
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
