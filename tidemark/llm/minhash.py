@@ -5,16 +5,19 @@ repeats count. Each of 16 sketches hashes them anew, takes the three least and p
 order: two texts share a sketch if they share those k-mers in that order, which follows edit similarity.
 
 1. Texts with equal words collapse into their document with the least id.
-2. Per sketch value, the least and the greatest id lead; every other document is a candidate with both.
-   No group is gathered and no pairs within a group are made, whatever its size.
+2. Per sketch value, the two most central documents (those that share their sketches with the most others)
+   and the one with the least id lead; every other document is a candidate with them. No group is
+   gathered and no pairs within a group are made, whatever its size.
 3. Candidates are aligned: with n and m k-mers of which c can be matched in order, within the band that
    the bound allows, the similarity is c / (n + m - c), and 0.8 links them. It equals the Jaccard
    similarity of the labelled k-mers where their order agrees, and is less where it doesn't.
 4. Classes are the connected components of the links, found by alternating star contractions.
+5. Where a sketch value still joins documents of several classes, its 8 and then its 32 most central
+   documents lead: each is aligned with the documents of other classes.
 
-At a similarity of 0.8 a sketch agrees with probability about 0.51, one of 16 with 0.99999. A member that
-links neither with the first nor with the last of any of its sixteen groups, but only with others of
-them, joins through those others' links.
+At a similarity of 0.8 a sketch agrees with probability about 0.51, one of 16 with 0.99999. In groups of up
+to 33 no link is lost then; in a larger one a document must link with one of the leaders of its sixteen
+groups, or with a document that does.
 
 Edge cases: words are split at ASCII white space of the text in lower case; a null text is empty, and
 texts without words are copies of each other. Texts of any length are aligned in full. Null ids are
@@ -29,13 +32,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, mix, row_blocks, text_buffer, word_hashes
 
 WORDS = 5  # words of a k-mer
 SKETCHES, PICKS = 16, 3
+LEADERS = (2, 8, 32)  # most central documents that lead a group, by round
 BLOCK = 1 << 20
 ODD = mix(np.arange(101, 101 + WORDS, dtype=np.uint64)) | np.uint64(1)
 TURN = (mix(np.arange(201, 201 + SKETCHES, dtype=np.uint64)) | np.uint64(1))[:, None]
@@ -138,14 +142,12 @@ def aligned(a: np.ndarray, b: np.ndarray, most: int) -> int:
     for i, x in enumerate(a):
         places[x] = places.get(x, 0) | 1 << i
     full = (1 << len(a)) - 1
-    row, band = full, (1 << most + 1) - 1
+    row, band = full, (1 << 2 * most + 1) - 1
     for j, x in enumerate(b):
         hit = places.get(x, 0)
         if hit:
             # columns j - most to j + most
-            hit &= band << j - most if j > most else (1 << j + most + 1) - 1
-            if j > most:
-                hit &= (1 << j + most + 1) - 1
+            hit &= band << j - most if j > most else band >> most - j
             own = row & hit
             row = ((row + own) | (row - own)) & full
     return head + tail + len(a) - row.bit_count()
@@ -190,6 +192,17 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
+def _pairs(led: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of documents and their leaders."""
+    return cut_lineage(led.filter("doc_id <> leader").select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct())
+
+
+def _linked(pairs: DataFrame, prints: DataFrame, bound: float) -> DataFrame:
+    one, two = (prints.select(F.col("doc_id").alias(c), F.col("prints").alias(x)) for c, x in (("a", "x"), ("b", "y")))
+    sides = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
+    return cut_lineage(sides.mapInArrow(_verify(bound), "a long, b long"))
+
+
 def classes(docs: DataFrame, bound: float = 0.8) -> DataFrame:
     """doc_id and class_id (the least doc_id of its class), one row a row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
@@ -197,15 +210,36 @@ def classes(docs: DataFrame, bound: float = 0.8) -> DataFrame:
     equal = ["n", "one", "two"]
     firsts = found.groupBy(*equal).agg(F.min("doc_id").alias("first"))
     heads = found.join(firsts.filter("first is not null").withColumnRenamed("first", "doc_id"), [*equal, "doc_id"], "left_semi").dropDuplicates(["doc_id", *equal])
-    spots = heads.select("doc_id", F.posexplode("values").alias("turn", "value"))
-    led = spots.groupBy("turn", "value").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
-    pairs = spots.join(led, ["turn", "value"]).select("doc_id", F.explode(F.array_distinct(F.array("low", "high"))).alias("other")).filter("doc_id <> other")
-    pairs = cut_lineage(pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct())
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    prints = cut_lineage(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_prints, "doc_id long, prints binary"))
-    sides = pairs.join(prints.select(F.col("doc_id").alias("a"), F.col("prints").alias("x")), "a").join(prints.select(F.col("doc_id").alias("b"), F.col("prints").alias("y")), "b")
-    links = cut_lineage(sides.select("a", "b", "x", "y").mapInArrow(_verify(bound), "a long, b long"))
-    groups = components(links).withColumnsRenamed({"node": "first"})
+    group = ["turn", "value"]
+    spots = heads.select("doc_id", F.posexplode("values").alias(*group))
+    shared = spots.join(spots.groupBy(*group).agg(F.count("*").alias("size")).filter("size > 1"), group)
+    shared = cut_lineage(shared)
+    centre = shared.groupBy("doc_id").agg(F.sum("size").alias("centre"))
+    prints = cut_lineage(docs.join(centre.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_prints, "doc_id long, prints binary"))
+    members = cut_lineage(shared.join(centre, "doc_id").select(*group, "doc_id", "centre"))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("centre"), "doc_id"))
+    ranked = cut_lineage(members.withColumn("rank", rank).filter(F.col("rank") <= LEADERS[-1]))
+    least = members.groupBy(*group).agg(F.min("doc_id").alias("leader"))
+    leaders = ranked.filter(F.col("rank") <= LEADERS[0]).select(*group, F.col("doc_id").alias("leader")).union(least)
+    pairs = _pairs(members.join(leaders, group))
+    tested, links = None, None
+    for count in (*LEADERS[1:], 0):
+        fresh = _linked(pairs, prints, bound)
+        links = fresh if links is None else links.unionByName(fresh)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        groups = cut_lineage(components(links))
+        if not count:
+            break
+        owner = groups.select(F.col("node").alias("doc_id"), F.col("least").alias("owner"))
+        placed = members.join(owner, "doc_id", "left").withColumn("owner", F.coalesce("owner", "doc_id"))
+        split = placed.groupBy(*group).agg(F.min("owner").alias("low"), F.max("owner").alias("high")).filter("low < high").select(*group)
+        placed = cut_lineage(placed.join(split, group))
+        leaders = placed.join(ranked.filter(F.col("rank") <= count).select(*group, "doc_id"), [*group, "doc_id"]).select(*group, F.col("doc_id").alias("leader"), F.col("owner").alias("own"))
+        pairs = _pairs(placed.join(leaders, group).filter("owner <> own")).join(tested, ["a", "b"], "left_anti")
+        pairs = cut_lineage(pairs)
+        if pairs.isEmpty():
+            break
+    groups = groups.withColumnsRenamed({"node": "first"})
     return found.join(firsts, equal).join(groups, "first", "left").select("doc_id", F.coalesce("least", "first").alias("class_id"))
 
 
