@@ -13,7 +13,8 @@ order: two texts share a sketch if they share those k-mers in that order, which
    similarity of the labelled k-mers where their order agrees, and is less where it doesn't.
 4. Classes are the connected components of the links, found by alternating star contractions.
 5. Where a sketch value still joins documents of several classes, its 8 and then its 32 most central
-   documents lead: each is aligned with the documents of other classes.
+   documents lead: each is aligned with the documents of other classes, but for those that the triangle
+   inequality over the distances to the group's most central document rules out.
 
 At a similarity of 0.8 a sketch agrees with probability about 0.51, one of 16 with 0.99999. In groups of up
 to 33 no link is lost then; in a larger one a document must link with one of the leaders of its sixteen
@@ -153,22 +154,34 @@ def aligned(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return head + tail + len(a) - row.bit_count()
 
 
-def similar(a: np.ndarray, b: np.ndarray, bound: float) -> bool:
+def distance(a: np.ndarray, b: np.ndarray, bound: float) -> tuple[bool, int, int]:
+    """Whether two texts' k-mers reach the bound, and bounds of their distance (items left over on both sides).
+
+    The band is four times as wide as the bound needs, so that distances somewhat beyond it are exact too.
+    """
     n, m = len(a), len(b)
     if not n or not m:
-        return n == m
+        return n == m, n + m, n + m
     need = bound * (n + m) / (1 + bound) - 1e-9  # matches that reach the bound
     if min(n, m) < need:
-        return False
-    return aligned(a, b, int(n + m - 2 * need) + 1) >= need
+        return False, abs(n - m), n + m
+    band = 4 * (int(n + m - 2 * need) + 1)
+    matched = aligned(a, b, band)
+    left = n + m - 2 * matched
+    return matched >= need, min(left, band + 1), left
+
+
+def similar(a: np.ndarray, b: np.ndarray, bound: float) -> bool:
+    return distance(a, b, bound)[0]
 
 
 def _verify(bound: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = zip(batch.column(2), batch.column(3))
-            keep = [similar(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32), bound) for x, y in pairs]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            found = [distance(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32), bound) for x, y in pairs]
+            columns = [pa.array([f[0] for f in found], pa.bool_()), *(pa.array([f[i] for f in found], pa.int64()) for i in (1, 2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["a", "b", "linked", "low", "high"])
 
     return verify
 
@@ -197,10 +210,10 @@ def _pairs(led: DataFrame) -> DataFrame:
     return cut_lineage(led.filter("doc_id <> leader").select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct())
 
 
-def _linked(pairs: DataFrame, prints: DataFrame, bound: float) -> DataFrame:
+def _measured(pairs: DataFrame, prints: DataFrame, bound: float) -> DataFrame:
     one, two = (prints.select(F.col("doc_id").alias(c), F.col("prints").alias(x)) for c, x in (("a", "x"), ("b", "y")))
     sides = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    return cut_lineage(sides.mapInArrow(_verify(bound), "a long, b long"))
+    return cut_lineage(sides.mapInArrow(_verify(bound), "a long, b long, linked boolean, low long, high long"))
 
 
 def classes(docs: DataFrame, bound: float = 0.8) -> DataFrame:
@@ -211,31 +224,38 @@ def classes(docs: DataFrame, bound: float = 0.8) -> DataFrame:
     firsts = found.groupBy(*equal).agg(F.min("doc_id").alias("first"))
     heads = found.join(firsts.filter("first is not null").withColumnRenamed("first", "doc_id"), [*equal, "doc_id"], "left_semi").dropDuplicates(["doc_id", *equal])
     group = ["turn", "value"]
-    spots = heads.select("doc_id", F.posexplode("values").alias(*group))
+    spots = heads.select("doc_id", "n", F.posexplode("values").alias(*group))
     shared = spots.join(spots.groupBy(*group).agg(F.count("*").alias("size")).filter("size > 1"), group)
     shared = cut_lineage(shared)
     centre = shared.groupBy("doc_id").agg(F.sum("size").alias("centre"))
     prints = cut_lineage(docs.join(centre.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_prints, "doc_id long, prints binary"))
-    members = cut_lineage(shared.join(centre, "doc_id").select(*group, "doc_id", "centre"))
+    members = cut_lineage(shared.join(centre, "doc_id").select(*group, "doc_id", "n", "centre"))
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("centre"), "doc_id"))
     ranked = cut_lineage(members.withColumn("rank", rank).filter(F.col("rank") <= LEADERS[-1]))
     least = members.groupBy(*group).agg(F.min("doc_id").alias("leader"))
     leaders = ranked.filter(F.col("rank") <= LEADERS[0]).select(*group, F.col("doc_id").alias("leader")).union(least)
     pairs = _pairs(members.join(leaders, group))
-    tested, links = None, None
+    tested, spread = None, (1 - bound) / (1 + bound)
+    centres = ranked.filter("rank = 1").select(*group, F.col("doc_id").alias("leader"))
     for count in (*LEADERS[1:], 0):
-        fresh = _linked(pairs, prints, bound)
-        links = fresh if links is None else links.unionByName(fresh)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        groups = cut_lineage(components(links))
+        fresh = _measured(pairs, prints, bound)
+        tested = fresh if tested is None else tested.unionByName(fresh)
+        groups = cut_lineage(components(tested.filter("linked").select("a", "b")))
         if not count:
             break
         owner = groups.select(F.col("node").alias("doc_id"), F.col("least").alias("owner"))
         placed = members.join(owner, "doc_id", "left").withColumn("owner", F.coalesce("owner", "doc_id"))
-        split = placed.groupBy(*group).agg(F.min("owner").alias("low"), F.max("owner").alias("high")).filter("low < high").select(*group)
-        placed = cut_lineage(placed.join(split, group))
-        leaders = placed.join(ranked.filter(F.col("rank") <= count).select(*group, "doc_id"), [*group, "doc_id"]).select(*group, F.col("doc_id").alias("leader"), F.col("owner").alias("own"))
-        pairs = _pairs(placed.join(leaders, group).filter("owner <> own")).join(tested, ["a", "b"], "left_anti")
+        split = placed.groupBy(*group).agg(F.min("owner").alias("least"), F.max("owner").alias("most")).filter("least < most").select(*group)
+        # how far each document is from the group's centre, which all of them met in the first round
+        placed = placed.join(split, group).join(centres, group).withColumns({"a": F.least("doc_id", "leader"), "b": F.greatest("doc_id", "leader")}).drop("leader")
+        placed = placed.join(tested.select("a", "b", "low", "high"), ["a", "b"], "left").withColumns({"low": F.coalesce("low", F.lit(0)), "high": F.coalesce("high", F.lit(0))})
+        placed = cut_lineage(placed.select(*group, "doc_id", "n", "owner", "low", "high"))
+        chosen = placed.join(ranked.filter(F.col("rank") <= count).select(*group, "doc_id"), [*group, "doc_id"])
+        leaders = chosen.select(*group, F.col("doc_id").alias("leader"), F.col("owner").alias("own"), F.col("n").alias("m"), F.col("low").alias("l"), F.col("high").alias("h"))
+        # distances obey the triangle inequality: pairs that it keeps apart need no alignment
+        reach = (F.col("n") + F.col("m")) * spread + 1
+        near = (F.col("low") - F.col("h") <= reach) & (F.col("l") - F.col("high") <= reach) & (F.least("n", "m") >= bound * F.greatest("n", "m") - 1)
+        pairs = _pairs(placed.join(leaders, group).filter("owner <> own").filter(near)).join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs)
         if pairs.isEmpty():
             break
