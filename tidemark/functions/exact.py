@@ -10,6 +10,7 @@ import re
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 PLACES = 18
 ONE = 10**PLACES
@@ -73,22 +74,22 @@ def _text(x: int | None) -> str | None:
     return None if x is None else str(x)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def scaled_mul(a: pd.Series, b: pd.Series) -> pd.Series:
     return _each(lambda x, y: render(cut(parse(x) * parse(y), ONE)))(a, b)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def scaled_div(a: pd.Series, b: pd.Series) -> pd.Series:
     return _each(lambda x, y: None if parse(y) == 0 else render(cut(parse(x) * ONE, parse(y))))(a, b)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def raw_to_decimal(raw: pd.Series, decimals: pd.Series) -> pd.Series:
     return _each(lambda x, d: render(from_raw(int(x), int(d))))(raw, decimals)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def fused_usd(base: pd.Series, quote: pd.Series, base_decimals: pd.Series, quote_decimals: pd.Series, rate: pd.Series) -> pd.Series:
     def one(b, q, bd, qd, r):
         price = fused_price(int(b), int(q), int(bd), int(qd), parse(r))
@@ -97,17 +98,17 @@ def fused_usd(base: pd.Series, quote: pd.Series, base_decimals: pd.Series, quote
     return _each(one)(base, quote, base_decimals, quote_decimals, rate)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def word_unsigned(word: pd.Series) -> pd.Series:
     return _each(lambda w: _text(int(w, 16)))(word)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def word_signed(word: pd.Series) -> pd.Series:
     """Two's complement of 256 bits."""
     return _each(lambda w: _text(int(w, 16) - ((int(w, 16) >> 255) << 256)))(word)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def difference(a: pd.Series, b: pd.Series) -> pd.Series:
     return _each(lambda x, y: _text(int(x) - int(y)))(a, b)
