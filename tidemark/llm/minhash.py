@@ -237,7 +237,7 @@ def classes(docs: DataFrame, bound: float = 0.8) -> DataFrame:
     pairs = _pairs(members.join(leaders, group))
     tested, spread = None, (1 - bound) / (1 + bound)
     centres = ranked.filter("rank = 1").select(*group, F.col("doc_id").alias("leader"))
-    for count in (*LEADERS[1:], 0):
+    for done, count in zip(LEADERS, (*LEADERS[1:], 0)):
         fresh = _measured(pairs, prints, bound)
         tested = fresh if tested is None else tested.unionByName(fresh)
         groups = cut_lineage(components(tested.filter("linked").select("a", "b")))
@@ -250,10 +250,11 @@ def classes(docs: DataFrame, bound: float = 0.8) -> DataFrame:
         placed = placed.join(split, group).join(centres, group).withColumns({"a": F.least("doc_id", "leader"), "b": F.greatest("doc_id", "leader")}).drop("leader")
         placed = placed.join(tested.select("a", "b", "low", "high"), ["a", "b"], "left").withColumns({"low": F.coalesce("low", F.lit(0)), "high": F.coalesce("high", F.lit(0))})
         placed = cut_lineage(placed.select(*group, "doc_id", "n", "owner", "low", "high"))
-        chosen = placed.join(ranked.filter(F.col("rank") <= count).select(*group, "doc_id"), [*group, "doc_id"])
+        # leaders of earlier rounds have met all documents of their group
+        chosen = placed.join(ranked.filter((F.col("rank") > done) & (F.col("rank") <= count)).select(*group, "doc_id"), [*group, "doc_id"])
         leaders = chosen.select(*group, F.col("doc_id").alias("leader"), F.col("owner").alias("own"), F.col("n").alias("m"), F.col("low").alias("l"), F.col("high").alias("h"))
         # distances obey the triangle inequality: pairs that it keeps apart need no alignment
-        reach = (F.col("n") + F.col("m")) * spread + 1
+        reach = (F.col("n") + F.col("m")) * spread + 1e-6
         near = (F.col("low") - F.col("h") <= reach) & (F.col("l") - F.col("high") <= reach) & (F.least("n", "m") >= bound * F.greatest("n", "m") - 1)
         pairs = _pairs(placed.join(leaders, group).filter("owner <> own").filter(near)).join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs)
