@@ -41,7 +41,7 @@ from .common import cut_lineage, mix, row_blocks, text_buffer, word_hashes
 WORDS = 5  # words of a k-mer
 SKETCHES, PICKS = 16, 3
 LEADERS = (2, 8, 32)  # most central documents that lead a group, by round
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 ODD = mix(np.arange(101, 101 + WORDS, dtype=np.uint64)) | np.uint64(1)
 TURN = (mix(np.arange(201, 201 + SKETCHES, dtype=np.uint64)) | np.uint64(1))[:, None]
 PLACE = mix(np.arange(301, 301 + PICKS, dtype=np.uint64)) | np.uint64(1)

@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 from collections import deque
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -49,11 +50,9 @@ class Tokenizer:
     """
 
     def __init__(self, path: str):
-        import tokenizers
-
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.whole = tokenizers.Tokenizer.from_file(path)
+        self.path = path
         self.added = [t["content"] for t in spec["added_tokens"]]
         self.fast = None
         model, letters = spec["model"], _byte_letters()
@@ -68,6 +67,13 @@ class Tokenizer:
 
             self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={b: i for i, b in self.bytes.items()}, special_tokens={})
 
+    @cached_property
+    def whole(self):
+        """The file in its own library, which takes memory: loaded when a text needs it."""
+        import tokenizers
+
+        return tokenizers.Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> list[int]:
         if self.fast and not any(t in text for t in self.added):
             try:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, mix, row_blocks, text_buffer, word_hashes
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 DIMS = 2048
 EXTRA = 64  # of them for traits
 ABSTAIN, GOOD, BAD = 0, 1, 2

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import byte_table, cut_lineage, mix, text_buffer
 
 CHUNK = 4 << 20  # bytes of text in a chunk
-SLICE = 1 << 20  # windows hashed at once
+SLICE = 1 << 18  # windows hashed at once
 GRAM = 24  # bytes of an anchor's k-gram
 HOT = 4096  # occurrences from which an anchor's windows go out one by one
 BITS = 48  # hash bits kept beyond the bucket

@@ -35,7 +35,7 @@ WORDS, STARTS = 20, 18  # bits of the hashed tables
 PREFIXES = (7, 5, 4)  # bytes of a word's beginnings
 DISCOUNT = 0.75
 MARGIN = 0.25
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
