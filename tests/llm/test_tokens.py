@@ -83,7 +83,10 @@ def test_cuts_are_optimal():
             cost[p] = min(cost[q] + pad(p - q) for q in places if q < p and p - q <= size) + price[p]
         at = packing.cuts(ends, sentences, size)
         assert at[0] == 0 and at[-1] == total and all(0 < b - a <= size for a, b in zip(at, at[1:]))
-        # the split of what is left at the end comes after the recurrence
-        last = max(i for i, p in enumerate(at) if p in price and p in cost and p != total)
-        spent = sum(pad(b - a) + price[b] for a, b in zip(at[: last + 1], at[1 : last + 1]))
-        assert any(spent + pad(total - at[i]) == cost[total] - 0 or spent <= cost[total] for i in [last])
+        best = min(cost[p] + packing.ending(total - p, size) for p in places if 0 < total - p <= size)
+        spent, found = 0, []
+        for i, p in enumerate(at[:-1]):
+            spent += pad(p - at[i - 1]) + price.get(p, 10**6) if i else 0
+            if total - p <= size:
+                found.append(spent + packing.ending(total - p, size))
+        assert best in found

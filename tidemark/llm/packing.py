@@ -17,6 +17,7 @@ other columns are ignored; an empty table has no pieces.
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 from functools import cached_property
@@ -90,6 +91,11 @@ class Tokenizer:
         return out
 
 
+def ending(rest: int, size: int) -> int:
+    """Cost of the last ``rest`` ids of a stream: a little padding, or cuts into powers of two."""
+    return size - rest if size - rest <= SPARE else INSIDE * (rest.bit_count() - 1)
+
+
 def cuts(ends: np.ndarray, sentences: np.ndarray, size: int) -> list[int]:
     """Places at which to cut a stream: its start, then the end of each sequence. ends: of documents; sentences: places after a sentence."""
     total = int(ends[-1])
@@ -118,7 +124,12 @@ def cuts(ends: np.ndarray, sentences: np.ndarray, size: int) -> list[int]:
         while queue and queue[-1][0] >= key:
             queue.pop()
         queue.append((key, j))
-    out, j = [], len(place) - 1
+    last = len(place) - 1
+    if last:
+        # the end is split into powers of two, so it costs cuts, not padding
+        near = range(bisect_left(place, total - size), last)
+        back[last] = min(near, key=lambda i: cost[i] + ending(total - place[i], size))
+    out, j = [], last
     while j:
         out.append(place[j])
         j = back[j]
