@@ -11,13 +11,16 @@ expression counts with the evidence that exceeds what an unseen expression gives
 noise of hundreds of neutral words from drowning a few telling ones. A logistic curve, fitted on
 held-back training rows, turns that into a probability.
 
-The models are fitted on at most ``max_rows`` labelled documents, those with the least hash of their
-text (equal texts once); a quarter of them fits the curve. Words are hashed into 2**20 buckets,
-beginnings into 2**18 a level, so what goes to the executors has a fixed size. Every document is scored, whole.
+The models count all labelled documents (equal texts once, as the row with the least id), so they grow with
+the corpus; only the two parameters of the curve are fitted on at most ``curve_rows`` documents, those with
+the least hash of their id in a quarter of all, which the models leave out. Words are hashed into 2**20
+buckets, beginnings into 2**18 a level, so what goes to the executors has a fixed size. Labelled texts are
+read in place: only ids and hashes of texts are shuffled, and counts, combined first. Every document is scored, whole.
 
 Edge cases: null and empty texts have no expressions and get the curve's score at zero; null labels
 don't count; of several labels of a document the largest counts; with no label of one class the
-score is the share of toxic labels, or 0. Null ids are never training rows. Other columns are ignored.
+score is the share of toxic labels, or 0. Null ids are never training rows; a row that repeats both id and
+text of another counts like it. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_table, mix, row_blocks, text_buffer
+from .common import byte_table, cut_lineage, mix, row_blocks, text_buffer
 
 WORDS, STARTS = 20, 18  # bits of the hashed tables
 PREFIXES = (7, 5, 4)  # bytes of a word's beginnings
 DISCOUNT = 0.75
 MARGIN = 0.25
 BLOCK = 1 << 18
+SENT = 1 << 20  # most ids (32 bytes each) that are sent to every executor
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -173,7 +177,12 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def score(docs: DataFrame, labels: DataFrame, held_out, max_rows: int = 16_000) -> DataFrame:
+def _beside(rows: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` joined to ``ids``, whose number is checked: few enough are sent to the rows, more are shuffled with them."""
+    return rows.join(F.broadcast(ids) if ids.count() <= SENT else ids, columns)
+
+
+def score(docs: DataFrame, labels: DataFrame, held_out, curve_rows: int = 4_000) -> DataFrame:
     """doc_id and score (0 to 1) of every document of ``docs`` (doc_id, text).
 
     ``labels`` has doc_id and toxic; rows for which the column ``held_out`` (over doc_id) is true are
@@ -183,19 +192,23 @@ def score(docs: DataFrame, labels: DataFrame, held_out, max_rows: int = 16_000)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     marks = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).filter(~held_out)
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    key = [F.xxhash64("text").alias("one"), F.xxhash64(F.lit(1), "text").alias("two")]
+    marked = _beside(docs.select("doc_id", *key), marks, ["doc_id"])
+    firsts = marked.groupBy("one", "two").agg(F.min(F.struct("doc_id", "toxic")).alias("own")).select("one", "two", "own.*")
     order = F.xxhash64("doc_id")
-    # the bound on rows is the parameter max_rows; ids and labels of the sample are at most 16 bytes a row
-    sample = marks.orderBy(order, "doc_id").limit(max_rows).withColumn("part", F.pmod(F.shiftright(order, 7), F.lit(4)))
-    rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic", "part").dropDuplicates(["text"]).persist()
-    model = Model(rows.filter("part > 0").select("text", "toxic").mapInArrow(_count, COUNTS))
+    firsts = cut_lineage(firsts.withColumn("part", F.pmod(F.shiftright(order, 7), F.lit(4))))
+    curve = firsts.filter("part = 0").orderBy(order, "doc_id", "one").limit(curve_rows)
+    curve = cut_lineage(curve.select("doc_id", "one", "two", "toxic"))
+    # ids of the curve's rows: at most curve_rows
+    learned = firsts.join(F.broadcast(curve), ["doc_id", "one", "two"], "left_anti").select("doc_id", "one", "two", "toxic")
+    keyed = docs.select("doc_id", "text", *key)
+    model = Model(_beside(keyed, learned, ["doc_id", "one", "two"]).select("text", "toxic").mapInArrow(_count, COUNTS))
     if not model.usable:
-        share = sample.agg(F.avg("toxic")).first()[0] or 0.0
-        rows.unpersist()
+        share = marks.agg(F.avg("toxic")).first()[0] or 0.0
         return docs.select("doc_id", F.lit(float(share)).alias("score"))
     shared = spark.sparkContext.broadcast(model)
     schema = "doc_id long, evidence double"
-    back = rows.filter("part = 0").select("doc_id", "text").mapInArrow(_evidence(shared), schema).join(F.broadcast(sample), "doc_id").select("evidence", "toxic").toPandas()
-    rows.unpersist()
+    back = keyed.join(F.broadcast(curve), ["doc_id", "one", "two"]).select("toxic", "text").mapInArrow(_evidence(shared), "doc_id int, evidence double").withColumnRenamed("doc_id", "toxic").toPandas()
     scale = lambda e: np.log(e + 1e-3)
     slope, intercept = _curve(scale(back.evidence.to_numpy()), back.toxic.to_numpy(float)) if back.toxic.nunique() == 2 else (4.0, 4.0 * np.log(50.0))
     line = F.log(F.col("evidence") + 1e-3) * slope + intercept
