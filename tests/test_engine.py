@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import decode, exact, features, scoring, text
 from tidemark.operators import evaluation as ev
-from tidemark.operators import holders, joins, outcomes, states, upserts
+from tidemark.operators import holders, joins, outcomes, risk, states, upserts
 
 
 def one(spark, column):
@@ -146,10 +146,40 @@ def test_text(spark):
     assert one(spark, text.escape_html(F.lit("a<b>&c"))) == "a&lt;b&gt;&amp;c"
     assert one(spark, text.sanitize(F.lit(" \x07\n "))) is None
     assert one(spark, text.canonical(F.lit(" 0xAB" + "cd" * 19))) == "0xab" + "cd" * 19
-    assert one(spark, text.redact(F.lit("GET /?api_key=abc&x=1 Bearer a.b-c"))) == "GET /?api_key=[redacted]&x=1 Bearer [redacted]"
-    assert one(spark, text.age(F.lit(1500.0))) == "1d 1h" and one(spark, text.money(F.lit(None).cast("double"))) == "n/a"
-    shown = one(spark, text.render_alert(F.lit("<X>"), F.lit("STRONG"), F.lit(80.25), F.lit(1500.0), F.lit(61.0), F.array(F.lit("a&b"))))
-    assert shown.split("\n") == ["<b>&lt;X&gt;</b> STRONG", "Score: 80.3", "Liquidity: $1.50K", "Age: 1h 1m", "Warnings: a&amp;b"]
+    assert one(spark, text.redact(F.lit("see wss://node.example/v2/abc?x=1, bot123456:" + "Az-9" * 8 + " 0xsecretkey end"), ("0xsecretkey", "end"))) == "see wss://node.example/[REDACTED] [REDACTED] [REDACTED] end"
+    ages = [None, -1.0, float("nan"), 0.9, 59.0, 60.0, 61.5, 1500.0]
+    assert [one(spark, text.age(F.lit(x).cast("double"))) for x in ages] == ["not measured"] * 3 + ["0m", "59m", "1h", "1h 1m", "25h"]
+    sums = [None, float("inf"), 0.0, 1.0, 1.25, 950.0, 420_000.0, 1_240_000.0, 3e9, 0.5, 0.0123456, 0.00001234, 1.234e-7, -1500.0]
+    assert [one(spark, text.money(F.lit(x).cast("double"))) for x in sums] == ["not measured", "not measured", "$0.00", "$1", "$1.3", "$950", "$420K", "$1.2M", "$3B", "$0.500", "$0.0123", "$0.0000123", "$1.23e-7", "$-1.5K"]
+    assert [one(spark, text.error_class(F.lit(x))) for x in ("State unavailable", "up to a 10 block range", "ETIMEDOUT", "boom", None)] == ["history", "range", "rate", "transient", "transient"]
+
+
+def test_alert_text(spark):
+    schema = "a struct<level string, trigger string, symbol string, token string, pool string, age double, market_cap double, liquidity double, score double, coverage double, components array<struct<name string, raw double>>, status string, flags array<struct<severity string, message string>>>"
+    rows = [(("STRONG", "LEVEL_UPGRADED", "<X>", "0xaa", "0xbb", 61.0, None, 1500.0, 80.5, 0.75, [("liquidity", 80.2), ("smartMoney", None), ("own", 1.0)], "FAIL", [("CRITICAL", "a&b"), ("LOW", "c")]),), (("INTERESTING", "FIRST_ALERT", None, "0xaa", "0xbb", 5.0, 1.0, 1.0, 60.0, 1.0, [], None, []),)]
+    links = '<a href="https://dexscreener.com/base/0xbb">DexScreener</a> | <a href="https://www.geckoterminal.com/base/pools/0xbb">GeckoTerminal</a>'
+    strong, other = (r.x.split("\n") for r in spark.createDataFrame(rows, schema).select(text.render_alert(F.col("a")).alias("x")).collect())
+    assert strong == ["\U0001f6a8 STRONG SIGNAL (upgraded)", "TOKEN: $&lt;X&gt;", "CA: <code>0xaa</code>", "Age: 1h 1m", "MC: not measured", "Liquidity: $1.5K", "Score: 81/100", "", "Why:", "• Liquidity: 80/100", "• Smart Money: not measured", "• own: 1/100", "• Evidence coverage: 75%", "", "Risk:", "\U0001f6d1 a&amp;b", "ℹ c", "", links]
+    assert other[:2] == ["\U0001f440 INTERESTING", "TOKEN: $UNKNOWN"] and other[7:] == ["", "Why:", "", "Risk:", "• not yet evaluated", "", links]
+
+
+def test_provider_answers(spark):
+    full = '{"is_honeypot":"0","cannot_sell_all":"0","is_blacklisted":"0","transfer_pausable":"0","is_mintable":"1","buy_tax":" 0.05","holders":[' + ",".join(['{"percent":"0.05"}'] * 12) + '],"lp_holder_count":"0"}'
+    rows = [(0, full), (1, "{}"), (2, "not json"), (3, None), (4, '{"buy_tax":"0","is_honeypot":"1","holders":[{"percent":"x"}]}'), (5, full.replace("0.05", "6"))]
+    got = spark.createDataFrame(rows, "k int, j string").select("k", risk.findings(F.col("j")).alias("f")).select("k", "f", risk.provider_flags(F.col("f")).alias("flags")).orderBy("k").collect()
+    assert [r.f.unindexed for r in got] == [False, True, True, True, False, False]
+    assert (got[0].f.buy_tax, round(got[0].f.top10_percent, 9), got[4].f.top10_percent, got[1].f.top10_percent) == (0.05, 0.5, 0.0, None)
+    assert [f.code for f in got[0].flags] == ["OWNER_CAN_MINT", "LP_CONCERN", "HOLDER_CONCENTRATION"] and got[0].flags[2].message == "top 10 hold 50.0% of supply"
+    assert [f.code for r in got[1:4] for f in r.flags] == ["UNKNOWN_SECURITY_DATA"] * 3
+    assert [f.message for f in got[4].flags] == ["security provider omitted: cannot_sell_all, is_blacklisted, transfer_pausable, is_mintable", "provider reports honeypot"]
+    assert got[5].flags[-1].message == "top 10 hold 60.0% of supply"
+
+
+def test_simulations(spark):
+    rows = [(None, None, None, None), (False, None, None, "thin"), (True, False, 0.5, "x"), (True, None, 0.5, None), (True, True, 0.25, None), (True, True, 0.1, None), (True, True, 0.09, None), (True, True, None, None)]
+    got = spark.createDataFrame(rows, "b boolean, s boolean, t double, r string").coalesce(1).select(risk.simulation_flags(*map(F.col, "bstr")).alias("f")).collect()
+    assert [[(f.code, f.severity, f.action) for f in r.f] for r in got] == [[("UNKNOWN_TRADEABILITY", "MEDIUM", "WARNING")], [("UNKNOWN_TRADEABILITY", "MEDIUM", "WARNING")], [("HONEYPOT", "CRITICAL", "FAIL")], [("UNKNOWN_TRADEABILITY", "MEDIUM", "WARNING")], [("UNUSUAL_TAX", "HIGH", "WARNING")], [("UNUSUAL_TAX", "HIGH", "WARNING")], [], []]
+    assert [r.f[0].message if r.f else None for r in got][4:6] == ["round-trip token tax 25.0% at or above the fail threshold", "round-trip token tax 10.0%"]
 
 
 def evaluation(**more):

@@ -71,27 +71,70 @@ def tri_state(v):
     return _findings(v).select("doc_id", risk.tri(F.col("toxic").cast("string")).alias("flagged"))
 
 
-_FLAGGED = """, fi AS (SELECT doc_id, n_chars, quality, toxic FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) USING (doc_id)),
-    fl AS (SELECT doc_id, unnest(list_filter([CASE WHEN quality IS NULL THEN 'UNKNOWN_SECURITY_DATA' END, CASE WHEN toxic = 1 THEN 'BLACKLIST' END, CASE WHEN quality = 0 THEN 'MINTABLE' END, CASE WHEN n_chars % 100 >= 50 OR n_chars % 100 = 1 THEN 'HOLDER_CONCENTRATION' END], lambda x: x IS NOT NULL)) AS code FROM fi)"""
+_ANSWERED = """, fi AS (SELECT doc_id, n_chars % 10 AS k, CASE WHEN quality IS NOT NULL THEN doc_id % 50 = 0 END AS honeypot, CASE WHEN doc_id % 7 <> 3 THEN false END AS unsellable, toxic = 1 AS blacklist, doc_id % 11 = 0 AS paused, quality = 0 AS mintable,
+        CASE WHEN doc_id % 13 = 0 THEN true END AS hidden, doc_id % 17 = 0 AS changes, CASE WHEN n_chars % 4 = 1 THEN 0.05e0 END AS buy_tax, CASE WHEN doc_id % 3 = 0 THEN 0.1e0 END AS sell_tax, CASE WHEN doc_id % 19 = 0 THEN 0e0 ELSE 12e0 END AS lp, CASE WHEN doc_id % 5 <> 0 THEN 9 * (n_chars % 10) / 100e0 END AS top10
+    FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) USING (doc_id)),
+    fx AS (SELECT *, honeypot IS NULL AND mintable IS NULL AND buy_tax IS NULL AND sell_tax IS NULL AS unindexed FROM fi)"""
+_FLAGGED = _ANSWERED + """, fl AS (SELECT doc_id, code, message FROM (SELECT doc_id, unnest(CASE WHEN unindexed THEN [{'code': 'UNKNOWN_SECURITY_DATA', 'message': 'security provider has not indexed this token yet'}] ELSE list_filter([
+    CASE WHEN honeypot IS NULL OR unsellable IS NULL OR blacklist IS NULL OR mintable IS NULL THEN {'code': 'UNKNOWN_SECURITY_DATA', 'message': concat('security provider omitted: ', array_to_string(list_filter([CASE WHEN honeypot IS NULL THEN 'is_honeypot' END, CASE WHEN unsellable IS NULL THEN 'cannot_sell_all' END, CASE WHEN blacklist IS NULL THEN 'is_blacklisted' END, CASE WHEN mintable IS NULL THEN 'is_mintable' END], lambda x: x IS NOT NULL), ', '))} END,
+    CASE WHEN honeypot THEN {'code': 'HONEYPOT', 'message': 'provider reports honeypot'} END, CASE WHEN blacklist THEN {'code': 'BLACKLIST_CAPABILITY', 'message': 'contract can blacklist addresses'} END, CASE WHEN paused THEN {'code': 'TRADING_RESTRICTION', 'message': 'transfers can be paused'} END,
+    CASE WHEN mintable THEN {'code': 'OWNER_CAN_MINT', 'message': 'owner can mint additional supply'} END, CASE WHEN hidden THEN {'code': 'OWNER_PRIVILEGES', 'message': 'ownership can be reclaimed or is hidden'} END, CASE WHEN changes THEN {'code': 'OWNER_PRIVILEGES', 'message': 'owner can modify balances'} END,
+    CASE WHEN lp = 0 THEN {'code': 'LP_CONCERN', 'message': 'no LP holders reported'} END, CASE WHEN top10 >= 0.4 THEN {'code': 'HOLDER_CONCENTRATION', 'message': concat('top 10 hold ', CAST(9 * k AS BIGINT), '.0% of supply')} END], lambda x: x IS NOT NULL) END) AS u FROM fx), LATERAL (SELECT u.code AS code, u.message AS message))"""
+
+
+def _answers(v):
+    """Documents as tokens with a provider's answer, in JSON as it is sent: text, with blanks and gaps."""
+    labels = v.table("labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    rows = v.table("documents").select("doc_id", "n_chars").join(labels, "doc_id", "left")
+    on = lambda n: F.when(F.col("doc_id") % n == 0, "1")
+    share = F.struct(F.concat(F.lit(" 0.0"), F.col("n_chars") % 10, F.lit(" ")).alias("percent"))
+    blank = F.struct(F.lit("").alias("percent"))
+    answer = F.to_json(F.struct(
+        F.when(F.col("quality").isNull(), "").otherwise(F.coalesce(on(50), F.lit("0"))).alias("is_honeypot"),
+        F.when(F.col("doc_id") % 7 != 3, "0").alias("cannot_sell_all"),
+        F.col("toxic").cast("string").alias("is_blacklisted"),
+        F.coalesce(on(11), F.lit("0")).alias("transfer_pausable"),
+        F.when(F.col("quality") == 0, "1").when(F.col("quality") == 1, "0").alias("is_mintable"),
+        F.coalesce(on(13), F.lit("")).alias("hidden_owner"),
+        on(17).alias("owner_change_balance"),
+        F.when(F.col("n_chars") % 4 == 0, "").when(F.col("n_chars") % 4 == 1, "0.05").when(F.col("n_chars") % 4 == 2, "abc").otherwise(" ").alias("buy_tax"),
+        F.when(F.col("doc_id") % 3 == 0, "0.1").alias("sell_tax"),
+        F.when(F.col("doc_id") % 19 == 0, "0").otherwise("12").alias("lp_holder_count"),
+        F.when(F.col("doc_id") % 5 == 0, F.array().cast("array<struct<percent:string>>")).otherwise(F.concat(F.array(blank), F.array_repeat(share, 11))).alias("holders"),
+    ))
+    return rows.select("doc_id", risk.findings(answer).alias("f"))
+
+
+@query(_ANSWERED + " SELECT doc_id, honeypot, unsellable, blacklist, paused, mintable, hidden, buy_tax, sell_tax, lp, round(top10, 6) AS top10, unindexed FROM fx")
+def provider_findings(v):
+    names = {"is_honeypot": "honeypot", "cannot_sell_all": "unsellable", "is_blacklisted": "blacklist", "transfer_pausable": "paused", "is_mintable": "mintable", "hidden_owner": "hidden", "buy_tax": "buy_tax", "sell_tax": "sell_tax", "lp_holder_count": "lp", "unindexed": "unindexed"}
+    return _answers(v).select("doc_id", *(F.col("f")[c].alias(n) for c, n in names.items()), F.round(F.col("f")["top10_percent"], 6).alias("top10"))
 
 
 def _flags(v):
-    answers = {"BLACKLIST": (risk.tri(F.col("toxic").cast("string")), "CRITICAL", "FAIL"), "MINTABLE": (~risk.tri(F.col("quality").cast("string")), "HIGH", "WARNING")}
-    return _findings(v).select("doc_id", risk.provider_flags(answers, ["MINTABLE"], (F.col("n_chars") % 100).cast("double")).alias("flags"))
+    return _answers(v).select("doc_id", risk.provider_flags(F.col("f")).alias("flags"))
 
 
-@query(_FLAGGED + " SELECT doc_id, code FROM fl")
+@query(_FLAGGED + " SELECT doc_id, code, message FROM fl")
 def risk_flags(v):
-    return _flags(v).select("doc_id", F.explode("flags").alias("f")).select("doc_id", "f.code")
+    return _flags(v).select("doc_id", F.explode("flags").alias("f")).select("doc_id", "f.code", "f.message")
 
 
-@query(_FLAGGED + """, w AS (SELECT doc_id, code, CASE code WHEN 'BLACKLIST' THEN 100 WHEN 'MINTABLE' THEN 30 ELSE 15 END AS weight FROM fl)
-    SELECT d.doc_id, count(code) AS flags, CASE WHEN bool_or(code = 'BLACKLIST') THEN 'FAIL' WHEN count(code) > 0 THEN 'WARNING' ELSE 'PASS' END AS status, CAST(least(100, coalesce(sum(weight), 0)) AS BIGINT) AS score FROM documents d LEFT JOIN w ON d.doc_id = w.doc_id GROUP BY 1""")
+@query(_FLAGGED + """, w AS (SELECT DISTINCT doc_id, code, CASE WHEN code IN ('HONEYPOT', 'BLACKLIST_CAPABILITY', 'TRADING_RESTRICTION') THEN 100 WHEN code IN ('OWNER_CAN_MINT', 'HOLDER_CONCENTRATION') THEN 30 WHEN code = 'UNKNOWN_SECURITY_DATA' THEN 5 ELSE 15 END AS weight FROM fl)
+    SELECT d.doc_id, count(code) AS flags, CASE WHEN bool_or(weight = 100) THEN 'FAIL' WHEN count(code) > 0 THEN 'WARNING' ELSE 'PASS' END AS status, CAST(least(100, coalesce(sum(weight), 0)) AS BIGINT) AS score FROM documents d LEFT JOIN w ON d.doc_id = w.doc_id GROUP BY 1""")
 def risk_decision(v):
     rows = _flags(v).select("doc_id", F.explode_outer("flags").alias("f")).select("doc_id", "f.code", "f.severity", "f.action")
     return risk.decide(rows, "doc_id")
 
 
+@query("""SELECT o_orderkey, code FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'UNKNOWN_TRADEABILITY' WHEN o_orderkey % 7 = 0 THEN 'HONEYPOT' WHEN o_orderkey % 11 = 0 THEN 'UNKNOWN_TRADEABILITY' WHEN o_orderkey % 40 >= 10 THEN 'UNUSUAL_TAX' END AS code FROM orders) WHERE code IS NOT NULL""")
+def simulation_flags(v):
+    key = F.col("o_orderkey")
+    can_sell = F.when(key % 7 == 0, False).when(key % 11 != 0, True)
+    found = risk.simulation_flags(key % 5 != 0, can_sell, (key % 40) / 100, F.lit(None).cast("string"))
+    return v.table("orders").select("o_orderkey", F.explode(found).alias("f")).select("o_orderkey", "f.code")
+
+
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE concat('0x', lpad(lower(to_hex(s_suppkey)), 40, 'a')) END AS address, CASE WHEN s_suppkey % 3 <> 0 THEN concat(substr(concat('0x', lpad(lower(to_hex(s_suppkey)), 40, 'a')), 1, 6), '…', right(concat('0x', lpad(lower(to_hex(s_suppkey)), 40, 'a')), 4)) END AS short FROM supplier")
 def canonical_address(v):
     raw = F.concat(F.lit("  0X"), F.lpad(F.hex("s_suppkey"), 40, "A"), F.when(F.col("s_suppkey") % 3 == 0, "z").otherwise(" "))
@@ -108,9 +151,11 @@ def escape_html(v):
     return v.table("pages").select("page_id", F.md5(text.escape_html(F.col("html")).cast("binary")).alias("escaped"))
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(bearer\s+)[A-Za-z0-9._-]+', '\1[redacted]', 'g'), '(?i)((?:api[_-]?key|token|secret|password)=)[^&\s]+', '\1[redacted]', 'g'), '0x[0-9a-fA-F]{64}', '[redacted]', 'g')) AS clean FROM documents""")
+@query(r"""SELECT page_id, concat('GET ', regexp_replace(url, '(https?|wss?)://([^/\s"'']+)/[^\s"'']*', '\1://\2/[REDACTED]', 'g'), ' by [REDACTED] with [REDACTED]') AS clean, md5(regexp_replace(replace(html, 'the-known-secret', '[REDACTED]'), '(https?|wss?)://([^/\s"'']+)/[^\s"'']*', '\1://\2/[REDACTED]', 'g')) AS body FROM pages""")
 def redact(v):
-    return v.table("documents").select("doc_id", F.md5(text.redact(F.col("text")).cast("binary")).alias("clean"))
+    line = F.concat(F.lit("GET "), F.col("url"), F.lit(" by bot123456:" + "Ab-9" * 8 + " with the-known-secret"))
+    known = ("the-known-secret", "short")
+    return v.table("pages").select("page_id", text.redact(line, known).alias("clean"), F.md5(text.redact(F.col("html"), known).cast("binary")).alias("body"))
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'error' THEN CASE event_id % 4 WHEN 0 THEN 'history' WHEN 1 THEN 'range' WHEN 2 THEN 'rate' ELSE 'transient' END END AS class FROM events")
@@ -119,12 +164,13 @@ def classify_error(v):
     return v.table("events").select("event_id", F.when(F.col("event_type") == "error", text.error_class(message)).alias("class"))
 
 
-@query("SELECT c_custkey, CASE WHEN m < 60 THEN concat(m, 'm') WHEN m < 1440 THEN concat(m // 60, 'h ', m % 60, 'm') ELSE concat(m // 1440, 'd ', m % 1440 // 60, 'h') END AS age FROM (SELECT c_custkey, c_custkey * 17 % 5000 AS m FROM customer)")
+@query("SELECT c_custkey, CASE WHEN m < 0 THEN 'not measured' WHEN m < 60 THEN concat(m, 'm') WHEN m % 60 = 0 THEN concat(m // 60, 'h') ELSE concat(m // 60, 'h ', m % 60, 'm') END AS age FROM (SELECT c_custkey, c_custkey * 17 % 5000 - 60 AS m FROM customer)")
 def format_age(v):
-    return v.table("customer").select("c_custkey", text.age((F.col("c_custkey") * 17 % 5000).cast("double")).alias("age"))
+    return v.table("customer").select("c_custkey", text.age((F.col("c_custkey") * 17 % 5000 - 60).cast("double")).alias("age"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 'n/a' WHEN x >= 1e6 THEN format('${:.2f}M', round(CAST(x / 1e6 AS DECIMAL(30, 9)), 2)) WHEN x >= 1e3 THEN format('${:.2f}K', round(CAST(x / 1e3 AS DECIMAL(30, 9)), 2)) ELSE format('${:.2f}', round(CAST(x AS DECIMAL(30, 9)), 2)) END AS money FROM (SELECT o_orderkey, o_totalprice * (o_orderkey % 5) AS x FROM orders)")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 'not measured' WHEN x = 0 THEN '$0.00' ELSE concat('$', CASE WHEN k % 10 = 0 THEN CAST(k // 10 AS VARCHAR) ELSE format('{:.1f}', k / 10.0e0) END, unit) END AS money
+    FROM (SELECT o_orderkey, x, CAST(floor(x / d * 10 + 0.5e0) AS BIGINT) AS k, CASE d WHEN 1e6 THEN 'M' WHEN 1e3 THEN 'K' ELSE '' END AS unit FROM (SELECT *, CASE WHEN x >= 1e6 THEN 1e6 WHEN x >= 1e3 THEN 1e3 ELSE 1e0 END AS d FROM (SELECT o_orderkey, o_totalprice * (o_orderkey % 5) AS x FROM orders)))""")
 def format_money(v):
     return v.table("orders").select("o_orderkey", text.money(F.when(F.col("o_orderkey") % 9 != 0, F.col("o_totalprice") * (F.col("o_orderkey") % 5))).alias("money"))
 
@@ -170,8 +216,12 @@ def alert_payload(v):
 @query()
 def render_alert(v):
     rows = alert_payload(v)
-    warnings = F.filter(F.array(F.when(F.col("status") == "F", "risk <FAIL>"), F.when(F.col("liquidity").isNull(), "no liquidity")), lambda x: x.isNotNull())
-    return rows.select("signal_id", text.render_alert(F.col("name"), F.lit("STRONG"), F.lit(80.0), F.col("liquidity"), F.lit(75.0), warnings).alias("text"))
+    note = lambda severity, message: F.struct(F.lit(severity).alias("severity"), F.lit(message).alias("message"))
+    notes = F.array_compact(F.array(F.when(F.col("status") == "F", note("CRITICAL", "sells <fail>")), F.when(F.col("liquidity").isNull(), note("LOW", "no liquidity"))))
+    parts = F.array(F.struct(F.lit("liquidity").alias("name"), F.lit(80.0).alias("raw")), F.struct(F.lit("smartMoney").alias("name"), F.lit(None).cast("double").alias("raw")))
+    place = F.lpad(F.lower(F.hex("signal_id")), 40, "0")
+    alert = F.struct(F.lit("STRONG").alias("level"), F.lit("SCORE_MOVED").alias("trigger"), F.col("name").alias("symbol"), F.concat(F.lit("0x"), place).alias("token"), F.concat(F.lit("0x"), place).alias("pool"), F.lit(75.0).alias("age"), (F.col("liquidity") * 10).alias("market_cap"), F.col("liquidity"), F.lit(80.4).alias("score"), F.lit(0.75).alias("coverage"), parts.alias("components"), F.col("status"), notes.alias("flags"))
+    return rows.select("signal_id", text.render_alert(alert).alias("text"))
 
 
 def evaluations(v):
