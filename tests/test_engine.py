@@ -138,7 +138,12 @@ def test_scores(spark):
     assert one(spark, coverage) == pytest.approx(0.7)
     assert one(spark, features.acceleration(F.lit(50000.0), [F.lit(10000.0), F.lit(12000.0), F.lit(8000.0)])) == 5.0
     assert one(spark, features.acceleration(F.lit(5.0), [F.lit(1.0), F.lit(None).cast("double"), F.lit(1.0)])) is None
-    assert one(spark, scoring.bounded_ratio(F.lit(-1.0), 0.0, 1.0, 4.0)) is None
+    neutral, bare = scoring.component([(F.lit(None).cast("double"), 0.5)], "neutral")
+    assert (one(spark, neutral), one(spark, bare)) == (50.0, 0.0)
+    ratios = [(-1.0, 1, 4, None), (0.0, 1, 4, 0.0), (0.5, 1, 4, 25.0), (1.0, 1, 4, 50.0), (2.5, 1, 4, 75.0), (9.0, 1, 4, 100.0), (1.0, 0, 4, None), (1.0, 4, 4, None), (float("inf"), 1, 4, None)]
+    assert [one(spark, scoring.bounded_ratio(F.lit(x), n, top)) for x, n, top, _ in ratios] == [r[-1] for r in ratios]
+    assert one(spark, scoring.bounded_ratio(F.lit(0.5), 1, 4, falling=True)) == 75.0
+    assert one(spark, scoring.log_scale(F.lit(10.0), 1, 100, True)) == pytest.approx(50.0) and one(spark, scoring.log_scale(F.lit(0.0), 1, 5)) == 0.0
     assert one(spark, scoring.min_max(F.lit(5.0), 3.0, 3.0)) is None
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,39 +13,74 @@ def _clamp(x: Column) -> Column:
     return F.when(sound, F.least(F.greatest(x, F.lit(0.0)), F.lit(100.0)))
 
 
+def _turned(x: Column, falling: bool) -> Column:
+    inside = _clamp(x)
+    return 100 - inside if falling else inside
+
+
 def min_max(x: Column, low: float, high: float, falling: bool = False) -> Column:
-    if high <= low:
-        return F.lit(None).cast("double")
-    y = (x - low) / (high - low) * 100
-    return _clamp(100 - y if falling else y)
+    """Position between low and high; null if these don't rise."""
+    return _turned((x - low) / (high - low) * 100, falling) if high > low else F.lit(None).cast("double")
 
 
-def log_scale(x: Column, low: float, high: float) -> Column:
-    """Position of x between low and high on a log scale; values are floored at low, high is at least ten times low."""
-    low = max(low, 1e-9)
+def log_scale(x: Column, low: float, high: float, falling: bool = False) -> Column:
+    """Position between low and high on a log scale; values are floored at low, high is at least ten times low."""
+    low = max(low, sys.float_info.epsilon)
     high = max(high, 10 * low)
     floored = F.when(x.isNotNull(), F.greatest(x, F.lit(low)))
-    return _clamp((F.log10(floored) - F.log10(F.lit(low))) / (F.log10(F.lit(high)) - F.log10(F.lit(low))) * 100)
+    return _turned((F.log10(floored) - F.log10(F.lit(low))) / (F.log10(F.lit(high)) - F.log10(F.lit(low))) * 100, falling)
 
 
-def bounded_ratio(x: Column, low: float, neutral: float, high: float) -> Column:
-    """0 at low, 50 at neutral, 100 at high, linear in between; negative ratios are unmeasurable."""
-    if not low < neutral < high:
+def bounded_ratio(x: Column, neutral: float, saturate: float, middle: float = 50.0, falling: bool = False) -> Column:
+    """``middle`` at neutral, 0 at 0, 100 at saturate, linear in between; a negative ratio is unmeasurable."""
+    if not 0 < neutral < saturate:
         return F.lit(None).cast("double")
-    below, above = (x - low) / (neutral - low) * 50, 50 + (x - neutral) / (high - neutral) * 50
-    return F.when(x >= 0, _clamp(F.when(x <= neutral, below).otherwise(above)))
+    rising = F.when(x >= neutral, middle + (x - neutral) / (saturate - neutral) * (100 - middle)).otherwise(x / neutral * middle)
+    return F.when(x >= 0, _turned(rising, falling))
+
+
+#: Features of each component: weight, normaliser and its bounds (fixed values).
+COMPONENTS = {
+    "liquidity": {
+        "liquidity_usd": (0.4, log_scale, 1_000, 1_000_000),
+        "liquidity_growth": (0.2, min_max, -0.5, 1),
+        "liquidity_stability": (0.2, min_max, 0, 1),
+        "mc_liquidity": (0.2, log_scale, 1, 100, True),
+    },
+    "momentum": {
+        "acceleration": (0.4, bounded_ratio, 1, 5),
+        "buy_sell_ratio": (0.3, bounded_ratio, 1, 3),
+        "velocity": (0.2, log_scale, 0.1, 50),
+        "buyer_growth": (0.1, bounded_ratio, 1, 3),
+    },
+    "holder": {
+        "holder_count": (0.3, log_scale, 10, 2_000),
+        "holder_growth": (0.3, min_max, 0, 20),
+        "top10_concentration": (0.25, min_max, 0.1, 0.8, True),
+        "holder_retention": (0.15, min_max, 0, 1),
+    },
+    "smart_money": {
+        "smart_count": (0.5, min_max, 0, 5),
+        "smart_recency": (0.2, min_max, 0, 60, True),
+        "smart_quality": (0.3, min_max, 0, 100),
+    },
+}
+#: Weights of the components in the first strategy, and points taken off at most (fixed values).
+WEIGHTS = {"liquidity": 0.2, "momentum": 0.3, "holder": 0.2, "smart_money": 0.3}
+PENALTIES = {"cluster_concentration": (25, min_max, 0.1, 0.6)}
 
 
 def component(parts: list[tuple[Column, float]], policy: str = "renormalize") -> tuple[Column, Column]:
-    """A component's score and its measured share of weight. policy: renormalize, neutral (50) or zero for nulls.
+    """A component's score and its measured share of weight.
 
-    Sums are written out in the order of the parts, so that doubles add up alike everywhere.
+    Nulls are left out of score and weight (renormalize) or count as 50 (neutral) or 0 (zero). Sums are written
+    out in the order of the parts, so that doubles add up alike everywhere.
     """
     total, weight, whole = F.lit(0.0), F.lit(0.0), sum(w for _, w in parts)
     for x, w in parts:
         total = total + F.when(x.isNotNull(), x * w).otherwise({"neutral": 50.0 * w}.get(policy, 0.0))
         weight = weight + F.when(x.isNotNull(), F.lit(w)).otherwise(0.0)
-    score = F.when(weight > 0, total / (weight if policy == "renormalize" else F.lit(whole)))
+    score = F.when(weight > 0, total / weight) if policy == "renormalize" else total / whole
     return score, weight / whole
 
 
@@ -57,5 +94,15 @@ def alpha(components: list[tuple[Column, float]], penalties: Column) -> tuple[Co
     for x, w in components:
         total = total + F.when(x.isNotNull(), x * w).otherwise(0.0)
         coverage = coverage + F.when(x.isNotNull(), F.lit(w)).otherwise(0.0)
-    base = F.when(coverage > 0, total / coverage).otherwise(0.0)
-    return F.least(F.greatest(base - penalties, F.lit(0.0)), F.lit(100.0)), coverage
+    base = F.when(coverage > 0, F.try_divide(total, coverage)).otherwise(0.0)
+    return F.coalesce(_clamp(base - penalties), F.lit(0.0)), coverage
+
+
+def strategy(policy: str = "renormalize") -> dict[str, Column]:
+    """Columns of the first strategy's components, score and coverage over the sixteen features."""
+    found = {name: component([(kind(F.col(c), *bounds), w) for c, (w, kind, *bounds) in parts.items()], policy)[0] for name, parts in COMPONENTS.items()}
+    off = F.lit(0.0)
+    for c, (most, kind, *bounds) in PENALTIES.items():
+        off = off + penalty(kind(F.col(c), *bounds), most)
+    score, coverage = alpha([(found[name], WEIGHTS[name]) for name in found], off)
+    return found | {"score": score, "coverage": coverage}

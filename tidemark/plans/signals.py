@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import scoring, text
+from tidemark.functions import features, scoring, text
 from tidemark.operators import joins, risk, states
 from tidemark.sources.views import MINUTE
 
+from . import measure, wallets
 from .measure import _MOMENTUM, momentum
-from .registry import query
+from .registry import ORACLE_SQL, query, six
 
 _CLAMP = "least(greatest({}, 0), 100)"
 
@@ -24,9 +26,9 @@ def normalize_log(v):
     return v.table("events").select("event_id", F.round(scoring.log_scale(F.col("value"), 1.0, 300.0), 6).alias("score"))
 
 
-@query("SELECT c_custkey, round(CASE WHEN c_acctbal >= 0 THEN " + _CLAMP.format("CASE WHEN c_acctbal <= 3000 THEN (c_acctbal - 500) / 2500 * 50 ELSE 50 + (c_acctbal - 3000) / 5000 * 50 END") + " END, 6) AS score FROM customer")
+@query("SELECT c_custkey, round(CASE WHEN c_acctbal >= 0 THEN " + _CLAMP.format("CASE WHEN c_acctbal >= 3000 THEN 50 + (c_acctbal - 3000) / 5000 * 50 ELSE c_acctbal / 3000 * 50 END") + " END, 6) AS score FROM customer")
 def normalize_ratio(v):
-    return v.table("customer").select("c_custkey", F.round(scoring.bounded_ratio(F.col("c_acctbal"), 500, 3000, 8000), 6).alias("score"))
+    return v.table("customer").select("c_custkey", F.round(scoring.bounded_ratio(F.col("c_acctbal"), 3000, 8000), 6).alias("score"))
 
 
 _PARTS = _MOMENTUM + """, sc AS (SELECT signal_id, CASE WHEN acceleration IS NOT NULL THEN least(greatest(acceleration / 5 * 100, 0), 100) END AS a, CASE WHEN buy_sell_ratio IS NOT NULL THEN least(greatest(buy_sell_ratio / 4 * 100, 0), 100) END AS b, CASE WHEN velocity IS NOT NULL THEN least(greatest(velocity / 0.5 * 100, 0), 100) END AS c, CASE WHEN buyer_growth IS NOT NULL THEN least(greatest((buyer_growth + 1) / 3 * 100, 0), 100) END AS d FROM m),
@@ -62,6 +64,65 @@ def alpha_score(v):
     return _alpha(v).select("signal_id", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage"), (F.col("coverage") >= 0.5).alias("sufficient"))
 
 
+def _nested(name: str) -> str:
+    """Another query's SQL as a table."""
+    return f"({ORACLE_SQL[name]})"
+
+
+_FEATURE_SET = f"""SELECT s.signal_id, la.liquidity AS liquidity_usd, lg.liquidity_growth, st.stability AS liquidity_stability, mc.mc_liquidity, mo.acceleration, mo.buy_sell_ratio, mo.velocity, mo.buyer_growth, s.holder_count,
+    round(CASE WHEN minutes > 0 THEN (s.holder_count - before) / minutes END, 6) AS holder_growth, tc.concentration AS top10_concentration, hr.retention AS holder_retention, cc.cluster_concentration, si.smart_count, sm.smart_recency, sm.smart_quality
+    FROM (SELECT *, lag(holder_count) OVER w AS before, (t - lag(t) OVER w) / 6e7 AS minutes FROM (SELECT signal_id, pool_id, t, signals.token_id % 25 AS token_id, hc.holders AS holder_count FROM signals JOIN {_nested("holder_count")} hc ON hc.token_id = signals.token_id % 25) WINDOW w AS (PARTITION BY pool_id ORDER BY t, signal_id)) s
+    JOIN {_nested("momentum_features")} mo USING (signal_id) LEFT JOIN {_nested("latest_snapshot")} la ON la.pool_id = s.pool_id LEFT JOIN {_nested("liquidity_growth")} lg ON lg.snapshot_id = la.snapshot_id LEFT JOIN {_nested("mc_liquidity")} mc ON mc.snapshot_id = la.snapshot_id
+    LEFT JOIN {_nested("liquidity_stability")} st ON st.pool_id = s.pool_id LEFT JOIN {_nested("top10_concentration")} tc ON tc.token_id = s.token_id LEFT JOIN {_nested("holder_retention")} hr ON hr.token_id = s.token_id LEFT JOIN {_nested("cluster_concentration")} cc ON cc.token_id = s.token_id
+    LEFT JOIN {_nested("smart_money")} sm ON sm.pool_id = s.pool_id LEFT JOIN (SELECT pool_id, count(DISTINCT coalesce(k, concat('wallet:', e.wallet))) AS smart_count FROM {_nested("smart_entries")} e LEFT JOIN (SELECT wallet, min(cluster_key) AS k FROM {_nested("clusters")} GROUP BY 1) f ON f.wallet = e.wallet GROUP BY 1) si ON si.pool_id = s.pool_id"""
+
+
+def _features(v):
+    """The sixteen features of every signal: by its pool, its token and the trades before it."""
+    order = Window.partitionBy("pool_id").orderBy("t", "signal_id")
+    counts = wallets.holder_count(v).select("token_id", F.col("holders").alias("holder_count"))
+    rows = v.signals.select("signal_id", "pool_id", "t", (F.col("token_id") % 25).alias("token_id")).join(counts, "token_id")
+    rate = features.holder_rate(F.col("holder_count"), F.lag("holder_count").over(order), (F.col("t") - F.lag("t").over(order)) / 6e7)
+    rows = rows.withColumn("holder_growth", F.round(rate, 6)).join(momentum(v).withColumns(six("acceleration", "buy_sell_ratio", "velocity", "buyer_growth")), "signal_id")
+    last = measure.latest_snapshot(v).withColumnRenamed("liquidity", "liquidity_usd").join(measure.liquidity_growth(v), "snapshot_id", "left").join(measure.mc_liquidity(v), "snapshot_id", "left").drop("snapshot_id")
+    first = wallets.clusters(v).groupBy("wallet").agg(F.min("cluster_key").alias("k"))
+    alone = wallets.smart_entries(v).join(first, "wallet", "left").groupBy("pool_id").agg(F.countDistinct(F.coalesce("k", F.concat(F.lit("wallet:"), "wallet"))).alias("smart_count"))
+    by_pool = [last, measure.liquidity_stability(v).withColumnRenamed("stability", "liquidity_stability"), wallets.smart_money(v).drop("smart_count"), alone]
+    by_token = [wallets.top10_concentration(v).withColumnRenamed("concentration", "top10_concentration"), wallets.holder_retention(v).withColumnRenamed("retention", "holder_retention"), wallets.cluster_concentration(v)]
+    for key, tables in (("pool_id", by_pool), ("token_id", by_token)):
+        for table in tables:
+            rows = rows.join(table, key, "left")
+    return rows.drop("pool_id", "token_id", "t")
+
+
+@query(_FEATURE_SET)
+def feature_set(v):
+    return _features(v)
+
+
+def _sql_scale(kind, x: str, low: float, high: float, falling: bool = False) -> str:
+    place = {scoring.min_max: f"({x} - ({low}e0)) / ({high}e0 - ({low}e0)) * 100", scoring.log_scale: f"(log10(greatest({x}, {low}e0)) - log10({low}e0)) / (log10({high}e0) - log10({low}e0)) * 100", scoring.bounded_ratio: f"CASE WHEN {x} >= 0 THEN CASE WHEN {x} >= {low} THEN 50 + ({x} - {low}e0) / ({high}e0 - {low}e0) * 50 ELSE {x} / {low}e0 * 50 END END"}[kind]
+    inside = f"CASE WHEN {x} IS NOT NULL AND ({place}) IS NOT NULL THEN least(greatest({place}, 0e0), 100e0) END"
+    return f"100 - {inside}" if falling else inside
+
+
+def _sql_mean(parts: dict[str, float]) -> str:
+    total, weight = (" + ".join(f"CASE WHEN {x} IS NOT NULL THEN {y} ELSE 0e0 END" for x, y in ((x, f"{x} * {w}e0" if i == 0 else f"{w}e0") for x, w in parts.items())) for i in (0, 1))
+    return f"CASE WHEN {weight} > 0 THEN ({total}) / ({weight}) END"
+
+
+_SCALED = ", ".join(f"{_sql_scale(kind, c, *bounds)} AS {c}_n" for parts in [*scoring.COMPONENTS.values(), scoring.PENALTIES] for c, (_, kind, *bounds) in parts.items())
+_MEANS = ", ".join(_sql_mean({f"{c}_n": spec[0] for c, spec in parts.items()}) + f" AS {name}" for name, parts in scoring.COMPONENTS.items())
+_SHARE = " + ".join(f"CASE WHEN {name} IS NOT NULL THEN {w}e0 ELSE 0e0 END" for name, w in scoring.WEIGHTS.items())
+
+
+@query(f"""SELECT signal_id, {", ".join(f"round({c}, 6) AS {c}" for c in scoring.WEIGHTS)}, round(least(greatest(coalesce({_sql_mean(scoring.WEIGHTS)}, 0) - coalesce(cluster_concentration_n, 0) / 100 * 25, 0), 100), 6) AS score, round({_SHARE}, 6) AS coverage, {_SHARE} >= 0.6e0 AS sufficient
+    FROM (SELECT signal_id, cluster_concentration_n, {_MEANS} FROM (SELECT signal_id, {_SCALED} FROM ({_FEATURE_SET})))""")
+def strategy_score(v):
+    """The first strategy's score of every signal, from all its features."""
+    return _features(v).select("signal_id", *(x.alias(c) for c, x in scoring.strategy().items())).withColumn("sufficient", F.col("coverage") >= 0.6).withColumns(six(*scoring.WEIGHTS, "score", "coverage"))
+
+
 def _findings(v):
     return v.table("documents").select("doc_id", "n_chars").join(v.table("labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")), "doc_id", "left")
 
