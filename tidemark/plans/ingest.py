@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import text
+from tidemark.functions import decode, exact, text
 from tidemark.operators import joins, upserts, windows
 from tidemark.sources.views import MINUTE
 from tidemark.streaming import tail
@@ -227,3 +227,68 @@ def offset_label(v):
     return v.table("events").select("event_id", text.offset_label(F.col("event_id") % 61 * 30).alias("label"))
 
 
+def _word(x):
+    """A 32-byte word of a long, in hex; two's complement."""
+    return F.lpad(F.lower(F.hex(x)), 64, F.when(x < 0, "f").otherwise("0"))
+
+
+def _address(x):
+    return F.concat(F.lit("0x"), _word(x))
+
+
+def _logs(v, names: dict, words, topics):
+    """Events as chain logs: kind by event_id, every 13th pending, every 17th of an unknown kind."""
+    first = list(names)
+    kind = F.element_at(F.array(*map(F.lit, first)), (F.col("event_id") % len(first) + 1).cast("int"))
+    rows = v.table("events").select("event_id", "user_id", F.round(F.col("value") * 100).cast("long").alias("cents")).withColumn("kind", kind)
+    head = F.when(F.col("event_id") % 17 == 0, "0x" + "0" * 64).otherwise(F.upper(F.col("kind")))
+    head = F.regexp_replace(head, "^0X", "0x")
+    return rows.select(
+        F.concat(F.lit("0x"), F.upper(F.right(_word(F.col("event_id") % 20), F.lit(40)))).alias("address"), F.concat(F.array(head), topics).alias("topics"), F.concat(F.lit("0x"), words).alias("data"),
+        F.when(F.col("event_id") % 13 != 0, F.col("event_id")).alias("block_number"), F.concat(F.lit("0xAB"), F.col("event_id")).alias("tx_hash"), F.lit(0).alias("log_index"),
+    )
+
+
+def _sql_address(x: str) -> str:
+    return f"concat('0x', lpad(lower(to_hex({x})), 40, '0'))"
+
+
+_LOGGED = " FROM events WHERE event_id % 13 <> 0 AND event_id % 17 <> 0"
+_TX = "event_id AS block_number, concat('0xab', event_id) AS tx_hash, 0 AS log_index"
+_DEX = "CASE event_id % 3 WHEN 0 THEN 'uniswap-v2' WHEN 1 THEN 'uniswap-v3' ELSE 'aerodrome' END AS dex"
+_CENTS = "CAST(round(value * 100) AS BIGINT)"
+
+
+@query(f"SELECT {_DEX}, {_sql_address('event_id % 20')} AS pool, {_sql_address('user_id')} AS wallet, CAST(CASE WHEN event_id % 3 = 1 THEN -{_CENTS} ELSE {_CENTS} - event_id END AS VARCHAR) AS amount0, CAST(CASE WHEN event_id % 3 = 1 THEN event_id ELSE event_id % 97 - 50 END AS VARCHAR) AS amount1, {_TX}" + _LOGGED)
+def decode_swaps(v):
+    """Swap logs of three kinds: what came in less what went out, or one signed amount a side."""
+    cents, key = F.col("cents"), F.col("event_id")
+    words = F.when(key % 3 == 1, F.concat(_word(-cents), _word(key), *[_word(F.lit(7))] * 3)).otherwise(F.concat(_word(cents), _word(key % 97), _word(key), _word(F.lit(50))))
+    return decode.swaps(_logs(v, decode.SWAPPED, words, F.array(_address(F.lit(5)), _address(F.col("user_id")))))
+
+
+@query(f"SELECT {_DEX}, {_sql_address('event_id')} AS pool, {_sql_address('user_id')} AS token0, {_sql_address('user_id + 1')} AS token1, CAST(CASE WHEN event_id % 3 = 1 THEN 3000 END AS INTEGER) AS fee, CASE WHEN event_id % 3 = 2 THEN user_id % 2 = 1 END AS stable, {_TX}" + _LOGGED)
+def decode_pool_logs(v):
+    """Creation logs of three kinds."""
+    key, v3 = F.col("event_id"), F.col("event_id") % 3 == 1
+    topics = F.array_compact(F.array(_address(F.col("user_id")), _address(F.col("user_id") + 1), F.when(v3, _address(F.lit(3000))).when(key % 3 == 2, _address(F.col("user_id") % 2))))
+    return decode.pools(_logs(v, decode.CREATED, F.when(v3, F.concat(_word(F.lit(60)), _word(key))).otherwise(F.concat(_word(key), _word(F.lit(9)))), topics))
+
+
+@query(f"SELECT {_sql_address('event_id % 20')} AS token, {_sql_address('user_id')} AS source, {_sql_address('user_id + 1')} AS target, CAST({_CENTS} AS VARCHAR) AS value, {_TX}" + _LOGGED)
+def decode_transfers(v):
+    """Transfer logs."""
+    return decode.transfers(_logs(v, {decode.TRANSFERRED: "transfer"}, _word(F.col("cents")), F.array(_address(F.col("user_id")), _address(F.col("user_id") + 1))))
+
+
+@query("""SELECT event_id, CASE WHEN base = 0 OR p = 0 THEN NULL ELSE concat(p // 1000000000000000000, CASE WHEN p % 1000000000000000000 = 0 THEN '' ELSE concat('.', rtrim(lpad(CAST(p % 1000000000000000000 AS VARCHAR), 18, '0'), '0')) END) END AS price
+    FROM (SELECT event_id, base, CASE WHEN base > 0 THEN CAST(cents AS HUGEINT) * 15 * 1000000000000000000 // (CAST(base AS HUGEINT) * 10) END AS p FROM (SELECT event_id, event_id % 97 AS base, CAST(round(value * 100) AS HUGEINT) AS cents FROM events))""")
+def fused_price(v):
+    """Dollars for a unit of the base token, exact to 18 places: multiplied first, divided once, cut."""
+    rows = v.table("events").select("event_id", (F.col("event_id") % 97).cast("string").alias("base"), F.round(F.col("value") * 100).cast("long").cast("string").alias("quote"))
+    return rows.select("event_id", exact.fused_usd("base", "quote", F.lit(6), F.lit(6), F.lit("1.5")).alias("price"))
+
+
+@query("SELECT s_suppkey, CASE WHEN length(s_name) <= 10 THEN s_name ELSE concat(substr(s_name, 1, 6), '…', right(s_name, 4)) END AS name, CASE WHEN length(CAST(s_suppkey * 123456 AS VARCHAR)) <= 7 THEN CAST(s_suppkey * 123456 AS VARCHAR) ELSE concat(substr(CAST(s_suppkey * 123456 AS VARCHAR), 1, 4), '…', right(CAST(s_suppkey * 123456 AS VARCHAR), 3)) END AS digits FROM supplier")
+def shorten(v):
+    return v.table("supplier").select("s_suppkey", text.shorten(F.col("s_name")).alias("name"), text.shorten((F.col("s_suppkey") * 123456).cast("string"), 4, 3).alias("digits"))
