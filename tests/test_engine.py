@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import decode, exact, features, scoring, text
 from tidemark.operators import evaluation as ev
-from tidemark.operators import holders, joins, outcomes, risk, states, upserts
+from tidemark.operators import holders, joins, outcomes, report, risk, states, upserts
 
 
 def one(spark, column):
@@ -191,6 +191,33 @@ def evaluation(**more):
     return {"token_id": 1, "seq": 1, "minute": 0.0, "alpha": 50.0, "sufficient": True, "risk": "PASS", "age": 1.0, "idle": None, "liquidity": None, "peak": None} | more
 
 
+def test_report(spark):
+    from tidemark.plans import measure
+    from tidemark.sources.views import Views
+
+    schema = "version string, horizon string, token_id long, alpha double, coverage double, return_pct double, max_runup_pct double, max_drawdown_pct double, failure_reason string, features map<string,double>"
+    rows = [("v1", "1h", i, 80.0, 0.9, float(i + 1), float(i + 2), -1.0, None, {"x": float(i), "same": 1.0}) for i in range(4)]
+    rows += [("v1", "5m", 9, 10.0, 0.1, -2.5, 0.0, -3.0, None, {}), ("v1", "1h", 9, 80.0, 0.9, None, None, None, "incomplete_tail_coverage", {}), ("v1", "1h", 9, 80.0, 0.9, None, None, None, None, None), ("v2", "1h", 1, 80.0, 0.9, 1.0, 1.0, 1.0, None, {})]
+    shown = report.render(spark.createDataFrame(rows, schema), "v1", "now", 4)
+    lines = [" ".join(x.split()) for x in shown.split("\n")]
+    assert "STRONG 1h 6 (5 tok) 4 100% [51–100] +2.5% +2.5% +1.3% / +3.7% +3.5% / -1.0% ∞ (no losses yet)" in lines
+    assert "IGNORE 5m 1 (1 tok) 1 INSUFFICIENT — need more outcomes" in lines and "x 1h 4/4 1.00" in lines and "same 1h 4/4 — (no variation)" in lines
+    assert any(x.startswith("!! 1 of 7 samples (14.3%)") for x in lines) and "incomplete_tail_coverage 1" in lines and "unknown 1" in lines
+    assert report.render(spark.createDataFrame(rows, schema), "v3", "now") == ""
+    whole = measure.samples(Views(spark, "/root/testdata/sf0.001")).withColumn("features", F.create_map(F.lit("coverage"), F.col("coverage")))
+    assert "Outcomes by score band" in report.render(whole, "v1", "now")
+
+
+def test_overlaps_equal_the_loop(spark):
+    rng = random.Random(5)
+    windows = [(i, s, s + rng.randint(0, 50)) for i in range(60) for s in [rng.randint(-100, 400)]]
+    spans = [(a, None if rng.random() < 0.1 else (a or 0) + rng.randint(0, 30)) for _ in range(25) for a in [None if rng.random() < 0.1 else rng.randint(-150, 450)]]
+    for part in (spans, spans[:3], []):
+        got = outcomes.overlapping(spark.createDataFrame(windows, "k int, start long, end long"), spark.createDataFrame(part, "from_t long, to_t long"), 20, F.col("k") > 2)
+        want = {k for k, s, e in windows if k > 2 and any((a is None or a <= e) and (b is None or b >= s) for a, b in part)}
+        assert {r.k for r in got.collect()} == want
+
+
 def test_signal_machine():
     policy = states.Policy()
     kept, told = states.step(states.Signal(), evaluation(alpha=90.0), policy)
