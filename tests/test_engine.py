@@ -213,7 +213,7 @@ def test_overlaps_equal_the_loop(spark):
     windows = [(i, s, s + rng.randint(0, 50)) for i in range(60) for s in [rng.randint(-100, 400)]]
     spans = [(a, None if rng.random() < 0.1 else (a or 0) + rng.randint(0, 30)) for _ in range(25) for a in [None if rng.random() < 0.1 else rng.randint(-150, 450)]]
     for part in (spans, spans[:3], []):
-        got = outcomes.overlapping(spark.createDataFrame(windows, "k int, start long, end long"), spark.createDataFrame(part, "from_t long, to_t long"), 20, F.col("k") > 2)
+        got = joins.overlapping(spark.createDataFrame(windows, "k int, start long, end long"), spark.createDataFrame(part, "from_t long, to_t long"), 20, F.col("k") > 2)
         want = {k for k, s, e in windows if k > 2 and any((a is None or a <= e) and (b is None or b >= s) for a, b in part)}
         assert {r.k for r in got.collect()} == want
 

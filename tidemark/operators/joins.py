@@ -53,7 +53,16 @@ def top_by(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> Dat
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= n)
 
 
-def overlapping(windows: DataFrame, gaps: DataFrame) -> DataFrame:
-    """Windows (start, end) that some gap (from_t, to_t) overlaps; an unknown bound overlaps everything on its side."""
-    met = (F.col("from_t").isNull() | (F.col("from_t") <= F.col("end"))) & (F.col("to_t").isNull() | (F.col("to_t") >= F.col("start")))
-    return windows.join(gaps.select("from_t", "to_t"), met, "left_semi")
+def overlapping(windows: DataFrame, spans: DataFrame, width: int, also: Column | None = None) -> DataFrame:
+    """Windows (start, end) that a span (from_t, to_t; null bounds are open) meets where ``also`` holds, if given; a window may come more than once.
+
+    Both sides go to the time buckets that they touch, ``width`` long, and meet by bucket: no nested loops. Spans
+    are cut to the windows' extent first, so an open one touches no more buckets than there are.
+    """
+    extent = windows.agg(F.min("start").alias("_first"), F.max("end").alias("_last"))  # one row
+    touched = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
+    cut = spans.crossJoin(F.broadcast(extent)).withColumns({"_lo": F.greatest("from_t", "_first"), "_hi": F.least("to_t", "_last")}).filter("_lo <= _hi").withColumn("_bucket", touched("_lo", "_hi"))
+    met = (F.col("_lo") <= F.col("end")) & (F.col("_hi") >= F.col("start"))
+    met = met if also is None else met & also
+    left = windows.withColumn("_bucket", touched("start", "end")).alias("w")
+    return left.join(cut.alias("s"), (F.col("w._bucket") == F.col("s._bucket")) & met, "left_semi").drop("_bucket")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import range_join
+from .joins import overlapping, range_join
 
 #: Horizons in minutes (fixed values).
 HORIZONS = {"1m": 1, "5m": 5, "15m": 15, "30m": 30, "1h": 60, "4h": 240, "24h": 1440}
@@ -71,20 +71,6 @@ def due(windows: DataFrame, outcomes: DataFrame, now: Column | int) -> DataFrame
     return windows.filter(F.col("end") <= now).join(outcomes.select("signal_id", "horizon"), ["signal_id", "horizon"], "left_anti")
 
 
-def overlapping(windows: DataFrame, spans: DataFrame, width: int, also: Column) -> DataFrame:
-    """Windows (start, end) that a span (from_t, to_t; null bounds are open) meets where ``also`` holds; a window may come more than once.
-
-    Both sides go to the time buckets that they touch, ``width`` long, and meet by bucket: no nested loops. Spans
-    are cut to the windows' extent first, so an open one touches no more buckets than there are.
-    """
-    extent = windows.agg(F.min("start").alias("_first"), F.max("end").alias("_last"))  # one row
-    touched = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
-    cut = spans.crossJoin(F.broadcast(extent)).withColumns({"_lo": F.greatest("from_t", "_first"), "_hi": F.least("to_t", "_last")}).filter("_lo <= _hi").withColumn("_bucket", touched("_lo", "_hi"))
-    met = (F.col("_lo") <= F.col("end")) & (F.col("_hi") >= F.col("start")) & also
-    left = windows.withColumn("_bucket", touched("start", "end")).alias("w")
-    return left.join(cut.alias("s"), (F.col("w._bucket") == F.col("s._bucket")) & met, "left_semi").drop("_bucket")
-
-
 def damaged(outcomes: DataFrame, trades: DataFrame, rollbacks: DataFrame, longest: int) -> DataFrame:
     """Outcomes to measure again and why: reorg, then incomplete, then late.
 

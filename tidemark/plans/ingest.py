@@ -189,7 +189,7 @@ def gap_overlap(v):
     us = "unix_micros(CAST(ts AS TIMESTAMP))"
     gaps = v.table("events").filter("event_id % 499 = 0").selectExpr(f"CASE WHEN event_id % 2 = 0 THEN {us} END AS from_t", f"CASE WHEN event_id % 2 = 0 THEN {us} + 600000000 ELSE 1704300000000000 END AS to_t")
     spans = v.signals.selectExpr("signal_id", "t AS start", "t + 3600000000 AS end")
-    return joins.overlapping(spans, gaps).select("signal_id")
+    return joins.overlapping(spans, gaps, 60 * MINUTE).select("signal_id").distinct()
 
 
 @query("""SELECT event_type AS source, max(CASE WHEN ok THEN t END) AS watermark_t FROM
