@@ -290,3 +290,41 @@ def test_queries_equal_their_sql(spark):
         want = con.execute(ORACLE_SQL[name]).df()
         got = QUERIES[name](spark, folder).toPandas()
         assert sorted(want.columns) == sorted(got.columns) and len(want) == len(got), name
+
+
+def test_clusters_take_all_fundings(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from tidemark.plans.catalog import QUERIES
+
+    rng = random.Random(14)
+    at = [datetime(2024, 1, 1) + timedelta(hours=rng.randrange(240)) for _ in range(60)]
+    rows = [(i + 1, 100 + rng.randrange(40), at[i], float(rng.choice([0, 100, 104, 107, 250, 300])), rng.choice("ab")) for i in range(60)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate timestamp, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    owners = [(i % 3, i + 1, rng.randrange(-50, 500) / 1.0) for i in range(60)]
+    spark.createDataFrame(owners, "c_nationkey long, c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    near, groups = set(), {}
+    for w, f, t, x, k in rows:
+        groups.setdefault(f"funder:{f}", set()).add(w)
+        groups.setdefault(f"tx:{t}{k}", set()).add(w)
+        for o, _, u, y, _ in rows:
+            if t <= u <= t + timedelta(days=1) and (u > t or o > w) and (x == y or x and y and (max(x, y) - min(x, y)) / max(x, y) <= 0.05):
+                near.add((w, o))
+                groups.setdefault(f"batch:{w}", {w}).add(o)
+    groups = {k: ws for k, ws in groups.items() if len(ws) > 1}
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, run("cluster_batch"))) == sorted(near)
+    found = {}
+    for r in run("clusters"):
+        found.setdefault("tx" if r.cluster_key.startswith("tx:") else r.cluster_key, []).append(r.wallet)
+    own = lambda tx: sorted(w for k, ws in groups.items() if k.startswith("tx:") == tx for w in ws)
+    assert sorted(found.pop("tx", [])) == own(True)
+    assert {k: sorted(ws) for k, ws in found.items()} == {k: sorted(ws) for k, ws in groups.items() if not k.startswith("tx:")}
+    us = lambda t: int((t - datetime(1970, 1, 1)).total_seconds()) * 10**6
+    named = {k if not k.startswith("tx:") else f"tx:{us(datetime.fromisoformat(k[3:-1]))}{k[-1]}": ws for k, ws in groups.items()}
+    first = {w: min(k for k, ws in named.items() if w in ws) for ws in named.values() for w in ws}
+    (alone,) = run("independent_count")
+    assert alone.independent == len(set(first.values())) + 60 - len(first)
+    held = {w: (n, round(b * 100)) for n, w, b in owners if b > 0}
+    want = {n: max(sum(held[w][1] for w in ws if w in held and held[w][0] == n) for ws in groups.values()) * 10**6 // sum(b for m, b in held.values() if m == n) / 10**6 for n in range(3)}
+    assert {r.token_id: r.cluster_concentration for r in run("cluster_concentration")} == want

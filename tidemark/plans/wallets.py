@@ -76,12 +76,12 @@ _CLUSTERS = _BATCH + """, members AS (SELECT concat('funder:', funder) AS cluste
 
 
 def _clusters(v):
-    return h.clusters(v.fundings.filter("wallet % 10 = 0"), DAY, 0.05)
+    return h.clusters(v.fundings, DAY, 0.05)
 
 
 @query(_BATCH + " SELECT anchor, wallet FROM near")
 def cluster_batch(v):
-    return h.batches(v.fundings.filter("wallet % 10 = 0"), DAY, 0.05)
+    return h.batches(v.fundings, DAY, 0.05)
 
 
 @query(_CLUSTERS + " SELECT cluster_key, wallet FROM cl")
@@ -91,7 +91,7 @@ def clusters(v):
 
 @query(_CLUSTERS + ", f AS (SELECT wallet, min(cluster_key) AS k FROM cl GROUP BY 1) SELECT count(DISTINCT k) + count(*) FILTER (k IS NULL) AS independent FROM (SELECT fd.wallet, f.k FROM fd LEFT JOIN f ON fd.wallet = f.wallet)")
 def independent_count(v):
-    return h.independent(_clusters(v), v.fundings.filter("wallet % 10 = 0"))
+    return h.independent(_clusters(v), v.fundings)
 
 
 @query(_CLUSTERS + """, p AS (SELECT * FROM holders WHERE balance > 0), g AS (SELECT p.token_id, cluster_key, sum(balance) AS held FROM cl JOIN p ON cl.wallet = p.wallet GROUP BY 1, 2), m AS (SELECT token_id, max(held) AS held FROM g GROUP BY 1)
