@@ -328,3 +328,17 @@ def test_clusters_take_all_fundings(spark, tmp_path):
     held = {w: (n, round(b * 100)) for n, w, b in owners if b > 0}
     want = {n: max(sum(held[w][1] for w in ws if w in held and held[w][0] == n) for ws in groups.values()) * 10**6 // sum(b for m, b in held.values() if m == n) / 10**6 for n in range(3)}
     assert {r.token_id: r.cluster_concentration for r in run("cluster_concentration")} == want
+
+
+def test_repairs_at_all_horizons(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from tidemark.plans.catalog import QUERIES
+
+    at = datetime(2024, 1, 1)
+    hours = lambda h: at + timedelta(hours=h)
+    # a signal, a trade of its pool written six minutes late just before 4h, a rollback found after 24h, the tail
+    rows = [(20, 1, "signup", at), (160, 2, "view", hours(4) - timedelta(minutes=1)), (998, 3, "view", hours(23)), (3, 4, "view", hours(25))]
+    data = [(i, u, k, t, 5.0, '{"k": "1"}') for i, u, k, t in rows]
+    spark.createDataFrame(data, "event_id long, user_id long, event_type string, ts timestamp, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    assert {tuple(r) for r in QUERIES["damaged_outcomes"](spark, str(tmp_path)).collect()} == {(20, "4h", "late"), (20, "24h", "reorg")}

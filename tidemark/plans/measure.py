@@ -64,10 +64,14 @@ def due_outcomes(v):
           EXISTS (SELECT 1 FROM trades x WHERE x.pool_id = e.pool_id AND x.t BETWEEN e.start_t AND e.end_t AND x.created_t > e.evaluated_t) AS l FROM e)
     SELECT signal_id, CASE WHEN r THEN 'reorg' WHEN i THEN 'incomplete' ELSE 'late' END AS repair FROM f WHERE r OR coalesce(i, false) OR l""")
 def damaged_outcomes(v):
-    rows = samples(v).filter("horizon = '1h'").withColumn("evaluated_t", F.col("end") + MINUTE)
+    rows = samples(v).withColumn("evaluated_t", F.col("end") + MINUTE).select("signal_id", "horizon", "pool_id", "start", "end", "evaluated_t", "failure_reason")
     us = "unix_micros(CAST(ts AS TIMESTAMP))"
     rollbacks = v.table("events").filter("event_id % 997 = 1").selectExpr(f"{us} - 300000000 AS from_t", f"CASE WHEN event_id % 2 = 0 THEN {us} ELSE {us} + 60000000 END AS to_t", f"{us} + 7200000000 AS occurred_t")
-    return outcomes.damaged(rows.select("signal_id", "horizon", "pool_id", "start", "end", "evaluated_t", "failure_reason"), v.trades, rollbacks, HOUR).select("signal_id", "repair")
+    found = None
+    for name, minutes in HORIZONS.items():  # each in buckets of its own length
+        part = outcomes.damaged(rows.filter(F.col("horizon") == name), v.trades, rollbacks, minutes * MINUTE)
+        found = part if found is None else found.unionByName(part)
+    return found.select("signal_id", "horizon", "repair")
 
 
 @query(PATHS + """, h AS (SELECT signal_id, horizon, round(return_pct, 6) AS return_pct, failure_reason FROM samples WHERE signal_id % 3 <> 0),
