@@ -118,3 +118,21 @@ def test_components(spark, seed):
     got = {r.node: r.least for r in m.components(spark.createDataFrame(links, "a long, b long")).collect()}
     nodes = {x for a, b in links if a != b for x in (a, b)}
     assert got == {x: find(x) for x in nodes}
+
+
+def test_links_without_a_leader_in_large_groups(spark):
+    rng = random.Random(15)
+    common = [f"c{i}" for i in range(100)]
+    rows = []
+    for i in range(120):
+        own = [f"o{i}x{j}" for j in range(20)]
+        rows.append((i, " ".join(common + own)))
+        rows.append((1000 + i, " ".join(common + own[:9] + [f"p{i}x{j}" for j in range(11)])))
+    rng.shuffle(rows)
+    data, offsets = m._folded(pa.array([t for _, t in rows]))
+    found, ends = m.kmers(data, offsets)
+    texts = [found[s:e] for s, e in zip(ends[:-1], ends[1:])]
+    links = [(i, j) for (i, _), x in zip(rows, texts) for (j, _), y in zip(rows, texts) if i < j and m.similar(x, y, 0.8)]
+    assert links and all(j == i + 1000 for i, j in links)
+    got = {r.doc_id: r.class_id for r in m.classes(frame(spark, rows)).collect()}
+    assert got == {i: i for i, _ in rows} | {j: i for i, j in links}

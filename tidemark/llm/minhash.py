@@ -7,7 +7,7 @@ order: two texts share a sketch if they share those k-mers in that order, which
 1. Texts with equal words collapse into their document with the least id.
 2. Per sketch value, the two most central documents (those that share their sketches with the most others)
    and the one with the least id lead; every other document is a candidate with them. No group is
-   gathered and no pairs within a group are made, whatever its size.
+   gathered.
 3. Candidates are aligned: with n and m k-mers of which c can be matched in order, within the band that
    the bound allows, the similarity is c / (n + m - c), and 0.8 links them. It equals the Jaccard
    similarity of the labelled k-mers where their order agrees, and is less where it doesn't.
@@ -15,10 +15,12 @@ order: two texts share a sketch if they share those k-mers in that order, which
 5. Where a sketch value still joins documents of several classes, its 8 and then its 32 most central
    documents lead: each is aligned with the documents of other classes, but for those that the triangle
    inequality over the distances to the group's most central document rules out.
+6. In groups of more than 33 that are still split then, all documents of different classes meet, under the
+   same bounds, in cells of blocks by blocks of documents; pairs with enough k-mers in common are aligned.
+   That grows with the square of such a group.
 
-At a similarity of 0.8 a sketch agrees with probability about 0.51, one of 16 with 0.99999. In groups of up
-to 33 no link is lost then; in a larger one a document must link with one of the leaders of its sixteen
-groups, or with a document that does.
+At a similarity of 0.8 a sketch agrees with probability about 0.51, one of 16 with 0.99999. No link between
+texts that share a sketch is lost.
 
 Edge cases: words are split at ASCII white space of the text in lower case; a null text is empty, and
 texts without words are copies of each other. Texts of any length are aligned in full. Null ids are
@@ -31,6 +33,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -41,6 +44,7 @@ from .common import cut_lineage, mix, row_blocks, text_buffer, word_hashes
 WORDS = 5  # words of a k-mer
 SKETCHES, PICKS = 16, 3
 LEADERS = (2, 8, 32)  # most central documents that lead a group, by round
+CELL, CELL_KMERS = 1024, 1 << 19  # documents of a block and their k-mers, where all of a group meet
 BLOCK = 1 << 18
 ODD = mix(np.arange(101, 101 + WORDS, dtype=np.uint64)) | np.uint64(1)
 TURN = (mix(np.arange(201, 201 + SKETCHES, dtype=np.uint64)) | np.uint64(1))[:, None]
@@ -216,6 +220,81 @@ def _measured(pairs: DataFrame, prints: DataFrame, bound: float) -> DataFrame:
     return cut_lineage(sides.mapInArrow(_verify(bound), "a long, b long, linked boolean, low long, high long"))
 
 
+def _cells(placed: DataFrame, group: list[str], bound: float) -> DataFrame:
+    """All pairs of a group's documents whose lengths allow the bound, dealt to cells of a block by a block, each row with its side.
+
+    A group is cut by length, so that only neighbouring classes can be similar, and each class by hash into
+    blocks. (c, s) is the class and block of side 0, (d, t) of side 1; c is d or the class below.
+    """
+    width = float(np.log(1 / bound)) * 1.001
+    rows = placed.withColumn("c", F.floor(F.log(F.greatest("n", F.lit(1))) / width))
+    sizes = rows.groupBy(*group, "c").agg(F.ceil(F.greatest(F.count("*") / CELL, F.sum("n") / CELL_KMERS)).alias("blocks"))
+    around = sizes.select(*group, "c", "blocks", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("e"))
+    # own class, the one above (as side 0) and the one below (as side 1)
+    around = around.join(sizes.select(*group, F.col("c").alias("e"), F.col("blocks").alias("far")), [*group, "e"])
+    met = rows.join(around, [*group, "c"]).withColumn("s", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks")))
+    met = met.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("far") - 1)))
+    spot = lambda a, b, x, y, side: F.struct(F.col(a).alias("lower"), F.col(b).alias("upper"), F.col(x).alias("first"), F.col(y).alias("second"), F.lit(side).alias("side"))
+    zero, one = spot("c", "e", "s", "t", 0), spot("e", "c", "t", "s", 1)
+    spots = F.when(F.col("e") > F.col("c"), F.array(zero)).when(F.col("e") < F.col("c"), F.array(one)).otherwise(F.filter(F.array(F.when(F.col("s") <= F.col("t"), zero), F.when(F.col("t") < F.col("s"), one)), lambda x: x.isNotNull()))
+    return met.select(*group, "doc_id", "n", "owner", "low", "high", F.explode(spots).alias("cell")).select("*", "cell.*").drop("cell")
+
+
+def shared_kmers(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """How many k-mers each text of one side has in common with each of the other, at most (repeats count, order doesn't)."""
+    sides = []
+    for texts in (one, two):
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+        sides.append((np.repeat(np.arange(len(texts)), np.diff(ends)), labelled(np.concatenate(texts).astype(np.uint64), ends)))
+    both = np.intersect1d(sides[0][1], sides[1][1])
+    out = np.zeros((len(one), len(two)), np.float32)
+    for k in range(0, len(both), 4096):
+        part = both[k : k + 4096]
+        grids = []
+        for (row, found), n in zip(sides, out.shape):
+            place = np.minimum(np.searchsorted(part, found), len(part) - 1)
+            hit = part[place] == found
+            grid = np.zeros((n, len(part)), np.float32)
+            grid[row[hit], place[hit]] = 1
+            grids.append(grid)
+        out += grids[0] @ grids[1].T
+    return out
+
+
+def _met(bound: float):
+    """Pairs of a cell that may be similar: other classes, near by length and triangle, with enough k-mers in common."""
+    spread = (1 - bound) / (1 + bound)
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        one = frame[frame.side == 0]
+        two = frame[frame.side == 1]
+        own = frame["lower"].iat[0] == frame["upper"].iat[0] and frame["first"].iat[0] == frame["second"].iat[0]
+        if own:
+            two = one
+        found = []
+        for a in range(0, len(one), 256):
+            for b in range(a if own else 0, len(two), 256):
+                x, y = one.iloc[a : a + 256], two.iloc[b : b + 256]
+                col = lambda c: (x[c].to_numpy()[:, None], y[c].to_numpy()[None, :])  # noqa: B023, E731
+                (n, m), (i, j), (u, v), (low, l), (high, h) = (col(c) for c in ("n", "doc_id", "owner", "low", "high"))
+                reach = (n + m) * spread + 1e-6
+                near = (u != v) & (low - h <= reach) & (l - high <= reach) & (np.minimum(n, m) >= bound * np.maximum(n, m) - 1)
+                if own:
+                    near &= (i < j) if a == b else True
+                rows, columns = near.any(1), near.any(0)
+                if not rows.any():
+                    continue
+                texts = [[np.frombuffer(t, np.uint32) for t in side["prints"][some]] for side, some in ((x, rows), (y, columns))]
+                enough = shared_kmers(*texts) >= (bound * (n + m) / (1 + bound))[np.ix_(rows, columns)] - 1e-3
+                near[np.ix_(rows, columns)] &= enough
+                p, q = np.nonzero(near)
+                found.append(np.stack([x["doc_id"].to_numpy()[p], y["doc_id"].to_numpy()[q]], 1))
+        pairs = np.concatenate([np.zeros((0, 2), np.int64), *found])
+        return pd.DataFrame({"doc_id": pairs[:, 0], "leader": pairs[:, 1]})
+
+    return meet
+
+
 def classes(docs: DataFrame, bound: float = 0.8) -> DataFrame:
     """doc_id and class_id (the least doc_id of its class), one row a row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
@@ -238,28 +317,35 @@ def classes(docs: DataFrame, bound: float = 0.8) -> DataFrame:
     tested, spread = None, (1 - bound) / (1 + bound)
     centres = ranked.filter("rank = 1").select(*group, F.col("doc_id").alias("leader"))
     for done, count in zip(LEADERS, (*LEADERS[1:], 0)):
-        fresh = _measured(pairs, prints, bound)
-        tested = fresh if tested is None else tested.unionByName(fresh)
-        groups = cut_lineage(components(tested.filter("linked").select("a", "b")))
-        if not count:
-            break
+        if tested is None or not pairs.isEmpty():
+            fresh = _measured(pairs, prints, bound)
+            tested = fresh if tested is None else tested.unionByName(fresh)
+            groups = cut_lineage(components(tested.filter("linked").select("a", "b")))
         owner = groups.select(F.col("node").alias("doc_id"), F.col("least").alias("owner"))
         placed = members.join(owner, "doc_id", "left").withColumn("owner", F.coalesce("owner", "doc_id"))
-        split = placed.groupBy(*group).agg(F.min("owner").alias("least"), F.max("owner").alias("most")).filter("least < most").select(*group)
+        split = placed.groupBy(*group).agg(F.min("owner").alias("least"), F.max("owner").alias("most"), F.count("*").alias("size")).filter("least < most")
+        if not count:  # smaller groups have met all their leaders, which are all but one of their documents
+            split = split.filter(F.col("size") > done + 1)
         # how far each document is from the group's centre, which all of them met in the first round
-        placed = placed.join(split, group).join(centres, group).withColumns({"a": F.least("doc_id", "leader"), "b": F.greatest("doc_id", "leader")}).drop("leader")
+        placed = placed.join(split.select(*group), group).join(centres, group).withColumns({"a": F.least("doc_id", "leader"), "b": F.greatest("doc_id", "leader")}).drop("leader")
         placed = placed.join(tested.select("a", "b", "low", "high"), ["a", "b"], "left").withColumns({"low": F.coalesce("low", F.lit(0)), "high": F.coalesce("high", F.lit(0))})
         placed = cut_lineage(placed.select(*group, "doc_id", "n", "owner", "low", "high"))
-        # leaders of earlier rounds have met all documents of their group
-        chosen = placed.join(ranked.filter((F.col("rank") > done) & (F.col("rank") <= count)).select(*group, "doc_id"), [*group, "doc_id"])
-        leaders = chosen.select(*group, F.col("doc_id").alias("leader"), F.col("owner").alias("own"), F.col("n").alias("m"), F.col("low").alias("l"), F.col("high").alias("h"))
-        # distances obey the triangle inequality: pairs that it keeps apart need no alignment
-        reach = (F.col("n") + F.col("m")) * spread + 1e-6
-        near = (F.col("low") - F.col("h") <= reach) & (F.col("l") - F.col("high") <= reach) & (F.least("n", "m") >= bound * F.greatest("n", "m") - 1)
-        pairs = _pairs(placed.join(leaders, group).filter("owner <> own").filter(near)).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        if count:
+            # leaders of earlier rounds have met all documents of their group
+            chosen = placed.join(ranked.filter((F.col("rank") > done) & (F.col("rank") <= count)).select(*group, "doc_id"), [*group, "doc_id"])
+            leaders = chosen.select(*group, F.col("doc_id").alias("leader"), F.col("owner").alias("own"), F.col("n").alias("m"), F.col("low").alias("l"), F.col("high").alias("h"))
+            # distances obey the triangle inequality: pairs that it keeps apart need no alignment
+            reach = (F.col("n") + F.col("m")) * spread + 1e-6
+            near = (F.col("low") - F.col("h") <= reach) & (F.col("l") - F.col("high") <= reach) & (F.least("n", "m") >= bound * F.greatest("n", "m") - 1)
+            met = placed.join(leaders, group).filter("owner <> own").filter(near)
+        else:
+            cell = [*group, "lower", "upper", "first", "second"]
+            met = _cells(placed, group, bound).join(prints, "doc_id").groupBy(*cell).applyInPandas(_met(bound), "doc_id long, leader long")
+        pairs = _pairs(met).join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs)
-        if pairs.isEmpty():
-            break
+    if not pairs.isEmpty():
+        tested = tested.unionByName(_measured(pairs, prints, bound))
+        groups = cut_lineage(components(tested.filter("linked").select("a", "b")))
     groups = groups.withColumnsRenamed({"node": "first"})
     return found.join(firsts, equal).join(groups, "first", "left").select("doc_id", F.coalesce("least", "first").alias("class_id"))
 
