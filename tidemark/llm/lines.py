@@ -1,8 +1,8 @@
-"""Line deduplication by log templates.
+"""Line deduplication by masked lines.
 
-Each line goes down a tree of fixed depth: by its number of tokens, by its three leading tokens, and at
-the leaf by the rest of it, where variable fields (tokens with a digit or an at sign) are generalised to
-``<*>`` on all levels. Lines that meet at a leaf with the same generalised rest share a template. A
+Variable fields (tokens with a digit or an at sign) are generalised to ``<*>``; lines that are equal then
+share a template. Its key is the number of tokens, the three leading ones and a hash of the whole masked
+line, which determines the other two. Fields that are ordinary words are not generalised. A
 template found in at least ``min_docs`` documents is recurring: its lines are dropped everywhere but for
 the first line of the document with the least id.
 
