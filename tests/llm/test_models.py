@@ -49,6 +49,12 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(frame(spark, []), marks, F.lit(False)).collect() == []
 
 
+def test_words_seen_once_count(spark):
+    rows = [(kind, word, word * 3, word * 5, word * 7, n) for kind, word, n in ((0, 1 << 50, 4), (0, 3 << 50, 1), (1, 5 << 50, 1), (1, 7 << 50, 3))]
+    model = toxicity.Model(spark.createDataFrame(rows, toxicity.COUNTS))
+    assert model.word[1][(5 << 50) >> 64 - toxicity.WORDS] == pytest.approx((1 - toxicity.DISCOUNT) / 4)
+
+
 def junk(rng, kind, words):
     if kind == 0:
         return " ".join(w + rng.choice(["***", "$$$", "&&&"]) for w in words)

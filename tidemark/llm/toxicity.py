@@ -106,14 +106,14 @@ class Model:
             kept.unpersist()
             return
         slot = lambda name: F.shiftrightunsigned(name, 64 - (WORDS if name == "word" else STARTS)).alias("slot")
-        # at most 2**WORDS and 2**STARTS slots a class; a word seen once is left to its beginnings
-        words = kept.filter("n > 1").groupBy("kind", slot("word")).agg(F.sum("n").alias("n")).toPandas()
+        # at most 2**WORDS and 2**STARTS slots a class
+        words = kept.groupBy("kind", slot("word")).agg(F.sum("n").alias("n")).toArrow().to_pandas()
         starts, longer = [], "word"
         for name in LEVELS[1:]:
             # how many distinct longer beginnings go on from a beginning
-            starts.append(kept.select("kind", longer, name).distinct().groupBy("kind", slot(name)).agg(F.count("*").alias("n")).toPandas())
+            starts.append(kept.select("kind", longer, name).distinct().groupBy("kind", slot(name)).agg(F.count("*").alias("n")).toArrow().to_pandas())
             longer = name
-        shared = kept.select(*LEVELS[-2:]).distinct().groupBy(slot(LEVELS[-1])).agg(F.count("*").alias("n")).toPandas()
+        shared = kept.select(*LEVELS[-2:]).distinct().groupBy(slot(LEVELS[-1])).agg(F.count("*").alias("n")).toArrow().to_pandas()
         kept.unpersist()
         base = np.full(1 << STARTS, 0.5)
         base[shared.slot] += shared.n
