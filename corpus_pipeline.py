@@ -36,13 +36,13 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 50 bytes and more that an earlier document has. Bytes of a character that a removed passage cut go with it."""
-    removed = suffix_dedup.dedup_substrings(docs, 50)
+    # the other columns go through with their row: ids may be null or repeated
+    removed = suffix_dedup.dedup_substrings(docs, 50, F.to_json(F.struct(F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))))
     # a kept half of a character becomes a replacement character, which goes; whole texts stay as they are
     whole = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
-    kept = removed.select(F.col("doc_id").alias("_id"), F.when(F.col("n_removed") > 0, whole).otherwise(F.col("kept").cast("string")).alias("_text"))
-    rest = docs.select("doc_id", "lang", "source")
-    joined = rest.join(kept, rest["doc_id"].eqNullSafe(kept["_id"]))
-    return _with_text(joined.withColumn("text", F.col("_text")))
+    text = F.when(F.col("n_removed") > 0, whole).otherwise(F.col("kept").cast("string"))
+    rest = F.from_json("tag", "lang string, source string")
+    return _with_text(removed.select("doc_id", text.alias("text"), rest["lang"].alias("lang"), rest["source"].alias("source")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ remove each other's bytes. Other columns are ignored. An empty table gives an em
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_table, cut_lineage, mix, text_buffer
@@ -58,22 +59,24 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, made = TaskContext.get().partitionId(), 0
     ids: list[int] = []
     texts: list[bytes] = []
+    tags: list[str | None] = []
     held = 0
 
     def chunk() -> pa.RecordBatch:
         lengths = np.array([len(x) for x in texts], np.int64)
-        row = [[part << 32 | made], [int(lengths.sum())], [np.array(ids, np.int64).tobytes()], [lengths.tobytes()], [_zip(b"".join(texts), 9)]]
-        return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), pa.array(row[1], pa.int64()), *(pa.array(x, pa.binary()) for x in row[2:])], ["chunk", "bytes", "ids", "lengths", "data"])
+        row = [[part << 32 | made], [int(lengths.sum())], [np.array(ids, np.int64).tobytes()], [lengths.tobytes()], [_zip(json.dumps(tags).encode())], [_zip(b"".join(texts), 9)]]
+        return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), pa.array(row[1], pa.int64()), *(pa.array(x, pa.binary()) for x in row[2:])], ["chunk", "bytes", "ids", "lengths", "tags", "data"])
 
     for batch in batches:
         data, offsets = text_buffer(batch.column(1))
-        for i, doc in enumerate(batch.column(0).to_pylist()):
+        for i, (doc, tag) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+            tags.append(tag)
             texts.append(data[offsets[i] : offsets[i + 1]].tobytes())
             ids.append(NO_ID if doc is None else doc)
             held += len(texts[-1])
             if held >= CHUNK:
                 yield chunk()
-                ids, texts, held, made = [], [], 0, made + 1
+                ids, texts, tags, held, made = [], [], [], 0, made + 1
     if ids:
         yield chunk()
 
@@ -462,29 +465,31 @@ def _apply(width: int):
             edge[starts] = covered[starts]
             gone = np.concatenate([[0], np.cumsum(covered)])
             spans = np.concatenate([[0], np.cumsum(edge)])
-            for doc, a, b in zip(ids.tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+            for doc, tag, a, b in zip(ids.tolist(), json.loads(_unzip(row.tags)), offsets[:-1].tolist(), offsets[1:].tolist()):
                 lost = int(gone[b] - gone[a])
                 kept = data[a:b][~covered[a:b]].tobytes() if lost else raw[a:b]
-                out.append((None if doc == NO_ID else doc, b - a, lost, int(spans[b] - spans[a]), kept))
-        frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                out.append((None if doc == NO_ID else doc, b - a, lost, int(spans[b] - spans[a]), kept, tag))
+        frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "tag"])
         return frame.astype({"doc_id": "Int64"})
 
     return apply
 
 
-def dedup_substrings(docs: DataFrame, width: int = 50) -> DataFrame:
+def dedup_substrings(docs: DataFrame, width: int = 50, tag: Column | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary), one row a document.
 
-    ``docs`` needs doc_id (integer) and text (string). ``width`` is 25 to 100 bytes.
+    ``docs`` needs doc_id (integer) and text (string). ``width`` is 25 to 100 bytes. ``tag`` (string) goes
+    through with its row and comes back as the column tag.
     """
     if not GRAM < width <= 100:
         raise ValueError(f"width must be from {GRAM + 1} to 100 bytes")
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    chunks = cut_lineage(docs.mapInArrow(_pack, "chunk long, bytes long, ids binary, lengths binary, data binary"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text"), (F.lit(None).cast("string") if tag is None else tag).alias("tag"))
+    chunks = cut_lineage(docs.mapInArrow(_pack, "chunk long, bytes long, ids binary, lengths binary, tags binary, data binary"))
     total = chunks.agg(F.sum("bytes")).first()[0] or 0
     bits = max(8, (total >> 24).bit_length())
     grams = chunks.mapInPandas(_send_grams(width, bits), "bucket long, chunk long, n int, steps binary, low binary")
     suspects = cut_lineage(grams.groupBy("bucket").applyInPandas(_recurring, "chunk long, bucket long, blob binary"))
     runs = chunks.groupBy("chunk").cogroup(suspects.groupBy("chunk")).applyInPandas(_send_runs(width, bits), "bucket long, chunk long, n int, run binary")
     least = runs.groupBy("bucket").applyInPandas(_merge(width), "chunk long, n long, blob binary")
-    return chunks.groupBy("chunk").cogroup(least.groupBy("chunk")).applyInPandas(_apply(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    whole = chunks.groupBy("chunk").cogroup(least.groupBy("chunk")).applyInPandas(_apply(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, tag string")
+    return whole.drop("tag") if tag is None else whole
