@@ -61,7 +61,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The classifier and the tokenizer can't be expressed in SQL; tests hold each stage against brute force.
+#: The classifier and the tokenizer can't be expressed in SQL; tests hold each stage against brute force (the classifier against its own verdicts, packing by its ids).
 ORACLE_SQL = None
 
 
