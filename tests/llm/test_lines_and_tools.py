@@ -86,3 +86,11 @@ def test_long_chain(spark):
     calls = [(1, i, f"c{i}", "stop", "{}", [f"c{i - 1}"] if i else None) for i in range(12)]
     got = link(spark, calls, [])
     assert [got[1, f"c{i}"].level for i in range(12)] == list(range(12))
+
+
+def test_orphaned_and_surplus_results(spark):
+    calls = spark.createDataFrame([(1, 1, "a", "stop", "{}", [], ""), (1, 2, "b", "stop", "{}", [], ""), (2, 1, None, "stop", "{}", [], "")], CALLS)
+    results = [(1, "a", "1"), (1, "a", "1"), (1, "a", "2"), (1, "a", None), (1, "b", None), (3, "a", "x"), (3, "a", "x"), (1, None, "lost"), (None, "a", "y")]
+    got = tools.orphans(calls, spark.createDataFrame(results, "conv_id long, call_id string, content string")).collect()
+    want = [(1, "a", "1", "surplus_result"), (1, "a", "2", "surplus_result"), (1, "a", None, "surplus_result"), (3, "a", "x", "missing_call"), (3, "a", "x", "missing_call"), (1, None, "lost", "no_id"), (None, "a", "y", "no_id")]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))

@@ -43,7 +43,11 @@ SCHEMAS = {"search": {"limit": ("integer", True), "query": ("string", True)}}
 
 
 def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn of a user is a call, the assistant's turn after it the result; a call depends on that about half way back."""
+    """Every turn of a user is a call, the assistant's turn after it the result; a call depends on that about half way back.
+
+    One row a call: assistant turns that follow no user turn, and repeated ones beyond the least, have no row
+    (``tools.orphans`` returns such results).
+    """
     turns = table(spark, sf_dir, "conversations")
     name = lambda turn: F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), turn)
     half = F.floor(F.col("turn") / 2)

@@ -12,7 +12,8 @@ Edge cases: rows without an identifier can't be linked: a call keeps the status
 left out. Of repeated calls with one identifier in a conversation the least (turn, name, arguments) counts,
 of repeated results the least content. A dependency on a call that doesn't exist gives ``unresolved``, a
 missing result ``missing_result``. Null or malformed arguments are an error (``arguments:malformed``) and
-are written as null. Empty tables give empty results. Other columns are ignored.
+are written as null. ``link`` has one row a call, so results that it leaves out (without an identifier, without a call,
+or repeated) have none there: ``orphans`` returns them with a status. Empty tables give empty results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -89,3 +90,21 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tupl
     # names in the order of their letters
     record = F.struct(F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("id"), "level", "name", F.col("content").alias("result"), "status")
     return rows.select("conv_id", "turn", "call_id", "level", "status", "errors", F.to_json(record).alias("json"))
+
+
+def orphans(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """Results that ``link`` leaves out, one row each: conv_id, call_id, content, status.
+
+    The status is ``no_id`` without an identifier, ``missing_call`` without a call, and ``surplus_result`` for
+    each but the least content of a call's results.
+    """
+    keyed = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    there = calls.filter(keyed).select(*KEY).distinct().withColumn("there", F.lit(True))
+    # equal results are counted, so that no group of them is gathered or sorted
+    counts = results.groupBy(*KEY, "content").agg(F.count("*").alias("n"))
+    least = results.filter(keyed).groupBy(*KEY).agg(F.min("content").alias("least"))
+    rows = counts.join(there, KEY, "left").join(least, KEY, "left")
+    used = F.when(keyed & F.col("there") & F.col("content").eqNullSafe(F.col("least")), 1).otherwise(0)
+    status = F.when(~keyed, "no_id").when(F.col("there").isNull(), "missing_call").otherwise("surplus_result")
+    rows = rows.withColumn("left", F.col("n") - used).filter("left > 0").withColumn("status", status)
+    return rows.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("left")))).select(*KEY, "content", "status")
