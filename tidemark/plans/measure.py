@@ -10,9 +10,9 @@ from tidemark.sources.views import DAY, HOUR, MINUTE
 
 from .registry import query, six
 
-HORIZONS = {"1h": 60, "4h": 240, "24h": 1440}
+HORIZONS = outcomes.HORIZONS
 
-PATHS = """, hz(horizon, span) AS (VALUES ('1h', 3600000000), ('4h', 14400000000), ('24h', 86400000000)),
+PATHS = """, hz(horizon, span) AS (VALUES ('1m', 60000000), ('5m', 300000000), ('15m', 900000000), ('30m', 1800000000), ('1h', 3600000000), ('4h', 14400000000), ('24h', 86400000000)),
 w AS (SELECT s.*, horizon, span, s.t AS start_t, s.t + span AS end_t FROM signals s, hz),
 priced AS (SELECT *, nullif(CAST(abs(amount1) AS DOUBLE) / abs(amount0), 0) AS p FROM trades),
 paths AS (SELECT w.signal_id, w.horizon, count(b.block_number) AS trade_count, count(b.p) AS priced_count, arg_max(b.p, b.block_number) AS last_price, max(b.p) AS max_price, min(b.p) AS min_price
@@ -26,7 +26,7 @@ samples AS (SELECT *, CASE WHEN failure_reason IS NULL THEN CASE WHEN trade_coun
 
 
 def samples(v):
-    """All signals at three horizons with their outcome; a window that the tail hasn't passed is unmeasured."""
+    """All signals at all horizons with their outcome; a window that the tail hasn't passed is unmeasured."""
     paths = outcomes.outcome_path(outcomes.pairs(v.signals, HORIZONS), v.trades, HORIZONS)
     tail = v.trades.agg(F.max("t").alias("watermark"))  # one row
     rows = outcomes.metrics(paths).crossJoin(F.broadcast(tail))
@@ -59,10 +59,10 @@ def due_outcomes(v):
     return outcomes.due(rows, done, F.lit(1705500000000000)).select("signal_id", "horizon")
 
 
-@query(PATHS + """, e AS (SELECT *, end_t + 60000000 AS evaluated_t FROM samples WHERE horizon = '1h'), rb AS (SELECT epoch_us(ts) - 300000000 AS from_t, CASE WHEN event_id % 2 = 0 THEN epoch_us(ts) ELSE epoch_us(ts) + 60000000 END AS to_t, epoch_us(ts) + 7200000000 AS occurred_t FROM events WHERE event_id % 997 = 1),
-    f AS (SELECT signal_id, EXISTS (SELECT 1 FROM rb WHERE rb.from_t <= e.end_t AND rb.to_t >= e.start_t AND rb.occurred_t > e.evaluated_t) AS r, failure_reason = 'incomplete_tail_coverage' AS i,
+@query(PATHS + """, e AS (SELECT *, end_t + 60000000 AS evaluated_t FROM samples), rb AS (SELECT epoch_us(ts) - 300000000 AS from_t, CASE WHEN event_id % 2 = 0 THEN epoch_us(ts) ELSE epoch_us(ts) + 60000000 END AS to_t, epoch_us(ts) + 7200000000 AS occurred_t FROM events WHERE event_id % 997 = 1),
+    f AS (SELECT signal_id, horizon, EXISTS (SELECT 1 FROM rb WHERE rb.from_t <= e.end_t AND rb.to_t >= e.start_t AND rb.occurred_t > e.evaluated_t) AS r, failure_reason = 'incomplete_tail_coverage' AS i,
           EXISTS (SELECT 1 FROM trades x WHERE x.pool_id = e.pool_id AND x.t BETWEEN e.start_t AND e.end_t AND x.created_t > e.evaluated_t) AS l FROM e)
-    SELECT signal_id, CASE WHEN r THEN 'reorg' WHEN i THEN 'incomplete' ELSE 'late' END AS repair FROM f WHERE r OR coalesce(i, false) OR l""")
+    SELECT signal_id, horizon, CASE WHEN r THEN 'reorg' WHEN i THEN 'incomplete' ELSE 'late' END AS repair FROM f WHERE r OR coalesce(i, false) OR l""")
 def damaged_outcomes(v):
     rows = samples(v).withColumn("evaluated_t", F.col("end") + MINUTE).select("signal_id", "horizon", "pool_id", "start", "end", "evaluated_t", "failure_reason")
     us = "unix_micros(CAST(ts AS TIMESTAMP))"

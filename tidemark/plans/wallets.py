@@ -68,8 +68,7 @@ def holder_growth(v):
     return rows.select("snapshot_id", features.holder_rate(F.col("liquidity"), F.col("before"), F.col("minutes")).alias("rate"))
 
 
-_FUNDED = ", fd AS (SELECT * FROM fundings WHERE wallet % 10 = 0)"
-_BATCH = _FUNDED + """, near AS (SELECT a.wallet AS anchor, b.wallet FROM fd a JOIN fd b ON b.t BETWEEN a.t AND a.t + 86400000000 AND (b.t > a.t OR b.wallet > a.wallet)
+_BATCH = """, fd AS (SELECT * FROM fundings), near AS (SELECT a.wallet AS anchor, b.wallet FROM fd a JOIN fd b ON b.t BETWEEN a.t AND a.t + 86400000000 AND (b.t > a.t OR b.wallet > a.wallet)
     AND (a.value = b.value OR (a.value <> 0 AND b.value <> 0 AND floor((greatest(a.value, b.value) - least(a.value, b.value)) * 1000000.0 / greatest(a.value, b.value)) / 1000000 <= 0.05)))"""
 _CLUSTERS = _BATCH + """, members AS (SELECT concat('funder:', funder) AS cluster_key, wallet FROM fd UNION SELECT concat('tx:', tx), wallet FROM fd UNION SELECT concat('batch:', anchor), wallet FROM near UNION SELECT concat('batch:', anchor), anchor FROM near),
     cl AS (SELECT * FROM members WHERE cluster_key IN (SELECT cluster_key FROM members GROUP BY 1 HAVING count(*) >= 2))"""
