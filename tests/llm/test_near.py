@@ -136,3 +136,28 @@ def test_links_without_a_leader_in_large_groups(spark):
     assert links and all(j == i + 1000 for i, j in links)
     got = {r.doc_id: r.class_id for r in m.classes(frame(spark, rows)).collect()}
     assert got == {i: i for i, _ in rows} | {j: i for i, j in links}
+
+
+@pytest.mark.parametrize("changed", [1, 8])
+def test_all_twins_in_boilerplate_are_found(spark, changed):
+    """600 documents with 88 words in common and 12 of their own; a twin has other words in place of the last own ones."""
+    rng = random.Random(changed)
+    common, rows = [f"c{i}" for i in range(88)], []
+    for i in range(300):
+        own = [f"o{i}x{j}" for j in range(12)]
+        rows += [(i, " ".join(common + own)), (1000 + i, " ".join(common + own[: 12 - changed] + [f"p{i}x{j}" for j in range(changed)]))]
+    rng.shuffle(rows)
+    got = {r.doc_id: r.class_id for r in m.classes(frame(spark, rows)).collect()}
+    assert got == {i: i % 1000 for i, _ in rows}
+
+
+def test_versions_of_an_id_stay_together(spark):
+    rng = random.Random(4)
+    one, two, other = (sentence(rng, 40) for _ in range(3))
+    rows = [(3, one), (3, two + " end"), (3, two + " end"), (5, two + " end"), (6, one), (7, other), (8, two + " end more")]
+    got = sorted((r.doc_id, r.class_id) for r in m.classes(frame(spark, rows)).collect())
+    assert len(got) == len(rows) and len({c for i, c in got if i == 3}) == 1
+    assert {(7, 7)} == {x for x in got if x[0] == 7}
+    kept = sorted((r.doc_id, r.text) for r in m.keep_first(frame(spark, rows)).collect())
+    assert kept.count((3, one)) == 1 and kept.count((3, two + " end")) == 1
+    assert kept == sorted((r.doc_id, r.text) for r in m.keep_first(frame(spark, rows[::-1], 5)).collect())

@@ -12,20 +12,19 @@ order: two texts share a sketch if they share those k-mers in that order, which
    the bound allows, the similarity is c / (n + m - c), and 0.8 links them. It equals the Jaccard
    similarity of the labelled k-mers where their order agrees, and is less where it doesn't.
 4. Classes are the connected components of the links, found by alternating star contractions.
-5. Where a sketch value still joins documents of several classes, its 8 and then its 32 most central
-   documents lead: each is aligned with the documents of other classes, but for those that the triangle
-   inequality over the distances to the group's most central document rules out.
-6. In groups of more than 33 that are still split then, all documents of different classes meet, under the
-   same bounds, in cells of blocks by blocks of documents; pairs with enough k-mers in common are aligned.
-   That grows with the square of such a group.
+5. Documents whose sketches still join several classes meet by their rarest k-mers: with k-mers in one order,
+   those of one class first, then by frequency, a pair that reaches the bound shares one of the first few of
+   both, how few following from both lengths (in bands of 5 %). A class's least document per k-mer goes
+   first, as classes that merge then need no more pairs; then all documents that are still apart, so no link
+   between texts that share a sketch is lost. A k-mer of a third of all texts comes last in the
+   order, so only texts that are nearly nothing else meet by it.
 
-At a similarity of 0.8 a sketch agrees with probability about 0.51, one of 16 with 0.99999. No link between
-texts that share a sketch is lost.
+At a similarity of 0.8 a sketch agrees with probability about 0.51, one of 16 with 0.99999.
 
 Edge cases: words are split at ASCII white space of the text in lower case; a null text is empty, and
 texts without words are copies of each other. Texts of any length are aligned in full. Null ids are
 classed with equal texts only and have a null class if none of these has an id. Rows that share an id are
-rows of one document. An empty table gives an empty result. Other columns are ignored.
+rows of one document, which counts with its longest text (then the greatest hash). An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,18 +32,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, mix, row_blocks, text_buffer, word_hashes
+from .common import cut_lineage, mix, row_blocks, stored, text_buffer, word_hashes
 
 WORDS = 5  # words of a k-mer
 SKETCHES, PICKS = 16, 3
-LEADERS = (2, 8, 32)  # most central documents that lead a group, by round
-CELL, CELL_KMERS = 1024, 1 << 19  # documents of a block and their k-mers, where all of a group meet
+LEADERS = 2  # most central documents that lead a group
+BAND = 1.05  # ratio of lengths within a band
 BLOCK = 1 << 18
 ODD = mix(np.arange(101, 101 + WORDS, dtype=np.uint64)) | np.uint64(1)
 TURN = (mix(np.arange(201, 201 + SKETCHES, dtype=np.uint64)) | np.uint64(1))[:, None]
@@ -95,6 +93,17 @@ def sketch(row: np.ndarray) -> np.ndarray:
     return mix((row * PLACE[: row.size]).sum() + TURN[:, 0] + np.uint64(row.size))
 
 
+def whole(found: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of all k-mers of each row in their order."""
+    place = np.arange(len(found)) - np.repeat(ends[:-1], np.diff(ends))
+    turned = mix(found + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    sums = []
+    for x in (turned, mix(turned.copy())):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
+        sums.append((total[ends[1:]] - total[ends[:-1]]).view(np.int64))
+    return sums[0], sums[1]
+
+
 def _folded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return text_buffer(pc.utf8_lower(pc.fill_null(column, "")))
 
@@ -105,16 +114,14 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in row_blocks(offsets, BLOCK):
             found, ends = kmers(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             marked = labelled(found, ends)
-            values, counts, one, two = [], [], [], []
+            one, two = whole(found, ends)
+            values, counts = [], []
             for s, e in zip(ends[:-1].tolist(), ends[1:].tolist()):
                 own = marked[s:e]
                 counts.append(e - s)
                 values.append(sketch(own).view(np.int64) if e > s else np.zeros(0, np.int64))
-                turned = mix(found[s:e] + np.arange(e - s, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-                one.append(turned.sum())
-                two.append(mix(turned).sum())
             spots = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate(values)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), spots], ["doc_id", "n", "one", "two", "values"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(one), pa.array(two), spots], ["doc_id", "n", "one", "two", "values"])
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +131,8 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in row_blocks(offsets, BLOCK):
             found, ends = kmers(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             low = (found >> np.uint64(32)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([low[s:e].tobytes() for s, e in zip(ends[:-1], ends[1:])], pa.binary())], ["doc_id", "prints"])
+            one, two = whole(found, ends)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(one), pa.array(two), pa.array([low[s:e].tobytes() for s, e in zip(ends[:-1], ends[1:])], pa.binary())], ["doc_id", "one", "two", "prints"])
 
 
 def aligned(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -158,34 +166,21 @@ def aligned(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return head + tail + len(a) - row.bit_count()
 
 
-def distance(a: np.ndarray, b: np.ndarray, bound: float) -> tuple[bool, int, int]:
-    """Whether two texts' k-mers reach the bound, and bounds of their distance (items left over on both sides).
-
-    The band is four times as wide as the bound needs, so that distances somewhat beyond it are exact too.
-    """
+def similar(a: np.ndarray, b: np.ndarray, bound: float) -> bool:
+    """Whether two texts' k-mers reach the bound, aligned within the band that it allows."""
     n, m = len(a), len(b)
     if not n or not m:
-        return n == m, n + m, n + m
+        return n == m
     need = bound * (n + m) / (1 + bound) - 1e-9  # matches that reach the bound
-    if min(n, m) < need:
-        return False, abs(n - m), n + m
-    band = 4 * (int(n + m - 2 * need) + 1)
-    matched = aligned(a, b, band)
-    left = n + m - 2 * matched
-    return matched >= need, min(left, band + 1), left
-
-
-def similar(a: np.ndarray, b: np.ndarray, bound: float) -> bool:
-    return distance(a, b, bound)[0]
+    return min(n, m) >= need and aligned(a, b, int(n + m - 2 * need) + 1) >= need
 
 
 def _verify(bound: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = zip(batch.column(2), batch.column(3))
-            found = [distance(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32), bound) for x, y in pairs]
-            columns = [pa.array([f[0] for f in found], pa.bool_()), *(pa.array([f[i] for f in found], pa.int64()) for i in (1, 2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["a", "b", "linked", "low", "high"])
+            found = [similar(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32), bound) for x, y in pairs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.bool_())], ["a", "b", "linked"])
 
     return verify
 
@@ -209,148 +204,110 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def _pairs(led: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of documents and their leaders."""
-    return cut_lineage(led.filter("doc_id <> leader").select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct())
-
-
 def _measured(pairs: DataFrame, prints: DataFrame, bound: float) -> DataFrame:
     one, two = (prints.select(F.col("doc_id").alias(c), F.col("prints").alias(x)) for c, x in (("a", "x"), ("b", "y")))
     sides = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    return cut_lineage(sides.mapInArrow(_verify(bound), "a long, b long, linked boolean, low long, high long"))
+    return stored(sides.mapInArrow(_verify(bound), "a long, b long, linked boolean"))
 
 
-def _cells(placed: DataFrame, group: list[str], bound: float) -> DataFrame:
-    """All pairs of a group's documents whose lengths allow the bound, dealt to cells of a block by a block, each row with its side.
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n, owner, item): the labelled k-mers of each text, a row each."""
+    for batch in batches:
+        sizes = np.array([len(x.as_buffer()) // 4 for x in batch.column(3)], np.int64)
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        for a, b in row_blocks(offsets, BLOCK):
+            found = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(3).slice(a, b - a))])
+            row = pa.array(np.repeat(np.arange(a, b), sizes[a:b]))
+            marked = labelled(found.astype(np.uint64), offsets[a : b + 1] - offsets[a])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(3)), pa.array(marked.view(np.int64))], ["doc_id", "n", "owner", "item"])
+
+
+def _need(n, m, bound: float):
+    """Matches with which texts of n and m k-mers reach the bound."""
+    return F.ceil((n + m) * (bound / (1 + bound)) - 1e-9)
+
 
-    A group is cut by length, so that only neighbouring classes can be similar, and each class by hash into
-    blocks. (c, s) is the class and block of side 0, (d, t) of side 1; c is d or the class below.
+def _heads(split: DataFrame, bound: float) -> DataFrame:
+    """The k-mers by which each document of ``split`` (doc_id, n, owner, prints) has to meet those of other classes.
+
+    All k-mers are put in one order: those of a single class first, then by the number of documents that hold
+    them, rare ones first. Two texts of n and m k-mers that share at least ``need`` of them share one among the
+    first n - need + 1 of the one and the first m - need + 1 of the other. As need depends on both
+    lengths, a text's first k-mers are given out by the other side's band of lengths.
     """
-    width = float(np.log(1 / bound)) * 1.001
-    rows = placed.withColumn("c", F.floor(F.log(F.greatest("n", F.lit(1))) / width))
-    sizes = rows.groupBy(*group, "c").agg(F.ceil(F.greatest(F.count("*") / CELL, F.sum("n") / CELL_KMERS)).alias("blocks"))
-    around = sizes.select(*group, "c", "blocks", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("e"))
-    # own class, the one above (as side 0) and the one below (as side 1)
-    around = around.join(sizes.select(*group, F.col("c").alias("e"), F.col("blocks").alias("far")), [*group, "e"])
-    met = rows.join(around, [*group, "c"]).withColumn("s", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks")))
-    met = met.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("far") - 1)))
-    spot = lambda a, b, x, y, side: F.struct(F.col(a).alias("lower"), F.col(b).alias("upper"), F.col(x).alias("first"), F.col(y).alias("second"), F.lit(side).alias("side"))
-    zero, one = spot("c", "e", "s", "t", 0), spot("e", "c", "t", "s", 1)
-    spots = F.when(F.col("e") > F.col("c"), F.array(zero)).when(F.col("e") < F.col("c"), F.array(one)).otherwise(F.filter(F.array(F.when(F.col("s") <= F.col("t"), zero), F.when(F.col("t") < F.col("s"), one)), lambda x: x.isNotNull()))
-    return met.select(*group, "doc_id", "n", "owner", "low", "high", F.explode(spots).alias("cell")).select("*", "cell.*").drop("cell")
-
-
-def shared_kmers(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
-    """How many k-mers each text of one side has in common with each of the other, at most (repeats count, order doesn't)."""
+    items = split.mapInArrow(_items, "doc_id long, n long, owner long, item long")
+    held = items.groupBy("item").agg(F.count("*").alias("docs"), F.min("owner").alias("lo"), F.max("owner").alias("hi"))
+    # a document's own k-mers
+    mixed = items.join(held.filter("lo < hi").select("item", "docs"), "item").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("docs", "item"))).alias("mixed"))
+    n, step = F.col("n"), float(np.log(BAND))
+    band = lambda x: F.floor(F.log(x) / step)
+    rows = mixed.withColumns({"own": band(n), "far": F.explode(F.sequence(band(n * bound - 1e-6), band(n / bound + 1e-6)))})
+    least = F.greatest(F.floor(F.pow(F.lit(BAND), F.col("far"))) - 1, F.ceil(n * bound - 1e-6))  # of the other side
+    rows = rows.withColumn("before", n - F.size("mixed")).withColumn("take", n - _need(n, least, bound) + 1 - F.col("before")).filter("take > 0")
+    rows = rows.select("doc_id", "n", "own", "far", "before", F.posexplode(F.slice("mixed", F.lit(1), F.col("take").cast("int"))).alias("at", "head"))
+    return rows.select("doc_id", "n", (F.col("before") + F.col("at")).alias("at"), F.col("head.item").alias("item"), F.least("own", "far").alias("lower"), F.greatest("own", "far").alias("upper"), (F.col("own") <= F.col("far")).alias("low"), (F.col("own") >= F.col("far")).alias("high"))
+
+
+def _meeting(heads: DataFrame, bound: float, firsts: bool) -> DataFrame:
+    """Pairs a < b of documents of different classes that share one of their first k-mers and may reach the bound; of each class's documents with such a k-mer only the least, if ``firsts``."""
+    key = ["item", "lower", "upper"]
     sides = []
-    for texts in (one, two):
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
-        sides.append((np.repeat(np.arange(len(texts)), np.diff(ends)), labelled(np.concatenate(texts).astype(np.uint64), ends)))
-    both = np.intersect1d(sides[0][1], sides[1][1])
-    out = np.zeros((len(one), len(two)), np.float32)
-    for k in range(0, len(both), 4096):
-        part = both[k : k + 4096]
-        grids = []
-        for (row, found), n in zip(sides, out.shape):
-            place = np.minimum(np.searchsorted(part, found), len(part) - 1)
-            hit = part[place] == found
-            grid = np.zeros((n, len(part)), np.float32)
-            grid[row[hit], place[hit]] = 1
-            grids.append(grid)
-        out += grids[0] @ grids[1].T
-    return out
-
-
-def _met(bound: float):
-    """Pairs of a cell that may be similar: other classes, near by length and triangle, with enough k-mers in common."""
-    spread = (1 - bound) / (1 + bound)
-
-    def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        one = frame[frame.side == 0]
-        two = frame[frame.side == 1]
-        own = frame["lower"].iat[0] == frame["upper"].iat[0] and frame["first"].iat[0] == frame["second"].iat[0]
-        if own:
-            two = one
-        found = []
-        for a in range(0, len(one), 256):
-            for b in range(a if own else 0, len(two), 256):
-                x, y = one.iloc[a : a + 256], two.iloc[b : b + 256]
-                col = lambda c: (x[c].to_numpy()[:, None], y[c].to_numpy()[None, :])  # noqa: B023, E731
-                (n, m), (i, j), (u, v), (low, l), (high, h) = (col(c) for c in ("n", "doc_id", "owner", "low", "high"))
-                reach = (n + m) * spread + 1e-6
-                near = (u != v) & (low - h <= reach) & (l - high <= reach) & (np.minimum(n, m) >= bound * np.maximum(n, m) - 1)
-                if own:
-                    near &= (i < j) if a == b else True
-                rows, columns = near.any(1), near.any(0)
-                if not rows.any():
-                    continue
-                texts = [[np.frombuffer(t, np.uint32) for t in side["prints"][some]] for side, some in ((x, rows), (y, columns))]
-                enough = shared_kmers(*texts) >= (bound * (n + m) / (1 + bound))[np.ix_(rows, columns)] - 1e-3
-                near[np.ix_(rows, columns)] &= enough
-                p, q = np.nonzero(near)
-                found.append(np.stack([x["doc_id"].to_numpy()[p], y["doc_id"].to_numpy()[q]], 1))
-        pairs = np.concatenate([np.zeros((0, 2), np.int64), *found])
-        return pd.DataFrame({"doc_id": pairs[:, 0], "leader": pairs[:, 1]})
-
-    return meet
+    for side, x in (("low", "_x"), ("high", "_y")):
+        rows = heads.filter(side).select(*key, "owner", F.struct("doc_id", "n", "at").alias(x))
+        sides.append((rows.groupBy(*key, "owner").agg(F.min(x).alias(x)) if firsts else rows).withColumnRenamed("owner", f"{x}o"))
+    x, y = F.col("_x"), F.col("_y")
+    need = _need(x["n"], y["n"], bound)
+    near = (x["n"] - x["at"] >= need) & (y["n"] - y["at"] >= need)
+    met = sides[0].join(sides[1], [*(sides[0][k] == sides[1][k] for k in key), F.col("_xo") != F.col("_yo"), near, (F.col("_x.doc_id") < F.col("_y.doc_id")) | (sides[0]["lower"] < sides[0]["upper"])])
+    return met.select(F.least(x["doc_id"], y["doc_id"]).alias("a"), F.greatest(x["doc_id"], y["doc_id"]).alias("b")).distinct()
 
 
 def classes(docs: DataFrame, bound: float = 0.8) -> DataFrame:
     """doc_id and class_id (the least doc_id of its class), one row a row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    found = cut_lineage(docs.mapInArrow(_sketch, "doc_id long, n long, one long, two long, values array<long>"))
-    equal = ["n", "one", "two"]
-    firsts = found.groupBy(*equal).agg(F.min("doc_id").alias("first"))
-    heads = found.join(firsts.filter("first is not null").withColumnRenamed("first", "doc_id"), [*equal, "doc_id"], "left_semi").dropDuplicates(["doc_id", *equal])
-    group = ["turn", "value"]
-    spots = heads.select("doc_id", "n", F.posexplode("values").alias(*group))
-    shared = spots.join(spots.groupBy(*group).agg(F.count("*").alias("size")).filter("size > 1"), group)
-    shared = cut_lineage(shared)
+    found = stored(docs.mapInArrow(_sketch, "doc_id long, n long, one long, two long, values array<long>"))
+    equal, group = ["n", "one", "two"], ["turn", "value"]
+    named = found.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct(*equal, "values")).alias("r")).select("doc_id", "r.*")
+    firsts = named.groupBy(*equal).agg(F.min(F.struct("doc_id", "values")).alias("r")).select(*equal, F.col("r.doc_id").alias("first"), "r.values")
+    firsts = stored(firsts)
+    spots = firsts.select(F.col("first").alias("doc_id"), "n", F.posexplode("values").alias(*group))
+    shared = stored(spots.join(spots.groupBy(*group).agg(F.count("*").alias("size")).filter("size > 1"), group))
     centre = shared.groupBy("doc_id").agg(F.sum("size").alias("centre"))
-    prints = cut_lineage(docs.join(centre.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_prints, "doc_id long, prints binary"))
-    members = cut_lineage(shared.join(centre, "doc_id").select(*group, "doc_id", "n", "centre"))
+    own = firsts.select(F.col("first").alias("doc_id"), "one", "two").join(centre.select("doc_id"), "doc_id", "left_semi")
+    prints = stored(docs.mapInArrow(_prints, "doc_id long, one long, two long, prints binary").join(own, ["doc_id", "one", "two"]).dropDuplicates(["doc_id"]).select("doc_id", "prints"))
+    members = stored(shared.join(centre, "doc_id").select(*group, "doc_id", "n", "centre"))
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("centre"), "doc_id"))
-    ranked = cut_lineage(members.withColumn("rank", rank).filter(F.col("rank") <= LEADERS[-1]))
-    least = members.groupBy(*group).agg(F.min("doc_id").alias("leader"))
-    leaders = ranked.filter(F.col("rank") <= LEADERS[0]).select(*group, F.col("doc_id").alias("leader")).union(least)
-    pairs = _pairs(members.join(leaders, group))
-    tested, spread = None, (1 - bound) / (1 + bound)
-    centres = ranked.filter("rank = 1").select(*group, F.col("doc_id").alias("leader"))
-    for done, count in zip(LEADERS, (*LEADERS[1:], 0)):
-        if tested is None or not pairs.isEmpty():
-            fresh = _measured(pairs, prints, bound)
-            tested = fresh if tested is None else tested.unionByName(fresh)
-            groups = cut_lineage(components(tested.filter("linked").select("a", "b")))
-        owner = groups.select(F.col("node").alias("doc_id"), F.col("least").alias("owner"))
-        placed = members.join(owner, "doc_id", "left").withColumn("owner", F.coalesce("owner", "doc_id"))
-        split = placed.groupBy(*group).agg(F.min("owner").alias("least"), F.max("owner").alias("most"), F.count("*").alias("size")).filter("least < most")
-        if not count:  # smaller groups have met all their leaders, which are all but one of their documents
-            split = split.filter(F.col("size") > done + 1)
-        # how far each document is from the group's centre, which all of them met in the first round
-        placed = placed.join(split.select(*group), group).join(centres, group).withColumns({"a": F.least("doc_id", "leader"), "b": F.greatest("doc_id", "leader")}).drop("leader")
-        placed = placed.join(tested.select("a", "b", "low", "high"), ["a", "b"], "left").withColumns({"low": F.coalesce("low", F.lit(0)), "high": F.coalesce("high", F.lit(0))})
-        placed = cut_lineage(placed.select(*group, "doc_id", "n", "owner", "low", "high"))
-        if count:
-            # leaders of earlier rounds have met all documents of their group
-            chosen = placed.join(ranked.filter((F.col("rank") > done) & (F.col("rank") <= count)).select(*group, "doc_id"), [*group, "doc_id"])
-            leaders = chosen.select(*group, F.col("doc_id").alias("leader"), F.col("owner").alias("own"), F.col("n").alias("m"), F.col("low").alias("l"), F.col("high").alias("h"))
-            # distances obey the triangle inequality: pairs that it keeps apart need no alignment
-            reach = (F.col("n") + F.col("m")) * spread + 1e-6
-            near = (F.col("low") - F.col("h") <= reach) & (F.col("l") - F.col("high") <= reach) & (F.least("n", "m") >= bound * F.greatest("n", "m") - 1)
-            met = placed.join(leaders, group).filter("owner <> own").filter(near)
-        else:
-            cell = [*group, "lower", "upper", "first", "second"]
-            met = _cells(placed, group, bound).join(prints, "doc_id").groupBy(*cell).applyInPandas(_met(bound), "doc_id long, leader long")
-        pairs = _pairs(met).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
-    if not pairs.isEmpty():
-        tested = tested.unionByName(_measured(pairs, prints, bound))
+    leaders = members.withColumn("rank", rank).filter(F.col("rank") <= LEADERS).select(*group, F.col("doc_id").alias("leader"))
+    leaders = leaders.union(members.groupBy(*group).agg(F.min("doc_id").alias("leader")))
+    led = members.join(leaders, group).filter("doc_id <> leader").select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
+    tested = _measured(led, prints, bound)
+    heads = None
+    for least in (True, False):
         groups = cut_lineage(components(tested.filter("linked").select("a", "b")))
-    groups = groups.withColumnsRenamed({"node": "first"})
-    return found.join(firsts, equal).join(groups, "first", "left").select("doc_id", F.coalesce("least", "first").alias("class_id"))
+        owner = groups.select(F.col("node").alias("doc_id"), F.col("least").alias("owner"))
+        if heads is None:
+            placed = members.join(owner, "doc_id", "left").withColumn("owner", F.coalesce("owner", "doc_id"))
+            split = placed.groupBy(*group).agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).filter("lo < hi").select(*group)
+            split = placed.join(split, group, "left_semi").select("doc_id", "n", "owner").distinct().join(prints, "doc_id").select("doc_id", "n", "owner", "prints")
+            heads = stored(_heads(split, bound))
+        fresh = _meeting(heads.join(owner, "doc_id", "left").withColumn("owner", F.coalesce("owner", "doc_id")), bound, least)
+        fresh = stored(fresh.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        if not fresh.isEmpty():
+            tested = tested.unionByName(_measured(fresh, prints, bound))
+    groups = cut_lineage(components(tested.filter("linked").select("a", "b"))).withColumnsRenamed({"node": "first"})
+    firsts = firsts.select(*equal, "first").join(groups, "first", "left").select(*equal, F.coalesce("least", "first").alias("class_id"))
+    known = named.select("doc_id", *equal).join(firsts, equal).select("doc_id", "class_id")
+    return found.filter("doc_id is not null").select("doc_id").join(known, "doc_id").unionByName(found.filter("doc_id is null").join(firsts, equal, "left").select("doc_id", "class_id"))
 
 
 def keep_first(docs: DataFrame, bound: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, all columns, whose document is the first of its class; one row an id. Rows without an id stay."""
-    kept = classes(docs.filter("doc_id is not null"), bound).select(F.col("class_id").alias("doc_id")).distinct()
-    return docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """The rows of ``docs``, all columns, whose document is the first of its class. Rows without an id stay.
+
+    Rows with the same id and text come out once (of those that differ in other columns the one with the
+    least hash); an id's rows with other texts are rows of that document and stay with it.
+    """
+    named, columns = docs.filter("doc_id is not null"), docs.columns
+    kept = classes(named, bound).select(F.col("class_id").alias("doc_id")).distinct()
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    once = named.join(kept, "doc_id", "left_semi").groupBy("doc_id", text.alias("_text"), F.length("text").alias("_length")).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_row"))
+    return once.select("_row.*").unionByName(docs.filter("doc_id is null"))
