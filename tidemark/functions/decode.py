@@ -62,3 +62,45 @@ def swaps(logs: DataFrame) -> DataFrame:
 def transfers(logs: DataFrame) -> DataFrame:
     rows = _kinds(logs, {TRANSFERRED: "transfer"}).filter((F.size("topics") == 3) & (F.length("data") >= 66))
     return rows.select(F.lower("address").alias("token"), address(topic(1)).alias("source"), address(topic(2)).alias("target"), exact.word_unsigned(word(0)).alias("value"), "block_number", F.lower("tx_hash").alias("tx_hash"), "log_index")
+
+
+def last_amount(data: Column) -> Column:
+    """The last 32-byte word of returned data (hex with its prefix) as text of any size; null if there is none."""
+    body = F.substring(data, 3, 2**31 - 1)
+    start = F.floor(F.length(body) / 64) * 64 - 64
+    return F.when(F.length(body) >= 64, exact.word_unsigned(F.substring(body, start.cast("int") + 1, F.lit(64))))
+
+
+def _text(data: Column) -> Column:
+    """A returned string: a word with its place, a word with its length, its bytes. Null unless whole and valid."""
+    body = F.substring(data, 3, 2**31 - 1)
+    size = F.conv(F.substring(body, 121, 8), 16, 10).cast("long") * 2
+    found = F.when((F.length(body) >= 128) & (F.length(body) >= 128 + size), F.substring(body, F.lit(129), size.cast("int")))
+    return F.try_validate_utf8(F.unhex(found).cast("string"))
+
+
+def pool_states(calls: DataFrame) -> DataFrame:
+    """State of pools from one batch of calls' answers: reserves, or a square-root price and both balances.
+
+    calls: pool, dex, and hex answers reserves, slot0, balance0, balance1 (null if a call failed). A pool whose
+    answers lack a side has no row.
+    """
+    v3 = F.col("dex") == "uniswap-v3"
+    nth = lambda c, i: F.when(F.length(c) >= 66 + 64 * i, exact.word_unsigned(F.substring(c, 3 + 64 * i, 64)))
+    rows = calls.select("pool", "dex", F.when(v3, nth("slot0", 0)).alias("sqrt_price"), *(F.when(v3, nth(f"balance{i}", 0)).otherwise(nth("reserves", i)).alias(f"reserve{i}") for i in (0, 1)))
+    return rows.filter("reserve0 IS NOT NULL AND reserve1 IS NOT NULL AND (dex <> 'uniswap-v3' OR sqrt_price IS NOT NULL)")
+
+
+def token_metadata(calls: DataFrame) -> DataFrame:
+    """Symbol and name (null if unreadable), decimals (null with its error class: read again later) and total supply ("0" if the call failed).
+
+    calls: token, and hex answers symbol, name, decimals, supply (null if a call failed), error (of the decimals call).
+    """
+    from . import text
+
+    decimals = F.when(F.length("decimals") >= 66, F.conv(F.substring("decimals", 59, 8), 16, 10).cast("int"))
+    supply = F.when(F.length("supply") >= 66, exact.word_unsigned(F.substring("supply", 3, 64)))
+    return calls.select(
+        "token", *(text.sanitize(_text(F.col(c))).alias(c) for c in ("symbol", "name")), decimals.alias("decimals"),
+        F.when(decimals.isNull(), text.error_class(F.col("error"))).alias("decimals_error"), F.coalesce(supply, F.lit("0")).alias("total_supply"),
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 #: What providers say, labels and places (fixed values).
 ERRORS = {
@@ -49,6 +50,22 @@ def redact(text: Column, secrets: tuple[str, ...] = ()) -> Column:
     return F.regexp_replace(text, r"(https?|wss?)://([^/\s\"']+)/[^\s\"']*", "$1://$2/[REDACTED]")
 
 
+def redact_deep(value: Column, kind: DataType, secrets: tuple[str, ...] = (), depth: int = 0) -> Column:
+    """``redact`` in every text within structs, arrays and map values, up to eight levels down; other types stay as they are."""
+    if depth > 8:
+        return value
+    if isinstance(kind, StringType):
+        return redact(value, secrets)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: redact_deep(x, kind.elementType, secrets, depth + 1))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, x: redact_deep(x, kind.valueType, secrets, depth + 1))
+    if isinstance(kind, StructType):
+        fields = [redact_deep(value.getField(f.name), f.dataType, secrets, depth + 1).alias(f.name) for f in kind]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    return value
+
+
 def _half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 

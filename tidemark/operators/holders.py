@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import exact
+
 from .joins import first_by, range_join, top_by
 
 
@@ -15,24 +20,61 @@ def unique_transfers(transfers: DataFrame) -> DataFrame:
 
 
 def netted(transfers: DataFrame, *by: str) -> DataFrame:
-    """Net change of each (token, wallet): what came in less what went out, last block time and first seen."""
-    legs = F.explode(F.array(F.struct(F.col("target").alias("wallet"), F.col("value").alias("change")), F.struct(F.col("source").alias("wallet"), (-F.col("value")).alias("change"))))
-    rows = transfers.withColumn("_leg", legs).select("token_id", *by, "t", "_leg.*")
-    return rows.groupBy("token_id", "wallet", *by).agg(F.sum("change").alias("change"), F.max("t").alias("last_t"), F.min("t").alias("first_t"))
+    """Net change of each (token, wallet): what came in less what went out, last block time and first seen.
+
+    Values may be whole numbers of any Spark type, or text up to 256 bits; the change is exact and of the same kind.
+    """
+    text = dict(transfers.dtypes)["value"] == "string"
+    gone = F.when(F.col("value").startswith("-"), F.substring("value", 2, 100)).otherwise(F.concat(F.lit("-"), "value")) if text else -F.col("value")
+    legs = F.explode(F.array(F.struct(F.col("target").alias("wallet"), F.col("value").alias("change")), F.struct(F.col("source").alias("wallet"), gone.alias("change"))))
+    rows = transfers.withColumn("_leg", legs).select("token_id", *by, "t", "_leg.*").groupBy("token_id", "wallet", *by)
+    times = F.max("t").alias("last_t"), F.min("t").alias("first_t")
+    if not text:
+        return rows.agg(F.sum("change").alias("change"), *times)
+    sums = rows.agg(*exact.limb_sums(F.col("change")), *times)
+    limbs = [f"_limb{i}" for i in range(exact.LIMBS)]
+    return sums.withColumn("change", exact.joined(F.array(*limbs))).select("token_id", "wallet", *by, "change", "last_t", "first_t")
 
 
 def balances(changes: DataFrame) -> DataFrame:
     """Balance after all batches, clamped at zero after each, and whether it ever was.
 
     Clamping as one goes equals the running sum less its running minimum below zero, so two window
-    functions do for the loop. changes: token_id, wallet, batch, change.
+    functions do for the loop. changes: token_id, wallet, batch, change; text changes are folded exactly (``_folded``).
     """
+    if dict(changes.dtypes)["change"] == "string":
+        return _folded(changes)
     order = Window.partitionBy("token_id", "wallet").orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
     rows = changes.withColumn("sum", F.sum("change").over(order))
     totals = rows.groupBy("token_id", "wallet").agg(F.max_by("sum", "batch").alias("sum"), F.min("sum").alias("low"))
     return totals.select("token_id", "wallet", (F.col("sum") - F.least(F.col("low"), F.lit(0))).alias("balance"), (F.col("low") < 0).alias("partially_observed"))
 
 
+def _folded(changes: DataFrame) -> DataFrame:
+    """``balances`` of text: sorted by wallet and batch, a task goes through its rows once and keeps two numbers of the wallet at hand."""
+    types = dict(changes.dtypes)
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, total, low = None, 0, 0
+        done = []
+        for frame in frames:
+            for token, wallet, change in zip(frame["token_id"], frame["wallet"], frame["change"]):
+                if (token, wallet) != at:
+                    if at is not None:
+                        done.append((*at, str(total - low), low < 0))
+                    at, total, low = (token, wallet), 0, 0
+                total += int(change)
+                low = min(low, total)
+            yield pd.DataFrame(done, columns=names)
+            done = []
+        if at is not None:
+            yield pd.DataFrame([(*at, str(total - low), low < 0)], columns=names)
+
+    names = ["token_id", "wallet", "balance", "partially_observed"]
+    ordered = changes.select("token_id", "wallet", "batch", "change").repartition("token_id", "wallet").sortWithinPartitions("token_id", "wallet", "batch")
+    return ordered.mapInPandas(fold, f"token_id {types['token_id']}, wallet {types['wallet']}, balance string, partially_observed boolean")
+
+
 def eligible(holders: DataFrame, excluded: DataFrame, dust: int = 0) -> DataFrame:
     """Holders above dust that are neither pools nor on the exclusion list (wallet)."""
     return holders.filter(F.col("balance") > dust).join(excluded.select("wallet").distinct(), "wallet", "left_anti")

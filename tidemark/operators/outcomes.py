@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import overlapping, range_join
+from tidemark.functions import exact
+
+from .joins import nearest, overlapping
 
 #: Horizons in minutes (fixed values).
 HORIZONS = {"1m": 1, "5m": 5, "15m": 15, "30m": 30, "1h": 60, "4h": 240, "24h": 1440}
@@ -24,25 +26,63 @@ def trade_price() -> Column:
     return F.nullif(F.try_divide(F.abs(F.col("amount1")).cast("double"), F.abs(F.col("amount0")).cast("double")), F.lit(0.0))
 
 
-def outcome_path(windows: DataFrame, trades: DataFrame, horizons: dict[str, int] = HORIZONS) -> DataFrame:
-    """trades, priced, last, highest and lowest price within each window; a pair without trades has zeros and nulls.
+def price_series(trades: DataFrame, quotes: DataFrame, max_age: int) -> DataFrame:
+    """Trades with trade_price: dollars for a unit of the base token, exact to 18 places; null where it can't be known.
+
+    trades: trade_id (of a row), pool_id, t, block_number, log_index, amount0, amount1 (signed), base_is_token0, base_decimals,
+    quote_decimals, fixed_usd (text, or null) and quote_token; quotes: token_id, t, price (text). Without a fixed rate the
+    nearest sample within ``max_age`` counts. A trade that moved none of the base token prices nothing.
+    """
+    amount = lambda first: F.when(F.col("base_is_token0") == first, F.col("amount0")).otherwise(F.col("amount1")).cast("string")
+    asked = trades.filter("fixed_usd IS NULL").select(F.col("quote_token").alias("token_id"), "trade_id", F.col("t").alias("at"))
+    rates = nearest(asked, quotes.select("token_id", "t", F.col("price").alias("_rate")), ["token_id"], "trade_id", "_rate", max_age)
+    rows = trades.join(rates.select("trade_id", "_rate"), "trade_id", "left")
+    price = exact.fused_usd(amount(True), amount(False), F.col("base_decimals"), F.col("quote_decimals"), F.coalesce("fixed_usd", "_rate"))
+    return rows.withColumn("trade_price", price.cast("decimal(38,18)")).drop("_rate")
+
+
+def _merged(n, priced, last, high, low, created) -> list[Column]:
+    return [F.sum(n).alias("n"), F.sum(priced).alias("priced"), F.max(last).alias("last"), F.max(high).alias("high"), F.min(low).alias("low"), F.max(created).alias("created")]
 
-    Horizons differ by three orders of magnitude, so each is joined in buckets of its own length.
+
+_PARTS = ("n", "priced", "last", "high", "low", "created")
+
+
+def outcome_path(windows: DataFrame, trades: DataFrame) -> DataFrame:
+    """trades, priced, last, highest and lowest price within each window, and when its last row was written; a pair without trades has zeros and nulls.
+
+    Trades (pool_id, t, block_number, log_index, created_t, trade_price) are summed up by minute, minutes by hour. A window takes the whole
+    hours within it, the whole minutes before and after those, and trades one by one only in the minutes that it cuts, so
+    what meets a window is bounded by its length however many trades a pool has; all horizons go through the same three
+    joins, each by equality of pool and minute, hour or day.
     """
-    points = trades.select("pool_id", "t", "block_number", "log_index", trade_price().alias("trade_price"))
-    found = None
-    for name, minutes in horizons.items():
-        own = windows.filter(F.col("horizon") == name).select("signal_id", "horizon", "pool_id", "start", "end")
-        met = range_join(own, points, ["pool_id"], minutes * MINUTE)
-        part = met.groupBy("signal_id", "horizon").agg(
-            F.count("*").alias("trade_count"),
-            F.count("trade_price").alias("priced_count"),
-            F.max_by("trade_price", F.when(F.col("trade_price").isNotNull(), F.struct("block_number", "log_index"))).alias("last_price"),
-            F.max("trade_price").alias("max_price"),
-            F.min("trade_price").alias("min_price"),
-        )
-        found = part if found is None else found.unionByName(part)
-    return windows.join(found, ["signal_id", "horizon"], "left").na.fill(0, ["trade_count", "priced_count"])
+    order = F.struct("block_number", "log_index", F.col("trade_price").alias("price"))
+    known = F.col("trade_price").isNotNull()
+    points = trades.select("pool_id", "t", F.expr(f"t div {MINUTE}").alias("minute"), F.lit(1).cast("long").alias("n"), known.cast("long").alias("priced"), F.when(known, order).alias("last"), F.col("trade_price").alias("high"), F.col("trade_price").alias("low"), F.col("created_t").alias("created"))
+    minutes = points.groupBy("pool_id", "minute").agg(*_merged(*_PARTS)).withColumn("hour", F.expr("minute div 60"))
+    hours = minutes.groupBy("pool_id", "hour").agg(*_merged(*_PARTS)).withColumn("day", F.expr("hour div 24"))
+    key = ["signal_id", "horizon"]
+    # whole minutes [m, n) and whole hours [g, h) of a window
+    w = windows.select(*key, "pool_id", "start", "end", F.expr(f"(start + {MINUTE - 1}) div {MINUTE}").alias("m"), F.expr(f"(end + 1) div {MINUTE}").alias("n"))
+    w = w.withColumns({"g": F.expr("(m + 59) div 60"), "h": F.expr("n div 60")})
+    edges = lambda first, last, a, b: F.explode(F.array_distinct(F.filter(F.array(first, last), lambda c: (a >= b) | (c < a) | (c >= b))))
+    m, n, g, h = (F.col(c) for c in "mngh")
+    cut = w.select(*key, "pool_id", "start", "end", edges(F.expr(f"start div {MINUTE}"), F.expr(f"end div {MINUTE}"), m, n).alias("minute"))
+    part = w.filter(m < n).select(*key, "pool_id", F.col("m").alias("first"), F.col("n").alias("past"), edges(F.expr("m div 60"), F.expr("(n - 1) div 60"), g, h).alias("hour"))
+    full = w.filter(g < h).select(*key, "pool_id", F.col("g").alias("first"), F.col("h").alias("past"), F.explode(F.sequence(F.expr("g div 24"), F.expr("(h - 1) div 24"))).alias("day"))
+    met = [
+        cut.join(points, ["pool_id", "minute"]).filter(F.col("t").between(F.col("start"), F.col("end"))),
+        part.join(minutes, ["pool_id", "hour"]).filter((F.col("minute") >= F.col("first")) & (F.col("minute") < F.col("past"))),
+        full.join(hours, ["pool_id", "day"]).filter((F.col("hour") >= F.col("first")) & (F.col("hour") < F.col("past"))),
+    ]
+    # each window is a row of its own, with nothing in it, so no join with the windows is needed
+    own = [c for c in windows.columns if c not in key]
+    rows = windows.select(*key, F.struct(*own).alias("_own"))
+    for found in met:
+        rows = rows.unionByName(found.select(*key, *_PARTS), allowMissingColumns=True)
+    whole = rows.groupBy(*key).agg(F.first("_own", ignorenulls=True).alias("_own"), *_merged(*_PARTS))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return whole.select(*key, "_own.*", zero(F.col("n")).alias("trade_count"), zero(F.col("priced")).alias("priced_count"), F.col("last.price").alias("last_price"), F.col("high").alias("max_price"), F.col("low").alias("min_price"), F.col("created").alias("last_created_t"))
 
 
 def metrics(paths: DataFrame, least_priced: float = 0.8) -> DataFrame:
@@ -71,18 +111,16 @@ def due(windows: DataFrame, outcomes: DataFrame, now: Column | int) -> DataFrame
     return windows.filter(F.col("end") <= now).join(outcomes.select("signal_id", "horizon"), ["signal_id", "horizon"], "left_anti")
 
 
-def damaged(outcomes: DataFrame, trades: DataFrame, rollbacks: DataFrame, longest: int) -> DataFrame:
+def damaged(outcomes: DataFrame, rollbacks: DataFrame, width: int) -> DataFrame:
     """Outcomes to measure again and why: reorg, then incomplete, then late.
 
-    outcomes: signal_id, horizon, pool_id, start, end, evaluated_t, failure_reason; late trades were
-    created after the evaluation; rollbacks: from_t, to_t, occurred_t.
+    outcomes: signal_id, horizon, start, end, evaluated_t, failure_reason and last_created_t (when the last trade of the window was
+    written, which is late after the evaluation); rollbacks: from_t, to_t, occurred_t. Both meet in time buckets of ``width``.
     """
     key = ["signal_id", "horizon"]
-    reorg = overlapping(outcomes, rollbacks.select("from_t", "to_t", "occurred_t"), longest, F.col("occurred_t") > F.col("evaluated_t")).select(*key).distinct().withColumn("reorg", F.lit(1))
-    late = range_join(outcomes, trades.select("pool_id", "t", "created_t"), ["pool_id"], longest).filter(F.col("created_t") > F.col("evaluated_t")).select(*key).distinct().withColumn("late", F.lit(1))
-    rows = outcomes.join(reorg, key, "left").join(late, key, "left")
-    reason = F.when(F.col("reorg") == 1, "reorg").when(F.col("failure_reason") == "incomplete_tail_coverage", "incomplete").when(F.col("late") == 1, "late")
-    return rows.withColumn("repair", reason).filter(F.col("repair").isNotNull())
+    reorg = overlapping(outcomes, rollbacks.select("from_t", "to_t", "occurred_t"), width, F.col("occurred_t") > F.col("evaluated_t")).select(*key).distinct().withColumn("reorg", F.lit(1))
+    reason = F.when(F.col("reorg") == 1, "reorg").when(F.col("failure_reason") == "incomplete_tail_coverage", "incomplete").when(F.col("last_created_t") > F.col("evaluated_t"), "late")
+    return outcomes.join(reorg, key, "left").withColumn("repair", reason).filter(F.col("repair").isNotNull())
 
 
 def repair(old: DataFrame, new: DataFrame, values: list[str]) -> DataFrame:

@@ -1,7 +1,7 @@
 """Risk flags from a trade simulation and a security provider, and the decision they lead to.
 
-Unknown is not safe: what wasn't answered raises a flag of its own. Codes, actions, weights and
-thresholds below are fixed values.
+Unknown is not safe: what wasn't answered raises a flag of its own. Codes, actions, weights,
+thresholds and messages below are fixed values.
 """
 
 from __future__ import annotations
@@ -46,12 +46,27 @@ def number(text: Column) -> Column:
     return F.when(F.abs(value) < float("inf"), value)
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with further columns that are worked out once a row, however often later steps refer to them."""
+    found = rows.withColumn("_once", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+    return found.select(*rows.columns, "_once.*")
+
+
+def parsed(answer: Column) -> Column:
+    """A provider's JSON, unread fields null."""
+    return F.from_json(answer, ", ".join(f"{c} string" for c in SWITCHES + NUMBERS) + ", holders array<struct<percent: string>>")
+
+
 def findings(answer: Column) -> Column:
-    """A provider's JSON as a struct: tri-states, numbers, top10_percent (sum of the first ten holders) and unindexed.
+    """A provider's JSON as ``found``."""
+    return found(parsed(answer))
+
+
+def found(text: Column) -> Column:
+    """A ``parsed`` answer as a struct: tri-states, numbers, top10_percent (sum of the first ten holders) and unindexed.
 
     JSON that can't be read is an answer without fields, which is unindexed, as is one that lacks the four basic fields.
     """
-    text = F.from_json(answer, ", ".join(f"{c} string" for c in SWITCHES + NUMBERS) + ", holders array<struct<percent: string>>")
     states = {c: tri(text[c]) for c in SWITCHES}
     values = {c: number(text[c]) for c in NUMBERS}
     ten = F.filter(F.transform(F.slice(text["holders"], 1, 10), lambda h: number(h["percent"])), lambda x: x.isNotNull())
@@ -60,6 +75,23 @@ def findings(answer: Column) -> Column:
     return F.struct(*(x.alias(c) for c, x in (states | values).items()), top.alias("top10_percent"), bare.alias("unindexed"))
 
 
+def pool_fee(dex: Column, tier: Column) -> Column:
+    """Share that a pool keeps of a trade: 0.3 %, or a tier in millionths."""
+    return F.when((dex == "uniswap-v3") & (tier > 0), tier / 1e6).otherwise(0.003)
+
+
+def token_tax(retained: Column, dex: Column, tier: Column) -> Column:
+    """What a round trip lost beyond paying the pool's fee twice; never below zero. Null if what was retained is."""
+    expected = F.pow(1 - pool_fee(dex, tier), F.lit(2.0))
+    return F.when(retained.isNull(), None).when(expected <= 0, 0.0).otherwise(F.greatest(1 - F.try_divide(retained, expected), F.lit(0.0)))
+
+
+def evaluated(simulation: Column, provider: Column) -> Column:
+    """Flags of a simulation (flags), then those of a provider's ``findings``; without an answer the token counts as unindexed."""
+    silent = flags([(F.lit(True), "UNKNOWN_SECURITY_DATA", F.lit("security provider has not indexed this token yet"))])
+    return F.concat(simulation, F.when(provider.isNull(), silent).otherwise(provider_flags(provider)))
+
+
 def flags(cases: list[tuple[Column, str, Column]]) -> Column:
     """Array of (code, severity, action, message) of the cases whose predicate holds; a null predicate doesn't."""
     rows = [F.when(p, F.struct(F.lit(c).alias("code"), F.lit(RULES[c][0]).alias("severity"), F.lit(RULES[c][1]).alias("action"), m.alias("message"))) for p, c, m in cases]
@@ -101,6 +133,18 @@ def provider_flags(f: Column) -> Column:
     ])
 
 
+def verdict(flags: Column) -> Column:
+    """Struct of flags (how many codes), status (the strongest action) and score (weights, at most 100) of a row's flags: the worst of each code counts, once. No shuffle."""
+    rank, power, weight = (F.create_map(*(x for k, v in table.items() for x in (F.lit(k), F.lit(v)))) for table in (RANK, ACTIONS, WEIGHTS))
+    codes = F.array_distinct(F.transform(flags, lambda f: f["code"]))
+    # the greatest rank decides, of equals the first flag
+    worst = F.transform(codes, lambda c: F.aggregate(F.filter(flags, lambda f: f["code"] == c), F.get(F.filter(flags, lambda f: f["code"] == c), F.lit(0)), lambda a, f: F.when(rank[f["severity"]] > rank[a["severity"]], f).otherwise(a)))
+    strongest = F.coalesce(F.array_max(F.transform(worst, lambda f: power[f["action"]])), F.lit(0))
+    status = F.when(strongest == 2, "FAIL").when(strongest == 1, "WARNING").otherwise("PASS")
+    score = F.least(F.lit(100), F.aggregate(worst, F.lit(0), lambda a, f: a + weight[f["severity"]]))
+    return F.struct(F.size(codes).cast("long").alias("flags"), status.alias("status"), score.cast("long").alias("score"))
+
+
 def decide(rows: DataFrame, key: str) -> DataFrame:
     """By key: the worst flag of each code once, status (the strongest action) and score (weights, at most 100).
 

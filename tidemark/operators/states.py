@@ -108,6 +108,7 @@ class Circuit:
     state: str = "CLOSED"
     failures: int = 0
     reopen: float = -1.0
+    opened: float = -1.0  # when it opened first; kept while probes fail
 
 
 def attempt(kept: Circuit, minute: float, ok: bool, everywhere: bool, threshold: int = 3, minutes: float = 5.0) -> tuple[Circuit, dict]:
@@ -117,7 +118,7 @@ def attempt(kept: Circuit, minute: float, ok: bool, everywhere: bool, threshold:
     """
     probe = kept.state != "CLOSED" and minute >= kept.reopen
     if kept.state != "CLOSED" and not probe:
-        return kept, {"allowed": False, "probe": False, "state": kept.state, "failures": kept.failures, "edge": "held"}
+        return kept, {"allowed": False, "probe": False, "state": kept.state, "failures": kept.failures, "edge": "held", "opened": kept.opened if kept.opened >= 0 else None}
     if ok:
         after, edge = Circuit(), "closed" if kept.state != "CLOSED" else "none"
     elif not everywhere:
@@ -125,12 +126,12 @@ def attempt(kept: Circuit, minute: float, ok: bool, everywhere: bool, threshold:
     else:
         n = kept.failures + 1
         opened = kept.state != "CLOSED" or n >= threshold
-        after = Circuit("OPEN", n, minute + minutes) if opened else Circuit("CLOSED", n)
+        after = Circuit("OPEN", n, minute + minutes, kept.opened if kept.state != "CLOSED" else minute) if opened else Circuit("CLOSED", n)
         edge = "opened" if opened and kept.state == "CLOSED" else "none"
-    return after, {"allowed": True, "probe": probe, "state": after.state, "failures": after.failures, "edge": edge}
+    return after, {"allowed": True, "probe": probe, "state": after.state, "failures": after.failures, "edge": edge, "opened": after.opened if after.opened >= 0 else None}
 
 
-CIRCUIT_OUT = "notifier long, seq long, allowed boolean, probe boolean, state string, failures long, edge string"
+CIRCUIT_OUT = "notifier long, seq long, allowed boolean, probe boolean, state string, failures long, edge string, opened double"
 
 
 def circuit_breaker(attempts: DataFrame) -> DataFrame:

@@ -53,10 +53,20 @@ def reorg(cursors: DataFrame, observed: DataFrame, depth: int = 32) -> DataFrame
     return met.filter(F.col("hash") != F.col("seen")).withColumn("back_to", F.greatest(F.col("block") - depth, F.lit(0)))
 
 
-def rolled_back(rows: DataFrame, events: DataFrame) -> DataFrame:
-    """Rows that no rollback took away: those of later blocks that were written before it are gone."""
-    gone = (F.col("block_number") > F.col("rewound")) & (F.col("created_t") <= F.col("occurred_t"))
-    return rows.join(events.select("rewound", "occurred_t"), gone, "left_anti")
+def rolled_back(rows: DataFrame, events: DataFrame, width: int = 10_000) -> DataFrame:
+    """Rows that no rollback took away: those of later blocks that were written before it are gone.
+
+    A rollback concerns the rest of its own range of ``width`` blocks, row by row, and all later ranges whole, where only the
+    last time counts: both meet by equality of the range.
+    """
+    block = lambda c: F.floor(F.col(c) / width)
+    last = rows.agg(F.max("block_number").alias("_last"))  # one row
+    marked = events.select("rewound", "occurred_t", block("rewound").alias("_range"))
+    later = marked.crossJoin(F.broadcast(last)).filter(F.col("_range") < block("_last")).select(F.explode(F.sequence(F.col("_range") + 1, block("_last"))).alias("_range"), "occurred_t").groupBy("_range").agg(F.max("occurred_t").alias("occurred_t"))
+    left = rows.withColumn("_range", block("block_number")).alias("x")
+    kept = left.join(later.alias("r"), (F.col("x._range") == F.col("r._range")) & (F.col("created_t") <= F.col("occurred_t")), "left_anti").alias("x")
+    gone = (F.col("x._range") == F.col("r._range")) & (F.col("block_number") > F.col("rewound")) & (F.col("created_t") <= F.col("occurred_t"))
+    return kept.join(marked.alias("r"), gone, "left_anti").drop("_range")
 
 
 def backfilled_gaps(gaps: DataFrame, block: Column, t: Column) -> DataFrame:

@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLE_SQL, QUERIES
 
-for _name in ("ingest", "measure", "evaluate", "wallets", "signals"):
+for _name in ("ingest", "pricing", "measure", "evaluate", "wallets", "signals"):
     importlib.import_module(f"tidemark.plans.{_name}")
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -55,7 +55,7 @@ def coverage_buckets(v):
 @query(PATHS + """ SELECT horizon, count(return_pct) AS measured, round(min(return_pct), 6) AS lowest, round(max(return_pct), 6) AS highest, round(avg(return_pct), 6) AS mean, round(quantile_cont(return_pct, 0.1), 6) AS p10,
     round(quantile_cont(return_pct, 0.25), 6) AS p25, round(quantile_cont(return_pct, 0.5), 6) AS median, round(quantile_cont(return_pct, 0.75), 6) AS p75, round(quantile_cont(return_pct, 0.9), 6) AS p90 FROM samples GROUP BY horizon""")
 def distribution(v):
-    return samples(v).groupBy("horizon").agg(*ev.distribution("return_pct")).withColumns(six("lowest", "highest", "mean", *ev.QUANTILES))
+    return ev.distribution(samples(v), ["horizon"], "return_pct").withColumns(six("lowest", "highest", "mean", *ev.QUANTILES))
 
 
 @query("""SELECT l_returnflag, round(w / n, 6) AS win_rate, round(greatest((w / n + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt(w / n * (1 - w / n) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n), 0), 6) AS win_low,

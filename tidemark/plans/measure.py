@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import features
 from tidemark.operators import joins, outcomes, windows
+from tidemark.sources.shared import stored
 from tidemark.sources.views import DAY, HOUR, MINUTE
 
+from .pricing import scaled_sql
 from .registry import query, six
 
 HORIZONS = outcomes.HORIZONS
@@ -25,20 +27,28 @@ samples AS (SELECT *, CASE WHEN failure_reason IS NULL THEN CASE WHEN trade_coun
             CASE WHEN failure_reason IS NULL THEN CASE WHEN trade_count = 0 THEN 0 ELSE (least(min_price, price) - price) / price * 100 END END AS max_drawdown_pct FROM reasons)"""
 
 
+def shown_price(name: str):
+    """A decimal as text without trailing zeros."""
+    return F.regexp_replace(F.col(name).cast("string"), r"\.?0+$", "")
+
+
+def _paths(v):
+    return outcomes.outcome_path(outcomes.pairs(v.signals, HORIZONS), v.trades.withColumn("trade_price", outcomes.trade_price()))
+
+
 def samples(v):
-    """All signals at all horizons with their outcome; a window that the tail hasn't passed is unmeasured."""
-    paths = outcomes.outcome_path(outcomes.pairs(v.signals, HORIZONS), v.trades, HORIZONS)
+    """All signals at all horizons with their outcome, worked out once and kept; a window that the tail hasn't passed is unmeasured."""
+    paths = _paths(v)
     tail = v.trades.agg(F.max("t").alias("watermark"))  # one row
     rows = outcomes.metrics(paths).crossJoin(F.broadcast(tail))
     late = outcomes.coverage_decision(F.col("end"), F.col("watermark"), F.col("watermark"), 0, 0) != "ready"
     gone = {c: F.when(~late, F.col(c)) for c in ("return_pct", "max_runup_pct", "max_drawdown_pct")}
-    return rows.withColumns(gone | {"failure_reason": F.when(late, "incomplete_tail_coverage").otherwise(F.col("failure_reason"))})
+    return stored(rows.withColumns(gone | {"failure_reason": F.when(late, "incomplete_tail_coverage").otherwise(F.col("failure_reason"))}))
 
 
 @query(PATHS + " SELECT signal_id, horizon, trade_count, priced_count, round(last_price, 6) AS last_price, round(max_price, 6) AS max_price, round(min_price, 6) AS min_price FROM paths")
 def outcome_path(v):
-    rows = outcomes.outcome_path(outcomes.pairs(v.signals, HORIZONS), v.trades, HORIZONS)
-    return rows.select("signal_id", "horizon", "trade_count", "priced_count", *(F.round(c, 6).alias(c) for c in ("last_price", "max_price", "min_price")))
+    return _paths(v).select("signal_id", "horizon", "trade_count", "priced_count", *(F.round(c, 6).alias(c) for c in ("last_price", "max_price", "min_price")))
 
 
 @query(PATHS + " SELECT signal_id, horizon, failure_reason, round(return_pct, 6) AS return_pct, round(max_runup_pct, 6) AS max_runup_pct, round(max_drawdown_pct, 6) AS max_drawdown_pct FROM samples")
@@ -64,14 +74,39 @@ def due_outcomes(v):
           EXISTS (SELECT 1 FROM trades x WHERE x.pool_id = e.pool_id AND x.t BETWEEN e.start_t AND e.end_t AND x.created_t > e.evaluated_t) AS l FROM e)
     SELECT signal_id, horizon, CASE WHEN r THEN 'reorg' WHEN i THEN 'incomplete' ELSE 'late' END AS repair FROM f WHERE r OR coalesce(i, false) OR l""")
 def damaged_outcomes(v):
-    rows = samples(v).withColumn("evaluated_t", F.col("end") + MINUTE).select("signal_id", "horizon", "pool_id", "start", "end", "evaluated_t", "failure_reason")
+    rows = samples(v).withColumn("evaluated_t", F.col("end") + MINUTE)
     us = "unix_micros(CAST(ts AS TIMESTAMP))"
     rollbacks = v.table("events").filter("event_id % 997 = 1").selectExpr(f"{us} - 300000000 AS from_t", f"CASE WHEN event_id % 2 = 0 THEN {us} ELSE {us} + 60000000 END AS to_t", f"{us} + 7200000000 AS occurred_t")
-    found = None
-    for name, minutes in HORIZONS.items():  # each in buckets of its own length
-        part = outcomes.damaged(rows.filter(F.col("horizon") == name), v.trades, rollbacks, minutes * MINUTE)
-        found = part if found is None else found.unionByName(part)
-    return found.select("signal_id", "horizon", "repair")
+    return outcomes.damaged(rows, rollbacks, 4 * HOUR).select("signal_id", "horizon", "repair")
+
+
+_SERIES = """, near AS (SELECT x.block_number, q.price, abs(q.t - x.t) AS gap, q.t AS qt FROM trades x JOIN quotes q ON q.token_id = x.pool_id % 5 AND q.t BETWEEN x.t - 300000000 AND x.t + 300000000 WHERE x.pool_id % 5 <> 0),
+    best AS (SELECT block_number, price FROM near QUALIFY row_number() OVER (PARTITION BY block_number ORDER BY gap, qt, CAST(price AS VARCHAR)) = 1),
+    ser AS (SELECT x.*, nullif(abs(CAST(CASE WHEN x.pool_id % 2 = 0 THEN amount1 ELSE amount0 END AS HUGEINT)) * CASE WHEN x.pool_id % 5 = 0 THEN 100 ELSE CAST(round(b.price * 100) AS HUGEINT) END * 10000000000000000 // nullif(abs(CASE WHEN x.pool_id % 2 = 0 THEN amount0 ELSE amount1 END), 0), 0) AS p
+            FROM trades x LEFT JOIN best b USING (block_number))"""
+
+
+def _series(v):
+    """Trades priced by a fixed rate or by the nearest quote, in cents, within five minutes."""
+    first, token = F.col("pool_id") % 2 == 0, F.col("pool_id") % 5
+    trades = v.trades.withColumns({"trade_id": F.col("block_number"), "base_is_token0": first, "base_decimals": F.lit(6), "quote_decimals": F.lit(6), "fixed_usd": F.when(token == 0, "1"), "quote_token": token})
+    cents = F.round(F.col("price") * 100).cast("long")
+    shown = F.concat(F.floor(cents / 100), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    return outcomes.price_series(trades, v.quotes.select("token_id", "t", shown.alias("price")), 5 * MINUTE)
+
+
+@query(_SERIES + f" SELECT block_number, {scaled_sql('p')} AS price FROM ser")
+def price_series(v):
+    return _series(v).select("block_number", shown_price("trade_price").alias("price"))
+
+
+@query(PATHS.split("priced AS")[0] + _SERIES[2:] + f""", up AS (SELECT w.signal_id, w.horizon, count(b.block_number) AS trade_count, count(b.p) AS priced_count, arg_max(b.p, b.block_number) AS lp, max(b.p) AS hp, min(b.p) AS np
+    FROM w LEFT JOIN ser b ON b.pool_id = w.pool_id AND b.t BETWEEN w.start_t AND w.end_t GROUP BY 1, 2)
+    SELECT signal_id, horizon, trade_count, priced_count, {scaled_sql('lp')} AS last_price, {scaled_sql('hp')} AS max_price, {scaled_sql('np')} AS min_price FROM up""")
+def outcome_path_usd(v):
+    """Outcome paths over exact dollar prices."""
+    paths = outcomes.outcome_path(outcomes.pairs(v.signals, HORIZONS), _series(v))
+    return paths.select("signal_id", "horizon", "trade_count", "priced_count", *(shown_price(c).alias(c) for c in ("last_price", "max_price", "min_price")))
 
 
 @query(PATHS + """, h AS (SELECT signal_id, horizon, round(return_pct, 6) AS return_pct, failure_reason FROM samples WHERE signal_id % 3 <> 0),

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import features, scoring, text
-from tidemark.operators import joins, risk, states
+from tidemark.operators import delivery, joins, risk, states
 from tidemark.sources.views import MINUTE
 
 from . import measure, wallets
@@ -163,7 +163,8 @@ def _answers(v):
         F.when(F.col("doc_id") % 19 == 0, "0").otherwise("12").alias("lp_holder_count"),
         F.when(F.col("doc_id") % 5 == 0, F.array().cast("array<struct<percent:string>>")).otherwise(F.concat(F.array(blank), F.array_repeat(share, 11))).alias("holders"),
     ))
-    return rows.select("doc_id", risk.findings(answer).alias("f"))
+    read = risk.once(rows.select("doc_id", answer.alias("answer")), p=risk.parsed(F.col("answer")))
+    return risk.once(read.select("doc_id", "p"), f=risk.found(F.col("p"))).select("doc_id", "f")
 
 
 @query(_ANSWERED + " SELECT doc_id, honeypot, unsellable, blacklist, paused, mintable, hidden, buy_tax, sell_tax, lp, round(top10, 6) AS top10, unindexed FROM fx")
@@ -181,11 +182,19 @@ def risk_flags(v):
     return _flags(v).select("doc_id", F.explode("flags").alias("f")).select("doc_id", "f.code", "f.message")
 
 
-@query(_FLAGGED + """, w AS (SELECT DISTINCT doc_id, code, CASE WHEN code IN ('HONEYPOT', 'BLACKLIST_CAPABILITY', 'TRADING_RESTRICTION') THEN 100 WHEN code IN ('OWNER_CAN_MINT', 'HOLDER_CONCENTRATION') THEN 30 WHEN code = 'UNKNOWN_SECURITY_DATA' THEN 5 ELSE 15 END AS weight FROM fl)
+_SIMULATED = "CASE WHEN doc_id % 23 = 0 THEN 'UNKNOWN_TRADEABILITY' WHEN doc_id % 31 = 0 THEN 'HONEYPOT' WHEN doc_id % 29 = 0 THEN 'UNKNOWN_TRADEABILITY' WHEN doc_id % 40 >= 10 THEN 'UNUSUAL_TAX' END"
+
+
+@query(_FLAGGED + f""", al AS (SELECT doc_id, code FROM fl WHERE doc_id % 37 <> 0 UNION ALL SELECT doc_id, 'UNKNOWN_SECURITY_DATA' FROM documents WHERE doc_id % 37 = 0 UNION ALL SELECT doc_id, code FROM (SELECT doc_id, {_SIMULATED} AS code FROM documents) WHERE code IS NOT NULL),
+    w AS (SELECT DISTINCT doc_id, code, CASE WHEN code IN ('HONEYPOT', 'BLACKLIST_CAPABILITY', 'TRADING_RESTRICTION') THEN 100 WHEN code IN ('OWNER_CAN_MINT', 'HOLDER_CONCENTRATION', 'UNUSUAL_TAX') THEN 30 WHEN code = 'UNKNOWN_SECURITY_DATA' THEN 5 ELSE 15 END AS weight FROM al)
     SELECT d.doc_id, count(code) AS flags, CASE WHEN bool_or(weight = 100) THEN 'FAIL' WHEN count(code) > 0 THEN 'WARNING' ELSE 'PASS' END AS status, CAST(least(100, coalesce(sum(weight), 0)) AS BIGINT) AS score FROM documents d LEFT JOIN w ON d.doc_id = w.doc_id GROUP BY 1""")
 def risk_decision(v):
-    rows = _flags(v).select("doc_id", F.explode_outer("flags").alias("f")).select("doc_id", "f.code", "f.severity", "f.action")
-    return risk.decide(rows, "doc_id")
+    """Flags of a simulated trade and of the provider together, and what they come to; every 37th answer of the provider is missing."""
+    key = F.col("doc_id")
+    can_sell = F.when(key % 31 == 0, False).when(key % 29 != 0, True)
+    simulated = risk.simulation_flags(key % 23 != 0, can_sell, (key % 40) / 100, F.lit(None).cast("string"))
+    rows = risk.once(_answers(v), all=risk.evaluated(simulated, F.when(key % 37 != 0, F.col("f"))))
+    return risk.once(rows, v=risk.verdict(F.col("all"))).select("doc_id", "v.*")
 
 
 @query("""SELECT o_orderkey, code FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'UNKNOWN_TRADEABILITY' WHEN o_orderkey % 7 = 0 THEN 'HONEYPOT' WHEN o_orderkey % 11 = 0 THEN 'UNKNOWN_TRADEABILITY' WHEN o_orderkey % 40 >= 10 THEN 'UNUSUAL_TAX' END AS code FROM orders) WHERE code IS NOT NULL""")
@@ -225,6 +234,24 @@ def classify_error(v):
     return v.table("events").select("event_id", F.when(F.col("event_type") == "error", text.error_class(message)).alias("class"))
 
 
+@query(r"""SELECT page_id, regexp_replace(url, '(https?|wss?)://([^/\s"'']+)/[^\s"'']*', '\1://\2/[REDACTED]', 'g') AS first, 'key [REDACTED]' AS second, page_id * 2 AS n FROM pages""")
+def redact_nested(v):
+    """Secrets within structs, arrays and maps."""
+    rows = v.table("pages").select("page_id", F.struct(F.array(F.struct(F.col("url").alias("u"))).alias("list"), F.create_map(F.lit("k"), F.lit("key the-known-secret")).alias("map"), (F.col("page_id") * 2).alias("n")).alias("x"))
+    clean = rows.select("page_id", text.redact_deep(F.col("x"), rows.schema["x"].dataType, ("the-known-secret",)).alias("x"))
+    return clean.select("page_id", F.col("x.list")[0]["u"].alias("first"), F.col("x.map")["k"].alias("second"), F.col("x.n").alias("n"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 6 = 0 THEN event_id % 2 = 0 AND event_id % 4 = 0 ELSE coalesce(status IN (401, 403, 404) OR (status = 400 AND event_id % 3 = 0), false) END AS everywhere, CASE WHEN status IS NULL THEN 'TypeError' ELSE concat('HTTP_', status) END AS code
+    FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 400 WHEN 1 THEN 401 WHEN 2 THEN 404 WHEN 3 THEN 500 END AS status FROM events)""")
+def delivery_failure(v):
+    """Which failed deliveries count toward the circuit, and their codes."""
+    key = F.col("event_id")
+    status = F.when(key % 5 == 0, 400).when(key % 5 == 1, 401).when(key % 5 == 2, 404).when(key % 5 == 3, 500)
+    hint = delivery.transport_fault(status, F.when(key % 3 == 0, "Bad Request: CHAT not found").otherwise("can't parse entities"))
+    return v.table("events").select("event_id", delivery.global_failure(key % 6 == 0, key % 4 == 0, hint, status).alias("everywhere"), delivery.failure_code(status, F.lit("TypeError")).alias("code"))
+
+
 @query("SELECT c_custkey, CASE WHEN m < 0 THEN 'not measured' WHEN m < 60 THEN concat(m, 'm') WHEN m % 60 = 0 THEN concat(m // 60, 'h') ELSE concat(m // 60, 'h ', m % 60, 'm') END AS age FROM (SELECT c_custkey, c_custkey * 17 % 5000 - 60 AS m FROM customer)")
 def format_age(v):
     return v.table("customer").select("c_custkey", text.age((F.col("c_custkey") * 17 % 5000 - 60).cast("double")).alias("age"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from tidemark.functions import features
+from tidemark.functions import decode, features
 from tidemark.operators import holders as h
 from tidemark.operators import joins
 from tidemark.sources.views import DAY
@@ -26,6 +27,42 @@ def holder_balances(v):
     return h.balances(h.netted(unique, "batch"))
 
 
+#: Whole amounts become multiples of this, far beyond 64 and 128 bits.
+LARGE = 10**60 + 7
+_LARGE = "concat(CASE WHEN {0} < 0 THEN '-' ELSE '' END, CASE WHEN {0} = 0 THEN '0' ELSE concat(abs({0}), lpad(CAST(abs({0}) * 7 AS VARCHAR), 60, '0')) END)"
+
+
+def _large_transfers(v):
+    """Transfers as logs with 256-bit amounts, decoded again: value is text."""
+
+    @F.pandas_udf("string")
+    def word(x: pd.Series) -> pd.Series:
+        return x.map(lambda n: f"{int(n) * LARGE:064x}")
+
+    place = lambda c: F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(c)), 64, "0"))
+    logs = h.unique_transfers(v.transfers).select(
+        place("token_id").alias("address"), F.array(F.lit(decode.TRANSFERRED), place("source"), place("target")).alias("topics"), F.concat(F.lit("0x"), word("value")).alias("data"),
+        F.col("t").alias("block_number"), F.col("tx").cast("string").alias("tx_hash"), "log_index",
+    )
+    number = lambda c: F.conv(F.right(F.col(c), F.lit(15)), 16, 10).cast("long")
+    rows = decode.transfers(logs).select(number("token").alias("token_id"), number("source").alias("source"), number("target").alias("target"), "value", F.col("block_number").alias("t"), F.col("tx_hash").cast("long").alias("tx"), "log_index")
+    return rows
+
+
+@query(_UNIQUE + f" SELECT token_id, wallet, {_LARGE.format('s')} AS change, last_t, first_t FROM (SELECT token_id, wallet, CAST(sum(change) AS BIGINT) AS s, max(t) AS last_t, min(t) AS first_t FROM legs GROUP BY 1, 2)")
+def transfer_net_large(v):
+    """Netting of amounts of 200 bits and more."""
+    return h.netted(_large_transfers(v)).select("token_id", "wallet", "change", "last_t", "first_t")
+
+
+@query(_UNIQUE + f""", n AS (SELECT token_id, wallet, batch, CAST(sum(change) AS BIGINT) AS change FROM legs GROUP BY 1, 2, 3), r AS (SELECT *, sum(change) OVER (PARTITION BY token_id, wallet ORDER BY batch) AS s FROM n)
+    SELECT token_id, wallet, {_LARGE.format('balance')} AS balance, partially_observed FROM (SELECT token_id, wallet, CAST(arg_max(s, batch) - least(min(s), 0) AS BIGINT) AS balance, min(s) < 0 AS partially_observed FROM r GROUP BY 1, 2)""")
+def holder_balances_large(v):
+    """Decoded logs to balances, exact at any size."""
+    rows = _large_transfers(v).withColumn("batch", F.col("tx") % 4)
+    return h.balances(h.netted(rows, "batch"))
+
+
 _EXCLUDED = "SELECT s_suppkey FROM supplier UNION SELECT n_nationkey * 7 FROM nation"
 
 

@@ -36,4 +36,4 @@ def circuit_breaker(attempts: DataFrame) -> DataFrame:
         state.update(as_tuple(kept))
         yield pd.DataFrame(out)
 
-    return attempts.groupBy("notifier").applyInPandasWithState(fold, CIRCUIT_OUT, "state string, failures int, reopen double", "append", GroupStateTimeout.NoTimeout)
+    return attempts.groupBy("notifier").applyInPandasWithState(fold, CIRCUIT_OUT, "state string, failures int, reopen double, opened double", "append", GroupStateTimeout.NoTimeout)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.upserts import insert_if_absent
 
+from .ledger import RANGE, table
+
 
 def silver(swaps: DataFrame, pools: DataFrame, blocks: DataFrame) -> DataFrame:
     """Trades of known pools in blocks of known time, with the side from the pool's view."""
@@ -18,18 +20,22 @@ def silver(swaps: DataFrame, pools: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def writer(path: str, pools: DataFrame, blocks: DataFrame, keys: tuple[str, ...] = ("tx_hash", "log_index")):
-    """For ``foreachBatch``: appends the rows of a batch whose key the table lacks, so a replayed batch adds nothing."""
+    """For ``foreachBatch``: appends the rows of a batch whose key the table lacks, so a replayed batch adds nothing.
+
+    The table has a folder a range of blocks; only those that a batch touches are read, so a batch costs the same however
+    long the table has grown. A log stays in its block, so a key is never in another range.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = silver(batch, pools, blocks)
+        rows = silver(batch, pools, blocks).withColumn("range", F.floor(F.col("block_number") / RANGE)).persist()
         try:
-            old = batch.sparkSession.read.parquet(path).select(*keys)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            old = rows.select(*keys).limit(0)
-        order = sorted(set(rows.columns) - set(keys))
-        insert_if_absent(old, rows, list(keys), order).write.mode("append").parquet(path)
+            touched = [r[0] for r in rows.select("range").distinct().collect()]  # a few ranges a batch
+            old = table(batch.sparkSession, path)
+            old = rows.select(*keys).limit(0) if old is None else old.filter(F.col("range").isin(touched)).select(*keys)
+            order = sorted(set(rows.columns) - set(keys))
+            insert_if_absent(old, rows, list(keys), order).write.mode("append").partitionBy("range").parquet(path)
+        finally:
+            rows.unpersist()
 
     return write
 
