@@ -45,7 +45,7 @@ def test_stages_equal_brute_force(spark):
     got = found(cp.classify_quality(spark, docs(spark, rows), ""))
     assert {r for r in got if r[0] is not None} == {r for r in rows if r[0] is not None and judged[r[0]]}
     named = [r for r in rows if r[0] is not None]
-    left = test_lines_and_tools.brute([r[:2] for r in named], 5, 4)
+    left = test_lines_and_tools.brute([r[:2] for r in named], 5, 3)
     assert found(cp.dedup_lines(spark, docs(spark, named), "")) == Counter((i, left[i], a, b, len(left[i])) for i, _, a, b, _ in named)
     classes = test_near.brute([r[:2] for r in named if len(r[1] or "") < 5000])
     want = [r for r in rows if r[0] is None or len(r[1] or "") >= 5000 or classes[r[0]] == r[0]]

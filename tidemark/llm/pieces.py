@@ -1,15 +1,17 @@
 """SentencePiece encoding and decoding by a table of distinct chunks.
 
 When no piece of a model holds a whitespace marker after another character, no merge crosses from a word
-into the next marker: the pieces of a text are those of its marked words (markers, then other
-characters), one after the other. So each distinct marked word is segmented once by the library, and the
-ids are joined back by position. The table belongs to a task and is emptied when full, which bounds
-memory and needs no shuffle; a table for the whole corpus would send every word of every text over
-the network twice. Decoding goes from ids too: the table holds the text of each word's pieces.
+into the next marker: the pieces of a text are those of its marked words (spaces, then other
+characters), one after the other. So the distinct marked words of all texts are counted, dealt out by hash, and
+each is segmented once by the library; ids and decoded text of every word are joined back by position.
+
+The join has two ways. The most frequent words (``COMMON`` of at most ``LONG`` characters, which bounds what is
+sent) go to every task. A text's other words, each once, meet the table by word and come back to their text as one
+list, bounded by the text. A common word is never shuffled, so no word is a hot spot.
 
 Models whose pieces cross markers, or with pieces defined by users, are refused by ``splittable`` and go
-through the library text by text. Null texts are empty; empty texts have no ids but the end. Very long
-words are segmented without being kept. Repeated rows and null ids are carried through.
+through the library text by text. Null texts are empty; empty texts have no ids but the end. Repeated rows and null ids
+are carried through; very long words are segmented like others. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,12 +21,16 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 MARK = "▁"
-TABLE = 250_000  # distinct words kept by a task
-LONG = 64  # characters beyond which a word is not kept
+COMMON = 1 << 16  # frequent words that every task holds
+LONG = 64  # characters of such a word at most
+WORDS = "array<struct<word:string,ids:string,n:int,decoded:string>>"
+CODED = "doc_id long, n_tokens long, ids string, decoded string"
 
 
 def splittable(model) -> bool:
@@ -34,36 +40,33 @@ def splittable(model) -> bool:
     return whole and all(MARK not in model.id_to_piece(i).lstrip(MARK) for i in range(len(model)))
 
 
-class ChunkTable:
-    """Marked words to (ids, text)."""
+class Segmenter:
+    """Ids (in decimal), their number and the decoded text of a marked word."""
 
     def __init__(self, model):
         self.model = model
         self.text = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else p.replace(MARK, " ").encode() for i, p in enumerate(map(model.id_to_piece, range(len(model))))]
         self.alone = model.piece_to_id(MARK)
-        self.words: dict[str, tuple[str, int, str]] = {}
-        self.split = re.compile(f"{MARK}+[^{MARK}]*").findall
 
     def segment(self, word: str) -> tuple[str, int, str]:
-        ids = self.model.encode(word[1:]) if len(word) > 1 else [self.alone]  # the library puts the first marker
+        ids = self.model.encode(word[1:].replace(" ", MARK)) if len(word) > 1 else [self.alone]  # the library puts the first marker
         return " ".join(map(str, ids)), len(ids), b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")
 
-    def encode(self, text: str) -> tuple[list[str], int, str]:
-        """The ids of each word in decimal, their number, and the decoded text."""
-        if not text:
-            return [], 0, ""
-        words, found, get = self.words, [], self.words.get
-        for word in self.split(MARK + text.replace(" ", MARK)):
-            entry = get(word)
-            if entry is None:
-                entry = self.segment(word)
-                if len(word) <= LONG:
-                    if len(words) >= TABLE:
-                        words.clear()
-                    words[word] = entry
-            found.append(entry)
-        decoded = "".join([x[2] for x in found])
-        return [x[0] for x in found], sum([x[1] for x in found]), decoded[1:] if decoded[:1] == " " else decoded
+
+def chunks(text: Column) -> Column:
+    """The marked words of a text in order: spaces, then other characters."""
+    marked = F.concat(F.lit(" "), F.translate(text, MARK, " "))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(marked, "(?<=[^ ])(?= )"))
+
+
+SPLIT = re.compile(" +[^ ]*").findall
+
+
+def joined(text: str, table: dict, own: dict) -> tuple[list[str], int, str]:
+    """The ids of each word in decimal, their number, and the decoded text, by position."""
+    found = [table.get(word) or own[word] for word in SPLIT(" " + text.replace(MARK, " "))] if text else []
+    decoded = "".join([x[2] for x in found])
+    return [x[0] for x in found], sum([x[1] for x in found]), decoded[1:] if decoded[:1] == " " else decoded
 
 
 class WholeTexts:
@@ -80,43 +83,87 @@ class WholeTexts:
 def _open(path: str):
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return model, ChunkTable(model) if splittable(model) else WholeTexts(model)
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+def _segmented(path: str):
+    def segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment = Segmenter(_open(path)).segment
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                found = [segment(word.as_py()) for word in part.column(0)]
+                columns = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["word", "uses", "ids", "n", "decoded"])
+
+    return segmented
 
 
-def _texts(column: pa.Array) -> Iterator[str]:
-    for value in column:
-        yield value.as_py() or ""
+def chunk_table(texts: DataFrame, path: str) -> DataFrame:
+    """(word, uses, ids, n, decoded) of every distinct marked word of ``texts`` (text), segmented once."""
+    words = texts.select(F.explode(chunks(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("uses"))
+    return stored(words.mapInArrow(_segmented(path), "word string, uses long, ids string, n int, decoded string"))
 
 
-def _encode(path: str, digest: bool):
+def _rows(part: pa.RecordBatch, found: list, end: str, digest: bool) -> pa.RecordBatch:
+    counts, ids, texts = [], [], []
+    for words, n, decoded in found:
+        coded = " ".join([*words, end])
+        if digest:
+            coded, decoded = hashlib.sha256(coded.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        counts.append(n + 1)
+        ids.append(coded)
+        texts.append(decoded)
+    return pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+
+
+def _by_text(path: str, digest: bool):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _open(path)
+        texts, end = WholeTexts(model), str(model.eos_id())
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield _rows(part, [texts.encode(t.as_py() or "") for t in part.column(1)], end, digest)
+
+    return encode
+
+
+def _by_position(shared, end: str, digest: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, table = _open(path)
-        end = str(model.eos_id())
+        table = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                counts, ids, texts = [], [], []
-                for text in _texts(part.column(1)):
-                    words, n, decoded = table.encode(text)
-                    words.append(end)
-                    coded = " ".join(words)
-                    counts.append(n + 1)
-                    if digest:
-                        coded, decoded = hashlib.sha256(coded.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
-                    ids.append(coded)
-                    texts.append(decoded)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+                own = ({x["word"]: (x["ids"], x["n"], x["decoded"]) for x in row or ()} for row in (r.as_py() for r in part.column(2)))
+                yield _rows(part, [joined(t.as_py(), table, o) for t, o in zip(part.column(1), own)], end, digest)
 
     return encode
 
 
+def _coded(docs: DataFrame, path: str, digest: bool) -> DataFrame:
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    model = _open(path)
+    if not splittable(model):
+        return docs.mapInArrow(_by_text(path, digest), CODED)
+    table = chunk_table(docs, path)
+    common = stored(table.filter(F.length("word") <= LONG).orderBy(F.desc("uses"), "word").limit(COMMON))
+    # at most COMMON words of LONG characters
+    shared = docs.sparkSession.sparkContext.broadcast({r.word: (r.ids, r.n, r.decoded) for r in common.collect()})
+    key = ["_id", "_one", "_two"]
+    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(-1)), "_one": F.xxhash64("text"), "_two": F.xxhash64(F.lit(1), "text")})
+    rest = keyed.select(*key, F.explode(F.array_distinct(chunks(F.col("text")))).alias("word")).join(F.broadcast(common.select("word")), "word", "left_anti").distinct()
+    # the words of one text
+    lists = rest.join(table, "word").groupBy(*key).agg(F.collect_list(F.struct("word", "ids", "n", "decoded")).alias("words"))
+    whole = keyed.join(lists, key, "left").select("doc_id", "text", F.col("words").cast(WORDS))
+    return whole.mapInArrow(_by_position(shared, str(model.eos_id()), digest), CODED)
+
+
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids (array of int, the end id last) and decoded (the text that the ids give)."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_encode(model_path, False), "doc_id long, n_tokens long, ids string, decoded string")
-    return rows.withColumn("ids", F.split("ids", " ").cast("array<int>"))
+    return _coded(docs, model_path, False).withColumn("ids", F.split("ids", " ").cast("array<int>"))
 
 
 def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
     """As ``encode``, with SHA-256 digests (lowercase hex) of the decimal ids joined by a space and of the decoded text in UTF-8 in place of both, taken where they are made."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_encode(model_path, True), "doc_id long, n_tokens long, ids string, decoded string").withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
+    return _coded(docs, model_path, True).withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})

@@ -86,19 +86,25 @@ QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_media, op3_topk, op4_qu
 ORACLE_SQL = {
     "op3_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
-                   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         s AS (SELECT q.vec_id AS query_id, c.vec_id,
-                     CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+                     CAST(coalesce(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])), 0) AS BIGINT) AS score
               FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op5_line_dedup": r"""
         WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS n FROM documents),
         m AS (SELECT doc_id, n, line, trim(regexp_replace(regexp_replace(line, '(^|\s)[^\s\d@]*[\d@]\S*', '\1<*>', 'g'), '\s+', ' ', 'g')) AS t FROM l),
-        p AS (SELECT * FROM m WHERE t <> '' AND len(string_split(t, ' ')) >= 4),
-        r AS (SELECT t, min(doc_id) AS first_doc FROM p GROUP BY t HAVING count(DISTINCT doc_id) >= 5),
-        f AS (SELECT p.t, p.doc_id, min(p.n) AS first_line FROM p JOIN r ON p.t = r.t AND p.doc_id = r.first_doc GROUP BY p.t, p.doc_id),
-        d AS (SELECT p.doc_id, p.n FROM p JOIN f ON p.t = f.t WHERE NOT (p.doc_id = f.doc_id AND p.n = f.first_line)),
+        p AS (SELECT *, string_split(t, ' ') AS w FROM m WHERE t <> '' AND len(string_split(t, ' ')) >= 3),
+        o AS (SELECT t, any_value(w) AS w, count(DISTINCT doc_id) AS docs FROM p GROUP BY t),
+        s AS (SELECT t, len(w) AS size, w[:3] AS lead, docs, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM o),
+        c AS (SELECT size, lead, at, word FROM s WHERE word <> '<*>' AND at > 3 GROUP BY ALL HAVING sum(docs) >= 5),
+        h AS (SELECT s.t, count(*) AS kept, string_agg(s.at || ':' || s.word, ' ' ORDER BY s.at) AS path FROM s JOIN c ON s.size = c.size AND s.lead = c.lead AND s.at = c.at AND s.word = c.word GROUP BY s.t),
+        g AS (SELECT o.t, len(w) AS size, w[:3] AS lead, coalesce(path, '') AS path FROM o LEFT JOIN h ON o.t = h.t WHERE len(list_filter(w[:3], lambda x: x <> '<*>')) + coalesce(kept, 0) >= 0.7 * len(w) - 1e-9),
+        q AS (SELECT p.doc_id, p.n, g.size, g.lead, g.path FROM p JOIN g ON p.t = g.t),
+        r AS (SELECT size, lead, path, min(doc_id) AS first_doc FROM q GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5),
+        f AS (SELECT q.size, q.lead, q.path, q.doc_id, min(q.n) AS first_line FROM q JOIN r ON q.size = r.size AND q.lead = r.lead AND q.path = r.path AND q.doc_id = r.first_doc GROUP BY ALL),
+        d AS (SELECT q.doc_id, q.n FROM q JOIN f ON q.size = f.size AND q.lead = f.lead AND q.path = f.path WHERE NOT (q.doc_id = f.doc_id AND q.n = f.first_line)),
         k AS (SELECT m.doc_id, count(*) AS n_lines, count(d.n) AS n_dropped, coalesce(string_agg(CASE WHEN d.n IS NULL THEN m.line END, chr(10) ORDER BY m.n), '') AS kept
               FROM m LEFT JOIN d ON m.doc_id = d.doc_id AND m.n = d.n GROUP BY m.doc_id)
         SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM k""",
