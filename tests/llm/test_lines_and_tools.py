@@ -112,6 +112,14 @@ def test_links_orders_validates_and_serialises(spark):
     assert json.loads(got[1, "a"].json)["result"] == "1"
 
 
+def test_whole_numbers_and_nulls(spark):
+    calls = [(1, 1, "a", "add", '{"a":1.0,"b":1e2}', []), (1, 2, "b", "add", '{"a":1.5,"b":1}', []), (1, 3, "c", "add", "{", []), (1, 4, "d", "add", '{"a":12345678901234567890,"b":0}', [])]
+    got = link(spark, calls, [(1, "a", None)])
+    assert got[1, "a"].errors == [] and got[1, "b"].errors == ["a:type"] and got[1, "d"].errors == []
+    assert json.loads(got[1, "a"].json) == {"arguments": {"a": 1, "b": 100}, "id": "a", "level": 0, "name": "add", "status": "ok"}
+    assert json.loads(got[1, "c"].json) == {"id": "c", "level": 0, "name": "add", "status": "missing_result"}
+
+
 def test_no_calls(spark):
     assert link(spark, [], [(1, "a", "x")]) == {}
 

@@ -55,6 +55,48 @@ def test_words_seen_once_count(spark):
     assert model.word[1][(5 << 50) >> 64 - toxicity.WORDS] == pytest.approx((1 - toxicity.DISCOUNT) / 4)
 
 
+def test_ratios_equal_kneser_ney_by_hand(spark):
+    """Every expression's ratio from counts in dictionaries: discounts, continuation counts, the base that both classes share."""
+    import math
+    import re
+    from collections import Counter
+
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    rows = [(int(i % 3 == 0), sentence(rng, rng.randint(3, 25)) + (" vilebrat scumling mudbrain" if i % 3 == 0 and i % 2 else "")) for i in range(40)]
+    counted = spark.createDataFrame([(t, k) for k, t in rows], "text string, toxic int").repartition(3).mapInArrow(toxicity._count, toxicity.COUNTS)
+    model = toxicity.Model(counted)
+    words = lambda t: re.findall(r"[a-z]+", t.lower())
+    own, d = {k: Counter() for k in (0, 1)}, toxicity.DISCOUNT
+    for k, t in rows:
+        own[k].update(set(words(t)))
+    seven, five, four = toxicity.PREFIXES
+    base = Counter(four_ for _, four_ in {(w[:five], w[:four]) for c in own.values() for w in c})
+    whole = sum(base.values()) + 0.5 * (1 << toxicity.STARTS)
+
+    def chance(k, word):
+        levels, keys = [own[k]], set(own[k])
+        for size in toxicity.PREFIXES:
+            levels.append(Counter(x[:size] for x in keys))
+            keys = set(levels[-1])
+        total, left = 0.0, 1.0
+        for counts, size in zip(levels, (len(word), *toxicity.PREFIXES)):
+            n = sum(counts.values())
+            total += left * max(counts[word[:size]] - d, 0) / n
+            left *= d * len(counts) / n
+        return total + left * (base[word[:four]] + 0.5) / whole
+
+    text = rows[3][1] + " neverseen vilebratty " + rows[4][1]
+    data, offsets = toxicity.text_buffer(pa.array([text]))
+    ratio, first = model.ratios(data, offsets)
+    want = [math.log(chance(1, w) / chance(0, w)) for w in words(text)]
+    assert first.tolist() == [0, len(want)] and ratio.tolist() == pytest.approx(want, abs=1e-4)
+    likelihood, evidence = model.evidence(data, offsets)
+    assert likelihood[0] == pytest.approx(np.mean(want), abs=1e-4) and min(want) < 0 < max(want)
+    assert evidence[0] == pytest.approx(np.mean([max(x - model.margin, 0) for x in want]), abs=1e-4)
+
+
 def junk(rng, kind, words):
     if kind == 0:
         return " ".join(w + rng.choice(["***", "$$$", "&&&"]) for w in words)

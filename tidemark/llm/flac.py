@@ -452,12 +452,19 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
+def block_places(media: bytes, n: int, frames_a_block: int) -> list[tuple[int, int | None]]:
+    """First sample of each block of a stream of n samples, and the byte offset of its frame where the seek table has it."""
+    block, _, _, points, at = _metadata(media)
+    offset = dict(points)
+    return [(i, at + offset[i] if i in offset else None) for i in range(0, n, block * frames_a_block)]
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         media = batch.column(2).to_pylist()
         for a, b in row_blocks(np.cumsum([0, *map(len, media)]), GROUP):
             samples = decode(media[a:b])
-            rows: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+            rows: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_blocks", "last_block_offset")}
             for x, m in zip(samples, media[a:b]):
                 payload = (x.view(np.uint8) ^ 0x80).tobytes()
                 wide = x.astype(np.int32)
@@ -467,6 +474,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows["media_bytes"].append(len(m))
                 rows["media_sha256"].append(hashlib.sha256(m).hexdigest())
                 rows["feature"].append(f"peak={int(np.abs(wide).max())};energy={int((wide * wide).sum(dtype=np.int64))};sum={int(wide.sum(dtype=np.int64))};crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())}")
+                places = block_places(m, len(x), SEEK_EVERY)
+                rows["pcm_blocks"].append(len(places))
+                rows["last_block_offset"].append(places[-1][1])
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "n_bytes": batch.column(1).slice(a, b - a)} | {k: pa.array(v, pa.string() if isinstance(v[0], str) else pa.int64()) for k, v in rows.items()})
 
 
@@ -477,11 +487,10 @@ def _blocks(frames_a_block: int):
                 if media is None:
                     continue
                 samples = decode([media])[0]
-                block, _, _, points, at = _metadata(media)
-                offset = dict(points)
-                step = block * frames_a_block
-                firsts = list(range(0, len(samples), step))
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(firsts), pa.int64()), pa.array([i // step for i in firsts], pa.int64()), pa.array(firsts, pa.int64()), pa.array([at + offset[i] if i in offset else None for i in firsts], pa.int64()), pa.array([samples[i : i + step].tobytes() for i in firsts], pa.binary())], ["doc_id", "block", "first_sample", "byte_offset", "pcm"])
+                places = block_places(media, len(samples), frames_a_block)
+                step = places[1][0] if len(places) > 1 else len(samples)
+                firsts = [i for i, _ in places]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(firsts), pa.int64()), pa.array(range(len(firsts)), pa.int64()), pa.array(firsts, pa.int64()), pa.array([o for _, o in places], pa.int64()), pa.array([samples[i : i + step].tobytes() for i in firsts], pa.binary())], ["doc_id", "block", "first_sample", "byte_offset", "pcm"])
 
     return blocks
 
@@ -492,8 +501,8 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def read(media: DataFrame) -> DataFrame:
-    """Decode, verify and describe the streams that ``store`` returns, one row each."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    """Decode, verify and describe the streams that ``store`` returns, one row each: digests, features, and how many PCM blocks it gives and where the last one's frame begins."""
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_blocks long, last_block_offset long")
 
 
 def pcm_blocks(media: DataFrame, frames_a_block: int = SEEK_EVERY) -> DataFrame:

@@ -12,7 +12,8 @@ Edge cases: rows without an identifier can't be linked: a call keeps the status
 left out. Of repeated calls with one identifier in a conversation the least (turn, name, arguments) counts,
 of repeated results the least content. A dependency on a call that doesn't exist gives ``unresolved``, a
 missing result ``missing_result``. Null or malformed arguments are an error (``arguments:malformed``) and
-are written as null. ``link`` has one row a call, so results that it leaves out (without an identifier, without a call,
+the record is written without them, as it is without a result, level or name that is null. A whole number is an integer however it
+is written (1.0 is written as 1). ``link`` has one row a call, so results that it leaves out (without an identifier, without a call,
 or repeated) have none there: ``orphans`` returns them with a status. Empty tables give empty results. Other columns are ignored.
 """
 
@@ -60,7 +61,11 @@ def validate(name: Column, arguments: Column, schemas: dict[str, dict[str, tuple
             value = F.try_variant_get(parsed, f"$['{field}']", "variant")
             kind_of = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
             absent = value.isNull()
-            wrong = ~absent & ~kind_of.isin(TYPES[kind])
+            fits = kind_of.isin(TYPES[kind])
+            if kind == "integer":  # a whole number in any notation
+                number = F.try_variant_get(parsed, f"$['{field}']", "double")
+                fits = fits | (kind_of.isin(TYPES["number"]) & (number == F.floor(number)))
+            wrong = ~absent & ~fits
             errors += [F.when(absent & F.lit(required), F.lit(f"{field}:missing")), F.when(wrong, F.lit(f"{field}:type"))]
         known = F.array(*(F.lit(f) for f in sorted(fields))) if fields else F.array().cast("array<string>")
         extra = F.transform(F.sort_array(F.array_except(keys, known)), lambda k: F.concat(k, F.lit(":unknown")))

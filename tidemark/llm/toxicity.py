@@ -6,13 +6,13 @@ it, Kneser-Ney continuation counts of the word's first seven, five and four byte
 beginnings of the class go on from them); at the bottom the continuation counts that both classes
 share. So a rare expression has the same probability in both models but for what its beginnings tell.
 
-A document's score compares its log-likelihoods under both models, divided by its length; an
-expression counts with the evidence that exceeds what an unseen expression gives, which keeps the
-noise of hundreds of neutral words from drowning a few telling ones. A logistic curve, fitted on
-held-back training rows, turns that into a probability.
+A document's score compares its log-likelihoods under both models, divided by its length, evidence of both
+signs added up. Toxic documents hold a few telling words among hundreds of neutral ones, whose noise drowns them in that
+mean, so the evidence that exceeds what an unseen expression gives is added up beside it. A logistic curve over
+both, fitted on held-back training rows, turns them into a probability.
 
 The models count all labelled documents (equal texts once, as the row with the least id), so they grow with
-the corpus; only the two parameters of the curve are fitted on at most ``curve_rows`` documents, those with
+the corpus; only the three parameters of the curve are fitted on at most ``curve_rows`` documents, those with
 the least hash of their id in a quarter of all, which the models leave out. Words are hashed into 2**20
 buckets, beginnings into 2**18 a level, so what goes to the executors has a fixed size. Labelled texts are
 read in place: only ids and hashes of texts are shuffled, and counts, combined first. Every document is scored, whole.
@@ -140,14 +140,22 @@ class Model:
             self.starts.append(parts)
         self.margin = max(float(np.log(unseen[1] / unseen[0])), 0.0) + MARGIN
 
-    def evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Of each row: the log-likelihood ratio beyond the margin, divided by its number of expressions."""
+    def ratios(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each expression the log of how much likelier it is under the toxic model, and the first one of each row."""
         found, first = expressions(data, offsets)
         words, *starts = [(x >> np.uint64(64 - (STARTS if i else WORDS))).astype(np.int64) for i, x in enumerate(found)]
         chance = [self.word[k][words] + sum(p[x] for p, x in zip(self.starts[k], starts)) for k in (0, 1)]
-        gain = np.maximum(np.log(chance[1] / chance[0]) - self.margin, 0)
-        total = np.concatenate([[0.0], np.cumsum(gain, dtype=np.float64)])
-        return (total[first[1:]] - total[first[:-1]]) / np.maximum(np.diff(first), 1)
+        return np.log(chance[1] / chance[0]), first
+
+    def evidence(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row: the difference of both log-likelihoods, and the part of it beyond the margin, both divided by its number of expressions."""
+        ratio, first = self.ratios(data, offsets)
+        size = np.maximum(np.diff(first), 1)
+        out = []
+        for x in (ratio, np.maximum(ratio - self.margin, 0)):
+            total = np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])
+            out.append((total[first[1:]] - total[first[:-1]]) / size)
+        return out[0], out[1]
 
 
 def _evidence(shared):
@@ -156,25 +164,26 @@ def _evidence(shared):
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             for a, b in row_blocks(offsets, BLOCK):
-                x = model.evidence(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(x)], ["doc_id", "evidence"])
+                found = model.evidence(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, found)], ["doc_id", "likelihood", "evidence"])
 
     return evidence
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a logistic regression with a small ridge, by Newton steps."""
-    grid = np.stack([x, np.ones_like(x)], 1)
-    w = np.array([1.0, 0.0])
+def _curve(x: np.ndarray, y: np.ndarray) -> list[float]:
+    """Slopes and intercept of a logistic regression with a small ridge, by Newton steps. x: a column a feature."""
+    grid = np.c_[x, np.ones(len(x))]
+    ridge = np.array([0.05] * x.shape[1] + [0.0])
+    w = np.zeros(grid.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(grid @ w, -30, 30)))
-        slope = grid.T @ (p - y) + np.array([0.05, 0.0]) * w
-        curve = grid.T @ (grid * (p * (1 - p))[:, None]) + np.diag([0.05, 1e-6])
+        slope = grid.T @ (p - y) + ridge * w
+        curve = grid.T @ (grid * (p * (1 - p))[:, None]) + np.diag(np.maximum(ridge, 1e-6))
         step = np.linalg.solve(curve, slope)
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    return w.tolist()
 
 
 def _beside(rows: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
@@ -207,9 +216,9 @@ def score(docs: DataFrame, labels: DataFrame, held_out, curve_rows: int = 4_000)
         share = marks.agg(F.avg("toxic")).first()[0] or 0.0
         return docs.select("doc_id", F.lit(float(share)).alias("score"))
     shared = spark.sparkContext.broadcast(model)
-    schema = "doc_id long, evidence double"
-    back = keyed.join(F.broadcast(curve), ["doc_id", "one", "two"]).select("toxic", "text").mapInArrow(_evidence(shared), "doc_id int, evidence double").withColumnRenamed("doc_id", "toxic").toPandas()
-    scale = lambda e: np.log(e + 1e-3)
-    slope, intercept = _curve(scale(back.evidence.to_numpy()), back.toxic.to_numpy(float)) if back.toxic.nunique() == 2 else (4.0, 4.0 * np.log(50.0))
-    line = F.log(F.col("evidence") + 1e-3) * slope + intercept
+    schema = "doc_id long, likelihood double, evidence double"
+    back = keyed.join(F.broadcast(curve), ["doc_id", "one", "two"]).select("toxic", "text").mapInArrow(_evidence(shared), schema.replace("doc_id long", "doc_id int")).toPandas()
+    points = np.c_[back.likelihood.to_numpy(), np.log(back.evidence.to_numpy() + 1e-3)]
+    both, beyond, intercept = _curve(points, back.doc_id.to_numpy(float)) if back.doc_id.nunique() == 2 else (0.0, 4.0, 4.0 * np.log(50.0))
+    line = F.col("likelihood") * both + F.log(F.col("evidence") + 1e-3) * beyond + intercept
     return docs.mapInArrow(_evidence(shared), schema).select("doc_id", (1 / (1 + F.exp(-line))).alias("score"))
