@@ -276,22 +276,6 @@ def test_tail_appends_once(spark, tmp_path):
     assert sorted((r.tx_hash, r.side, r.t) for r in spark.read.parquet(str(tmp_path / "trades")).collect()) == [("w", "OUT1", 20), ("x", "OUT0", 10)]
 
 
-def test_queries_equal_their_sql(spark):
-    """A few of each module; the driver checks all."""
-    import duckdb
-
-    from tidemark.plans.catalog import ORACLE_SQL, QUERIES
-
-    folder = "/root/testdata/sf0.001"
-    con = duckdb.connect()
-    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "pages"):
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
-    for name in ("insert_if_absent", "trade_window", "band_horizon", "clusters", "risk_decision"):
-        want = con.execute(ORACLE_SQL[name]).df()
-        got = QUERIES[name](spark, folder).toPandas()
-        assert sorted(want.columns) == sorted(got.columns) and len(want) == len(got), name
-
-
 def test_clusters_take_all_fundings(spark, tmp_path):
     from datetime import datetime, timedelta
 

@@ -6,6 +6,8 @@ outcomes say so instead of showing a figure.
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,29 @@ CELLS = ["horizon", "n", "meas", "win rate [95% CI]", "median", "mean", "p10 / p
 FEATURES = ["feature", "horizon", "measured/total", "spearman ρ vs return"]
 EXCLUDED = ["excluded reason", "outcomes"]
 UNINGESTED = "incomplete_tail_coverage"
+#: What a report says first and last, and of windows that were never ingested (fixed values).
+HEADER = """Strategy evaluation (§22) — strategyVersion={version}
+Generated {at} over {total} outcomes.
+
+Cells with fewer than {least} measured outcomes report INSUFFICIENT
+rather than a figure. §22 warns against tuning on averages from skewed data,
+and a win rate drawn from a handful of outcomes is noise, not evidence.
+
+Returns are medians with a p10/p90 spread; the mean is deliberately not the
+headline. `n` counts outcomes, `tok` counts distinct tokens — outcomes from
+one token are correlated, so `tok` is the honest measure of independent evidence.
+
+Profit factor assumes a notional entry at the frozen signal price and an exit
+at the horizon price. That is a measurement convention, not a trade rule:
+this system does not trade and makes no claim that these results are tradeable (§28)."""
+WARNING = """
+!! {lost} of {total} samples ({share}%) come from windows the swap tail
+   never ingested. Their features are not evidence about anything, and they
+   must not be used to calibrate thresholds. Measured outcomes are unaffected:
+   the coverage gate already refused to measure them."""
+FOOTER = """Findings only — no recommendation is implied. Any threshold change is a human
+decision and mints a new strategyVersion (§22)."""
+ALL_MEASURED = "None — every outcome in the sample was measurable."
 
 
 def table(headings: list[str], rows: list[list[str]]) -> str:
@@ -26,19 +51,24 @@ def table(headings: list[str], rows: list[list[str]]) -> str:
     return "\n".join([shown[0], "  ".join("─" * w for w in widths), *shown[1:]])
 
 
+def fixed(x: float, digits: int) -> str:
+    """So many digits, a tie away from zero; the sign of a small negative number stays."""
+    return str(Decimal(x).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+
+
 def percent(x: float | None) -> str:
-    return "—" if x is None else f"{x:+.1f}%"
+    return "—" if x is None else f"{'+' if x >= 0 else ''}{fixed(x, 1)}%"
 
 
 def factor(x: float | None, state: str) -> str:
-    return {"infinite": "∞ (no losses yet)", "finite": f"{x or 0:.2f}"}.get(state, "n/a")
+    return {"infinite": "∞ (no losses yet)", "finite": fixed(x or 0.0, 2)}.get(state, "n/a")
 
 
 def _cell(name: str, c) -> list[str]:
     head = [name, c.horizon, f"{c.n} ({c.tokens} tok)", str(c.measured)]
     if not c.sufficient:
         return [*head, "INSUFFICIENT — need more outcomes", *[""] * 5]
-    rate, low, high = (round(100 * (x or 0)) for x in (c.win_rate, c.win_low, c.win_high))
+    rate, low, high = (fixed(100 * (x or 0.0), 0) for x in (c.win_rate, c.win_low, c.win_high))
     return [*head, f"{rate}% [{low}–{high}]", percent(c.median), percent(c.mean), f"{percent(c.p10)} / {percent(c.p90)}", f"{percent(c.median_runup)} / {percent(c.median_drawdown)}", factor(c.profit_factor, c.profit_state)]
 
 
@@ -63,16 +93,16 @@ def render(samples: DataFrame, version: str, at: str, least: int = 30) -> str:
     buckets = _grouped(own.withColumn("bucket", ev.coverage_bucket(F.col("coverage"))), "bucket", ["<0.5", "0.5-0.8", ">=0.8"], least)
     order = list(HORIZONS)
     traits = sorted(ev.feature_contribution(own, "features").filter("measured > 0").collect(), key=lambda r: (r.feature, order.index(r.horizon) if r.horizon in order else len(order)))
-    rho = lambda r: "INSUFFICIENT" if r.measured < least else "— (no variation)" if r.rho is None else f"{r.rho:.2f}"
+    rho = lambda r: "INSUFFICIENT" if r.measured < least else "— (no variation)" if r.rho is None else fixed(r.rho, 2)
     reasons = ev.exclusions(banded, []).orderBy(F.desc("n"), "reason").collect()
-    head = [f"Strategy evaluation, version {version}, at {at}: {total} outcomes.", f"Fewer than {least} measured outcomes in a cell give no figure. Outcomes of one token depend on each other: weigh tok, not n.", "Profit factors assume the price at the signal and at the horizon; nothing was traded."]
+    head = [HEADER.format(version=version, at=at, total=total, least=least)]
     if lost:
-        head += ["", f"!! {lost} of {total} samples ({100 * lost / total:.1f}%) lie in windows that were never ingested; don't calibrate on them."]
+        head.append(WARNING.format(lost=lost, total=total, share=fixed(100 * lost / total, 1)))
     parts = [
         ("Outcomes by score band", table(["band", *CELLS], bands)),
         ("Feature contribution (association, not causation)", table(FEATURES, [[r.feature, r.horizon, f"{r.measured}/{r.total}", rho(r)] for r in traits])),
         ("Outcomes by evidence coverage", table(["band", *CELLS], buckets) if buckets else "No outcomes to group."),
-        ("Unmeasurable outcomes", table(EXCLUDED, [[r.reason, str(r.n)] for r in reasons]) if reasons else "None: every outcome was measurable."),
+        ("Unmeasurable outcomes", table(EXCLUDED, [[r.reason, str(r.n)] for r in reasons]) if reasons else ALL_MEASURED),
     ]
     body = [f"\n── {title} ──\n{text}" for title, text in parts]
-    return "\n".join([*head, *body, "", "Findings only; a changed threshold is a person's decision and a new version."])
+    return "\n".join([*head, *body, "", FOOTER])
