@@ -50,18 +50,25 @@ def wallet_score(parts: list[Column]) -> Column:
     return total
 
 
-def stability(snapshots: DataFrame) -> DataFrame:
+def stability(snapshots: DataFrame, span: int = 30 * 86_400_000_000) -> DataFrame:
     """By pool: 1 less the mean relative step between positive liquidity readings, in 0..1.
 
-    Null under three such readings; 0 if the last reading of all is missing or not positive.
+    Null under three such readings; 0 if the last reading of all is missing or not positive. Steps are taken within
+    spans of time, so that a pool's history is never ordered in one task, and from each span's last reading to the next one's first.
     """
-    order = Window.partitionBy("pool_id").orderBy("t", "snapshot_id")
-    positive = snapshots.filter(F.col("liquidity") > 0).withColumn("before", F.lag("liquidity").over(order))
-    steps = positive.groupBy("pool_id").agg(F.count("*").alias("readings"), F.avg(F.abs(F.col("liquidity") - F.col("before")) / F.col("before")).alias("step"))
-    last = snapshots.groupBy("pool_id").agg(F.max_by("liquidity", F.struct("t", "snapshot_id")).alias("last"))
-    calm = F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), F.col("step")))
-    value = F.when(F.coalesce("readings", F.lit(0)) < 3, F.lit(None)).when(F.col("last").isNull() | (F.col("last") <= 0), 0.0).otherwise(calm)
-    return last.join(steps, "pool_id", "left").select("pool_id", value.alias("stability"))
+    rows = snapshots.withColumns({"_span": F.floor(F.col("t") / span), "_x": F.when(F.col("liquidity") > 0, F.col("liquidity"))})
+    place = F.struct("t", "snapshot_id")
+    before = F.last("_x", ignorenulls=True).over(Window.partitionBy("pool_id", "_span").orderBy("t", "snapshot_id").rowsBetween(Window.unboundedPreceding, -1))
+    step = lambda x, y: F.abs(x - y) / y
+    known = F.when(F.col("_x").isNotNull(), place)
+    spans = rows.withColumn("_step", step(F.col("_x"), before)).groupBy("pool_id", "_span").agg(
+        F.count("_x").alias("n"), F.sum("_step").alias("steps"), F.min_by("_x", known).alias("first"), F.max_by("_x", known).alias("end"), F.max_by("liquidity", place).alias("last")
+    )
+    ends = F.last("end", ignorenulls=True).over(Window.partitionBy("pool_id").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))
+    whole = spans.withColumn("_cross", step(F.col("first"), ends)).groupBy("pool_id").agg(F.sum("n").alias("readings"), (F.coalesce(F.sum("steps"), F.lit(0.0)) + F.coalesce(F.sum("_cross"), F.lit(0.0))).alias("total"), F.max_by("last", "_span").alias("last"))
+    calm = F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), F.try_divide(F.col("total"), F.col("readings") - 1)))
+    value = F.when(F.col("readings") < 3, F.lit(None)).when(F.col("last").isNull() | (F.col("last") <= 0), 0.0).otherwise(calm)
+    return whole.select("pool_id", value.alias("stability"))
 
 
 def liquidity_growth(snapshots: DataFrame, back: int, tolerance: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -101,10 +102,17 @@ def within_tolerance(a: Column, b: Column, tolerance: float) -> Column:
 
 
 def batches(fundings: DataFrame, proximity: int, tolerance: float) -> DataFrame:
-    """(anchor, wallet): each wallet with those funded up to ``proximity`` later (ties in wallet order) with like amounts."""
-    a = fundings.select(F.col("wallet").alias("anchor"), F.col("t").alias("start"), (F.col("t") + proximity).alias("end"), F.col("value").alias("anchor_value"), F.lit(0).alias("_k"))
-    b = fundings.select("wallet", "t", "value", F.lit(0).alias("_k"))
-    met = range_join(a, b, ["_k"], max(proximity, 1))
+    """(anchor, wallet): each wallet with those funded up to ``proximity`` later (ties in wallet order) with like amounts.
+
+    Wallets meet by time and by classes of amounts, as wide as the tolerance on a logarithmic scale, so that like amounts are in
+    the same class or in neighbours.
+    """
+    width = -math.log(1 - tolerance - 2e-6)
+    kind = F.when(F.col("value") > 0, F.floor(F.log(F.col("value").cast("double")) / width)).otherwise(-1_000_000)
+    near = F.explode(F.when(F.col("value") > 0, F.array(kind - 1, kind, kind + 1)).otherwise(F.array(kind)))
+    a = fundings.select(F.col("wallet").alias("anchor"), F.col("t").alias("start"), (F.col("t") + proximity).alias("end"), F.col("value").alias("anchor_value"), near.alias("_kind"))
+    b = fundings.select("wallet", "t", "value", kind.alias("_kind"))
+    met = range_join(a, b, ["_kind"], max(proximity, 1))
     later = (F.col("t") > F.col("start")) | (F.col("wallet") > F.col("anchor"))
     return met.filter(later & within_tolerance(F.col("anchor_value"), F.col("value"), tolerance)).select("anchor", "wallet")
 

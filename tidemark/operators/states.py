@@ -1,6 +1,6 @@
 """Sequential state machines by key: signal states with alert de-duplication, and circuit breakers.
 
-Each is one pure fold, used on ordered groups in batch (``applyInPandas``) and with kept state in a stream
+Each is one pure fold, used on ordered rows in batch (``folds.folded``) and with kept state in a stream
 (``tidemark.streaming.machines``). Thresholds and reasons are fixed values.
 """
 
@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, fields
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from .folds import folded
+
 STRENGTH = ["NEW", "WATCHING", "INTERESTING", "STRONG_SIGNAL"]
 LEVELS = {"INTERESTING": ("INTERESTING", 1), "STRONG_SIGNAL": ("STRONG", 2)}
 
@@ -83,24 +84,17 @@ def step(kept: Signal, row: dict, policy: Policy) -> tuple[Signal, dict]:
     return after, {"state": state, "changed": state != before, "reason": reason, "level": name, "sent": sent, "alert": alert}
 
 
-SIGNAL_OUT = "token_id long, seq long, state string, changed boolean, reason string, level string, sent boolean, alert string"
+SIGNAL_TOLD = "state string, changed boolean, reason string, level string, sent boolean, alert string"
+SIGNAL_OUT = f"token_id long, seq long, {SIGNAL_TOLD}"
 
 
 def signal_states(evaluations: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """Folds the evaluations of each token in order of seq.
 
-    evaluations: token_id, seq, minute, alpha, sufficient, risk, age, idle, liquidity, peak. A token's
-    evaluations are one group; its size is bounded by a token's life (six hours of snapshots).
+    evaluations: token_id, seq, minute, alpha, sufficient, risk, age, idle, liquidity, peak.
     """
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        kept, out = Signal(), []
-        for row in frame.sort_values("seq").to_dict("records"):
-            kept, told = step(kept, row, policy)
-            out.append({"token_id": row["token_id"], "seq": row["seq"], **told})
-        return pd.DataFrame(out)
-
-    return evaluations.groupBy("token_id").applyInPandas(fold, SIGNAL_OUT)
+    columns = ["minute", "alpha", "sufficient", "risk", "age", "idle", "liquidity", "peak"]
+    return folded(evaluations, "token_id", "seq", columns, Signal, lambda kept, row: step(kept, row, policy), SIGNAL_TOLD)
 
 
 @dataclass
@@ -131,20 +125,13 @@ def attempt(kept: Circuit, minute: float, ok: bool, everywhere: bool, threshold:
     return after, {"allowed": True, "probe": probe, "state": after.state, "failures": after.failures, "edge": edge, "opened": after.opened if after.opened >= 0 else None}
 
 
-CIRCUIT_OUT = "notifier long, seq long, allowed boolean, probe boolean, state string, failures long, edge string, opened double"
+CIRCUIT_TOLD = "allowed boolean, probe boolean, state string, failures long, edge string, opened double"
+CIRCUIT_OUT = f"notifier long, seq long, {CIRCUIT_TOLD}"
 
 
 def circuit_breaker(attempts: DataFrame) -> DataFrame:
     """Folds the attempts (notifier, seq, minute, ok, everywhere) of each notifier in order."""
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        kept, out = Circuit(), []
-        for row in frame.sort_values("seq").to_dict("records"):
-            kept, told = attempt(kept, row["minute"], row["ok"], row["everywhere"])
-            out.append({"notifier": row["notifier"], "seq": row["seq"], **told})
-        return pd.DataFrame(out)
-
-    return attempts.groupBy("notifier").applyInPandas(fold, CIRCUIT_OUT)
+    return folded(attempts, "notifier", "seq", ["minute", "ok", "everywhere"], Circuit, lambda kept, row: attempt(kept, row["minute"], row["ok"], row["everywhere"]), CIRCUIT_TOLD)
 
 
 def as_tuple(kept) -> tuple:

@@ -301,7 +301,20 @@ def alert_payload(v):
     return v.signals.filter("alpha >= 60").join(tokens, "token_id").join(snaps, "token_id", "left").join(risks, "token_id", "left").select("signal_id", "name", "liquidity", "status")
 
 
-@query()
+def _sql_money(x: str) -> str:
+    scale = f"CASE WHEN {x} >= 1e6 THEN 1e6 WHEN {x} >= 1e3 THEN 1e3 ELSE 1e0 END"
+    k = f"CAST(floor({x} / {scale} * 10 + 0.5e0) AS BIGINT)"
+    return f"CASE WHEN {x} IS NULL THEN 'not measured' ELSE concat('$', CASE WHEN {k} % 10 = 0 THEN CAST({k} // 10 AS VARCHAR) ELSE format('{{:.1f}}', {k} / 10.0e0) END, CASE WHEN {x} >= 1e6 THEN 'M' WHEN {x} >= 1e3 THEN 'K' ELSE '' END) END"
+
+
+_PLACE = "concat('0x', lpad(lower(to_hex(signal_id)), 40, '0'))"
+
+
+@query(f""", pay AS (SELECT * FROM ({ORACLE_SQL["alert_payload"]}))
+    SELECT signal_id, array_to_string(list_concat(['🚨 STRONG SIGNAL (score moved)', concat('TOKEN: $', name), concat('CA: <code>', {_PLACE}, '</code>'), 'Age: 1h 15m', concat('MC: ', {_sql_money("(liquidity * 10)")}), concat('Liquidity: ', {_sql_money("liquidity")}), 'Score: 80/100', '', 'Why:',
+        '• Liquidity: 80/100', '• Smart Money: not measured', '• Evidence coverage: 75%', '', 'Risk:'],
+        CASE WHEN status = 'F' AND liquidity IS NULL THEN ['🛑 sells &lt;fail&gt;', 'ℹ no liquidity'] WHEN status = 'F' THEN ['🛑 sells &lt;fail&gt;'] WHEN liquidity IS NULL THEN ['ℹ no liquidity'] WHEN status IS NULL THEN ['• not yet evaluated'] ELSE [concat('• ', status, ', no warnings')] END,
+        ['', concat('<a href="https://dexscreener.com/base/', {_PLACE}, '">DexScreener</a> | <a href="https://www.geckoterminal.com/base/pools/', {_PLACE}, '">GeckoTerminal</a>')]), chr(10)) AS text FROM pay""")
 def render_alert(v):
     rows = alert_payload(v)
     note = lambda severity, message: F.struct(F.lit(severity).alias("severity"), F.lit(message).alias("message"))
@@ -321,17 +334,39 @@ def evaluations(v):
     )
 
 
-@query()
+#: The fold, a step a recursion: rn is a token's n-th evaluation; at_* is what the last alert left.
+_FOLDED = """, ev AS (SELECT user_id AS token_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, (epoch_us(ts) - 1704067200000000) / 6e7 AS minute, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS alpha, event_id % 3 <> 0 AS sufficient,
+        event_id % 101 = 0 AS failed, event_id % 400 AS age, CASE WHEN event_id % 5 <> 0 THEN event_id % 31 END AS idle, CASE WHEN event_id % 7 <> 0 THEN value END AS liquidity FROM events),
+    fo(token_id, seq, rn, state, changed, reason, level, sent, alert, at_level, at_score, at_minute) AS (
+        SELECT DISTINCT user_id, CAST(NULL AS BIGINT), CAST(0 AS BIGINT), 'NEW', false, '', 'NONE', false, '', 0, 0e0, 0e0 FROM events
+        UNION ALL SELECT token_id, seq, rn, state, state <> before, reason, level, alert NOT IN ('no_alert_level', 'suppressed_duplicate'), alert, CASE WHEN alert NOT IN ('no_alert_level', 'suppressed_duplicate') THEN power ELSE at_level END,
+               CASE WHEN alert NOT IN ('no_alert_level', 'suppressed_duplicate') THEN alpha ELSE at_score END, CASE WHEN alert NOT IN ('no_alert_level', 'suppressed_duplicate') THEN minute ELSE at_minute END
+        FROM (SELECT *, CASE WHEN power = 0 THEN 'no_alert_level' WHEN at_level = 0 THEN 'first_alert' WHEN power > at_level THEN 'level_upgraded' WHEN abs(alpha - at_score) >= 10 THEN 'score_moved' WHEN minute - at_minute >= 60 THEN 'cooldown_elapsed' ELSE 'suppressed_duplicate' END AS alert
+        FROM (SELECT *, CASE state WHEN 'INTERESTING' THEN 'INTERESTING' WHEN 'STRONG_SIGNAL' THEN 'STRONG' ELSE 'NONE' END AS level, CASE state WHEN 'INTERESTING' THEN 1 WHEN 'STRONG_SIGNAL' THEN 2 ELSE 0 END AS power
+        FROM (SELECT *, CASE WHEN why IN ('risk_fail', 'age_limit', 'inactivity', 'liquidity_collapse') THEN 'EXPIRED' WHEN why = 'risk_cleared' THEN 'WATCHING' WHEN why = 'up' THEN goal ELSE before END AS state, CASE WHEN why = 'up' THEN concat('alpha_', lower(goal)) ELSE why END AS reason
+        FROM (SELECT *, CASE WHEN before = 'EXPIRED' THEN 'already_expired' WHEN failed THEN 'risk_fail' WHEN age > 360 THEN 'age_limit' WHEN idle > 30 THEN 'inactivity' WHEN liquidity < 20 THEN 'liquidity_collapse' WHEN before = 'NEW' THEN 'risk_cleared'
+            WHEN list_position(['WATCHING', 'INTERESTING', 'STRONG_SIGNAL'], goal) > list_position(['WATCHING', 'INTERESTING', 'STRONG_SIGNAL'], before) THEN 'up' ELSE 'no_change' END AS why
+        FROM (SELECT ev.*, fo.state AS before, at_level, at_score, at_minute, CASE WHEN alpha >= 75 AND sufficient THEN 'STRONG_SIGNAL' WHEN alpha >= 60 THEN 'INTERESTING' ELSE 'WATCHING' END AS goal FROM fo JOIN ev ON ev.token_id = fo.token_id AND ev.rn = fo.rn + 1)))))) """
+
+
+@query(_FOLDED + " SELECT token_id, seq, state, changed, reason FROM fo WHERE rn > 0")
 def signal_states(v):
     return states.signal_states(evaluations(v)).select("token_id", "seq", "state", "changed", "reason")
 
 
-@query()
+@query(_FOLDED + " SELECT token_id, seq, level, sent, alert FROM fo WHERE rn > 0")
 def alert_dedupe(v):
     return states.signal_states(evaluations(v)).select("token_id", "seq", "level", "sent", "alert")
 
 
-@query()
+@query(""", att AS (SELECT user_id % 16 AS notifier, event_id AS seq, row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS rn, epoch_us(ts) / 6e7 AS minute, event_type <> 'error' AS ok, event_id % 2 = 0 AS everywhere FROM events),
+    ci(notifier, seq, rn, allowed, probe, state, failures, edge, reopen, opened) AS (
+        SELECT DISTINCT user_id % 16, CAST(NULL AS BIGINT), CAST(0 AS BIGINT), false, false, 'CLOSED', CAST(0 AS BIGINT), '', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM events
+        UNION ALL SELECT notifier, seq, rn, allowed, probe, CASE WHEN NOT allowed THEN was WHEN ok THEN 'CLOSED' WHEN NOT everywhere THEN was WHEN opens THEN 'OPEN' ELSE 'CLOSED' END, CASE WHEN NOT allowed THEN n WHEN ok THEN 0 WHEN NOT everywhere THEN n ELSE n + 1 END,
+               CASE WHEN NOT allowed THEN 'held' WHEN ok THEN CASE WHEN was <> 'CLOSED' THEN 'closed' ELSE 'none' END WHEN everywhere AND opens AND was = 'CLOSED' THEN 'opened' ELSE 'none' END,
+               CASE WHEN NOT allowed THEN reopen WHEN ok THEN NULL WHEN NOT everywhere THEN reopen WHEN opens THEN minute + 5 END, CASE WHEN NOT allowed THEN opened WHEN ok THEN NULL WHEN NOT everywhere THEN opened WHEN opens THEN CASE WHEN was <> 'CLOSED' THEN opened ELSE minute END END
+        FROM (SELECT att.*, ci.state AS was, ci.failures AS n, ci.reopen, ci.opened, ci.state <> 'CLOSED' AND minute >= ci.reopen AS probe, ci.state = 'CLOSED' OR minute >= ci.reopen AS allowed, ci.state <> 'CLOSED' OR ci.failures + 1 >= 3 AS opens FROM ci JOIN att ON att.notifier = ci.notifier AND att.rn = ci.rn + 1))
+    SELECT notifier, seq, allowed, coalesce(probe, false) AS probe, state, failures, edge, opened FROM ci WHERE rn > 0""")
 def circuit_breaker(v):
     attempts = v.table("events").select((F.col("user_id") % 16).alias("notifier"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / MINUTE).alias("minute"), (F.col("event_type") != "error").alias("ok"), (F.col("event_id") % 2 == 0).alias("everywhere"))
     return states.circuit_breaker(attempts)
