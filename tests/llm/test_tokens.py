@@ -12,7 +12,7 @@ BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def test_pieces_equal_the_library(spark, monkeypatch):
-    monkeypatch.setattr(pieces, "COMMON", 50)
+    monkeypatch.setattr(pieces, "BLOCK", 3000)
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     rows = documents() + [(None, "no id"), (900, "<s> </s> <0x41> ▁marker ▁▁"), (901, "   "), (902, "ends  ")]
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.ids, r.decoded) for r in pieces.encode(frame(spark, rows), PIECES).collect())

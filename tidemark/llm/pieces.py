@@ -2,12 +2,12 @@
 
 When no piece of a model holds a whitespace marker after another character, no merge crosses from a word
 into the next marker: the pieces of a text are those of its marked words (spaces, then other
-characters), one after the other. So the distinct marked words of all texts are counted, dealt out by hash, and
-each is segmented once by the library; ids and decoded text of every word are joined back by position.
+characters), one after the other. So each distinct marked word is segmented once, and its ids are joined back by position.
 
-The join has two ways. The most frequent words (``COMMON`` of at most ``LONG`` characters, which bounds what is
-sent) go to every task. A text's other words, each once, meet the table by word and come back to their text as one
-list, bounded by the text. A common word is never shuffled, so no word is a hot spot.
+The table belongs to a block of texts (``BLOCK`` bytes, a longer text stands alone), which bounds memory and needs no
+shuffle: words are cut out and numbered without Python loops, the library segments the distinct ones, and ids and decoded
+text go back to their positions by number. A table for the corpus was built and measured: the words that
+are rare, each sent to the table and back to its text, take more disk than the budget (see the README).
 
 Models whose pieces cross markers, or with pieces defined by users, are refused by ``splittable`` and go
 through the library text by text. Null texts are empty; empty texts have no ids but the end. Repeated rows and null ids
@@ -17,19 +17,19 @@ are carried through; very long words are segmented like others. An empty table g
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import row_blocks, text_buffer
 
 MARK = "▁"
-COMMON = 1 << 16  # frequent words that every task holds
-LONG = 64  # characters of such a word at most
-WORDS = "array<struct<word:string,ids:string,n:int,decoded:string>>"
+BLOCK = 16 << 20  # bytes of text that share a table
+NONE, SPACE = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
 CODED = "doc_id long, n_tokens long, ids string, decoded string"
 
 
@@ -40,33 +40,48 @@ def splittable(model) -> bool:
     return whole and all(MARK not in model.id_to_piece(i).lstrip(MARK) for i in range(len(model)))
 
 
-class Segmenter:
-    """Ids (in decimal), their number and the decoded text of a marked word."""
+def chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The marked words of all texts in order (spaces, then other characters), and the first word of each text."""
+    marked = pc.binary_join_element_wise(NONE, pc.replace_substring(pc.fill_null(texts, "").cast(pa.large_string()), MARK, " "), SPACE)
+    data, offsets = text_buffer(marked)
+    blank = data == 32
+    starts = blank.copy()
+    starts[1:] &= ~blank[:-1]
+    starts[offsets[:-1]] = True
+    starts = np.append(np.flatnonzero(starts), len(data))
+    words = pa.Array.from_buffers(pa.large_string(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    return words, np.searchsorted(starts, offsets)
+
+
+class ChunkTable:
+    """Marked words to ids (in decimal), their number, and decoded text; each distinct word is segmented once."""
 
     def __init__(self, model):
         self.model = model
         self.text = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else p.replace(MARK, " ").encode() for i, p in enumerate(map(model.id_to_piece, range(len(model))))]
-        self.alone = model.piece_to_id(MARK)
-
-    def segment(self, word: str) -> tuple[str, int, str]:
-        ids = self.model.encode(word[1:].replace(" ", MARK)) if len(word) > 1 else [self.alone]  # the library puts the first marker
-        return " ".join(map(str, ids)), len(ids), b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")
-
-
-def chunks(text: Column) -> Column:
-    """The marked words of a text in order: spaces, then other characters."""
-    marked = F.concat(F.lit(" "), F.translate(text, MARK, " "))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(marked, "(?<=[^ ])(?= )"))
-
-
-SPLIT = re.compile(" +[^ ]*").findall
-
-
-def joined(text: str, table: dict, own: dict) -> tuple[list[str], int, str]:
-    """The ids of each word in decimal, their number, and the decoded text, by position."""
-    found = [table.get(word) or own[word] for word in SPLIT(" " + text.replace(MARK, " "))] if text else []
-    decoded = "".join([x[2] for x in found])
-    return [x[0] for x in found], sum([x[1] for x in found]), decoded[1:] if decoded[:1] == " " else decoded
+        self.alone = [model.piece_to_id(MARK)]
+
+    def segment(self, words: list[str]) -> tuple[pa.Array, np.ndarray, pa.Array]:
+        # the library puts the first marker
+        found = self.model.encode([w[1:].replace(" ", MARK) for w in words], num_threads=1) if words else []
+        found = [ids if len(w) > 1 else self.alone for w, ids in zip(words, found)]
+        piece = self.text.__getitem__
+        coded, decoded = [" ".join(map(str, ids)) for ids in found], [b"".join(map(piece, ids)).decode("utf-8", "replace") for ids in found]
+        return pa.array(coded, pa.large_string()), np.array([len(ids) for ids in found], np.int64), pa.array(decoded, pa.large_string())
+
+    def encode(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
+        """Of each text: the ids in decimal, their number, and the decoded text."""
+        words, first = chunks(texts)
+        table = words.dictionary_encode()
+        coded, counts, decoded = self.segment(table.dictionary.to_pylist())
+        place = table.indices
+        total = np.concatenate([[0], np.cumsum(counts[place.to_numpy()])])
+        rows = lambda column, mark: pc.binary_join(pa.LargeListArray.from_arrays(pa.array(first, pa.int64()), column.take(place)), mark)
+        whole = rows(decoded, NONE)
+        whole = pc.if_else(pc.starts_with(whole, " "), pc.utf8_slice_codeunits(whole, 1), whole)
+        # an empty text is one marker, which the library leaves out
+        empty = pc.equal(pc.binary_length(pc.fill_null(texts, "")), 0)
+        return pc.if_else(empty, NONE, rows(coded, SPACE)), np.where(empty.to_numpy(zero_copy_only=False), 0, total[first[1:]] - total[first[:-1]]), pc.if_else(empty, NONE, whole)
 
 
 class WholeTexts:
@@ -75,95 +90,42 @@ class WholeTexts:
     def __init__(self, model):
         self.model = model
 
-    def encode(self, text: str) -> tuple[list[str], int, str]:
-        ids = self.model.encode(text)
-        return [str(i) for i in ids], len(ids), self.model.decode(ids)
+    def encode(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
+        found = [self.model.encode(t or "") for t in texts.to_pylist()]
+        return pa.array([" ".join(map(str, ids)) for ids in found], pa.large_string()), np.array([len(ids) for ids in found], np.int64), pa.array([self.model.decode(ids) for ids in found], pa.large_string())
 
 
 def _open(path: str):
     import sentencepiece
 
-    return sentencepiece.SentencePieceProcessor(model_file=path)
-
-
-def _segmented(path: str):
-    def segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment = Segmenter(_open(path)).segment
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                found = [segment(word.as_py()) for word in part.column(0)]
-                columns = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["word", "uses", "ids", "n", "decoded"])
-
-    return segmented
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return model, ChunkTable(model) if splittable(model) else WholeTexts(model)
 
 
-def chunk_table(texts: DataFrame, path: str) -> DataFrame:
-    """(word, uses, ids, n, decoded) of every distinct marked word of ``texts`` (text), segmented once."""
-    words = texts.select(F.explode(chunks(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("uses"))
-    return stored(words.mapInArrow(_segmented(path), "word string, uses long, ids string, n int, decoded string"))
-
-
-def _rows(part: pa.RecordBatch, found: list, end: str, digest: bool) -> pa.RecordBatch:
-    counts, ids, texts = [], [], []
-    for words, n, decoded in found:
-        coded = " ".join([*words, end])
-        if digest:
-            coded, decoded = hashlib.sha256(coded.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
-        counts.append(n + 1)
-        ids.append(coded)
-        texts.append(decoded)
-    return pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
-
-
-def _by_text(path: str, digest: bool):
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _open(path)
-        texts, end = WholeTexts(model), str(model.eos_id())
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                yield _rows(part, [texts.encode(t.as_py() or "") for t in part.column(1)], end, digest)
-
-    return encode
-
-
-def _by_position(shared, end: str, digest: bool):
+def _encode(path: str, digest: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        model, table = _open(path)
+        end = pa.scalar(str(model.eos_id()), pa.large_string())
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                own = ({x["word"]: (x["ids"], x["n"], x["decoded"]) for x in row or ()} for row in (r.as_py() for r in part.column(2)))
-                yield _rows(part, [joined(t.as_py(), table, o) for t, o in zip(part.column(1), own)], end, digest)
+            _, offsets = text_buffer(batch.column(1))
+            for a, b in row_blocks(offsets, BLOCK):
+                coded, counts, decoded = table.encode(batch.column(1).slice(a, b - a))
+                closed = pc.if_else(pc.equal(pc.binary_length(coded), 0), end, pc.binary_join_element_wise(coded, end, SPACE))
+                for at in range(0, b - a, 256):
+                    columns = [x.slice(at, 256) for x in (closed, decoded)]
+                    if digest:
+                        columns = [pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in x]) for x in columns]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a + at, len(columns[0])), pa.array(counts[at : at + 256] + 1), *(x.cast(pa.string()) for x in columns)], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return encode
 
 
-def _coded(docs: DataFrame, path: str, digest: bool) -> DataFrame:
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    model = _open(path)
-    if not splittable(model):
-        return docs.mapInArrow(_by_text(path, digest), CODED)
-    table = chunk_table(docs, path)
-    common = stored(table.filter(F.length("word") <= LONG).orderBy(F.desc("uses"), "word").limit(COMMON))
-    # at most COMMON words of LONG characters
-    shared = docs.sparkSession.sparkContext.broadcast({r.word: (r.ids, r.n, r.decoded) for r in common.collect()})
-    key = ["_id", "_one", "_two"]
-    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(-1)), "_one": F.xxhash64("text"), "_two": F.xxhash64(F.lit(1), "text")})
-    rest = keyed.select(*key, F.explode(F.array_distinct(chunks(F.col("text")))).alias("word")).join(F.broadcast(common.select("word")), "word", "left_anti").distinct()
-    # the words of one text
-    lists = rest.join(table, "word").groupBy(*key).agg(F.collect_list(F.struct("word", "ids", "n", "decoded")).alias("words"))
-    whole = keyed.join(lists, key, "left").select("doc_id", "text", F.col("words").cast(WORDS))
-    return whole.mapInArrow(_by_position(shared, str(model.eos_id()), digest), CODED)
-
-
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids (array of int, the end id last) and decoded (the text that the ids give)."""
-    return _coded(docs, model_path, False).withColumn("ids", F.split("ids", " ").cast("array<int>"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_encode(model_path, False), CODED)
+    return rows.withColumn("ids", F.split("ids", " ").cast("array<int>"))
 
 
 def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
     """As ``encode``, with SHA-256 digests (lowercase hex) of the decimal ids joined by a space and of the decoded text in UTF-8 in place of both, taken where they are made."""
-    return _coded(docs, model_path, True).withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_encode(model_path, True), CODED).withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
