@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import decode, exact, text
 from tidemark.operators import evaluation as ev
-from tidemark.operators import holders, outcomes, risk, upserts
+from tidemark.operators import holders, joins, outcomes, risk, upserts
 
 WORD = lambda n: f"{n % 2**256:064x}"
 
@@ -108,6 +108,19 @@ def test_ranges_of_values_give_the_same_ranks_and_quantiles(spark, monkeypatch):
     assert dict((g, m) for g, _, m, _ in few[2])["a"] == pytest.approx(middle)
 
 
+def test_last_row_before(spark):
+    rng = random.Random(9)
+    points = [(rng.choice("ab"), rng.randrange(300), i, rng.choice([None, i * 1.5])) for i in range(40)]
+    asked = [(i, rng.choice("abc"), rng.randrange(-20, 320)) for i in range(60)]
+    want = {}
+    for i, k, at in asked:
+        before = [(t, n, x) for g, t, n, x in points if g == k and t <= at]
+        want[i] = max(before, key=lambda p: p[:2])[1:] if before else (None, None)
+    for span in (7, 100, 10_000):
+        got = joins.latest_before(spark.createDataFrame(asked, "row int, k string, at long"), spark.createDataFrame(points, "k string, t long, n int, x double"), ["k"], ["n", "x"], ["n"], span)
+        assert {r.row: (r.n, r.x) for r in got.collect()} == want
+
+
 def test_rollbacks_equal_brute_force(spark):
     rng = random.Random(8)
     rows = [(b, rng.randrange(1000)) for b in range(0, 400, 3)]

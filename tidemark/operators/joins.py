@@ -66,3 +66,22 @@ def overlapping(windows: DataFrame, spans: DataFrame, width: int, also: Column |
     met = met if also is None else met & also
     left = windows.withColumn("_bucket", touched("start", "end")).alias("w")
     return left.join(cut.alias("s"), (F.col("w._bucket") == F.col("s._bucket")) & met, "left_semi").drop("_bucket")
+
+
+def latest_before(left: DataFrame, right: DataFrame, on: list[str], columns: list[str], order: list[str], span: int) -> DataFrame:
+    """``left`` (at) with ``columns`` of the right row (t) that is last at or before it, of equal times the greatest by ``order``; null without one.
+
+    Both sides go to spans of time by key. A row takes the last one of its span, or else what the spans before it
+    left, one row each, so that a key's history is never ordered in one task.
+    """
+    value = F.struct("t", *dict.fromkeys([*order, *columns]))
+    points = right.select(*on, F.col("t").alias("_at"), F.lit(0).alias("_side"), value.alias("_point"))
+    rows = left.withColumns({"_at": F.col("at"), "_side": F.lit(1), "_row": F.struct(*left.columns)}).select(*on, "_at", "_side", "_row")
+    both = rows.unionByName(points, allowMissingColumns=True).withColumn("_span", F.floor(F.col("_at") / span))
+    key = [*on, "_span"]
+    so_far = Window.partitionBy(*key).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    local = both.withColumn("_own", F.max("_point").over(so_far)).filter("_side = 1")
+    before = Window.partitionBy(*on).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy(*key).agg(F.max("_point").alias("_last")).withColumn("_carried", F.max("_last").over(before)).select(*key, "_carried")
+    found = local.join(carried, key).withColumn("_found", F.coalesce("_own", "_carried"))
+    return found.select("_row.*", *(F.col(f"_found.{c}").alias(c) for c in columns))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import features, scoring, text
 from tidemark.operators import delivery, joins, risk, states
-from tidemark.sources.views import MINUTE
+from tidemark.sources.views import DAY, MINUTE
 
 from . import measure, wallets
 from .measure import _MOMENTUM, momentum
@@ -72,7 +72,7 @@ def _nested(name: str) -> str:
 _FEATURE_SET = f"""SELECT s.signal_id, la.liquidity AS liquidity_usd, lg.liquidity_growth, st.stability AS liquidity_stability, mc.mc_liquidity, mo.acceleration, mo.buy_sell_ratio, mo.velocity, mo.buyer_growth, s.holder_count,
     round(CASE WHEN minutes > 0 THEN (s.holder_count - before) / minutes END, 6) AS holder_growth, tc.concentration AS top10_concentration, hr.retention AS holder_retention, cc.cluster_concentration, si.smart_count, sm.smart_recency, sm.smart_quality
     FROM (SELECT *, lag(holder_count) OVER w AS before, (t - lag(t) OVER w) / 6e7 AS minutes FROM (SELECT signal_id, pool_id, t, signals.token_id % 25 AS token_id, hc.holders AS holder_count FROM signals JOIN {_nested("holder_count")} hc ON hc.token_id = signals.token_id % 25) WINDOW w AS (PARTITION BY pool_id ORDER BY t, signal_id)) s
-    JOIN {_nested("momentum_features")} mo USING (signal_id) LEFT JOIN {_nested("latest_snapshot")} la ON la.pool_id = s.pool_id LEFT JOIN {_nested("liquidity_growth")} lg ON lg.snapshot_id = la.snapshot_id LEFT JOIN {_nested("mc_liquidity")} mc ON mc.snapshot_id = la.snapshot_id
+    JOIN {_nested("momentum_features")} mo USING (signal_id) LEFT JOIN (SELECT s.signal_id, x.snapshot_id, x.liquidity FROM signals s JOIN snapshots x ON x.pool_id = s.pool_id AND x.t <= s.t QUALIFY row_number() OVER (PARTITION BY s.signal_id ORDER BY x.t DESC, x.snapshot_id DESC) = 1) la ON la.signal_id = s.signal_id LEFT JOIN {_nested("liquidity_growth")} lg ON lg.snapshot_id = la.snapshot_id LEFT JOIN {_nested("mc_liquidity")} mc ON mc.snapshot_id = la.snapshot_id
     LEFT JOIN {_nested("liquidity_stability")} st ON st.pool_id = s.pool_id LEFT JOIN {_nested("top10_concentration")} tc ON tc.token_id = s.token_id LEFT JOIN {_nested("holder_retention")} hr ON hr.token_id = s.token_id LEFT JOIN {_nested("cluster_concentration")} cc ON cc.token_id = s.token_id
     LEFT JOIN {_nested("smart_money")} sm ON sm.pool_id = s.pool_id LEFT JOIN (SELECT pool_id, count(DISTINCT coalesce(k, concat('wallet:', e.wallet))) AS smart_count FROM {_nested("smart_entries")} e LEFT JOIN (SELECT wallet, min(cluster_key) AS k FROM {_nested("clusters")} GROUP BY 1) f ON f.wallet = e.wallet GROUP BY 1) si ON si.pool_id = s.pool_id"""
 
@@ -84,10 +84,13 @@ def _features(v):
     rows = v.signals.select("signal_id", "pool_id", "t", (F.col("token_id") % 25).alias("token_id")).join(counts, "token_id")
     rate = features.holder_rate(F.col("holder_count"), F.lag("holder_count").over(order), (F.col("t") - F.lag("t").over(order)) / 6e7)
     rows = rows.withColumn("holder_growth", F.round(rate, 6)).join(momentum(v).withColumns(six("acceleration", "buy_sell_ratio", "velocity", "buyer_growth")), "signal_id")
-    last = measure.latest_snapshot(v).withColumnRenamed("liquidity", "liquidity_usd").join(measure.liquidity_growth(v), "snapshot_id", "left").join(measure.mc_liquidity(v), "snapshot_id", "left").drop("snapshot_id")
+    # the snapshot that was there when the signal came, not the last of all
+    last = joins.latest_before(rows.select("signal_id", "pool_id", F.col("t").alias("at")), v.snapshots, ["pool_id"], ["snapshot_id", "liquidity"], ["snapshot_id"], 365 * DAY)
+    last = last.select("signal_id", "snapshot_id", F.col("liquidity").alias("liquidity_usd")).join(measure.liquidity_growth(v), "snapshot_id", "left").join(measure.mc_liquidity(v), "snapshot_id", "left").drop("snapshot_id")
+    rows = rows.join(last, "signal_id", "left")
     first = wallets.clusters(v).groupBy("wallet").agg(F.min("cluster_key").alias("k"))
     alone = wallets.smart_entries(v).join(first, "wallet", "left").groupBy("pool_id").agg(F.countDistinct(F.coalesce("k", F.concat(F.lit("wallet:"), "wallet"))).alias("smart_count"))
-    by_pool = [last, measure.liquidity_stability(v).withColumnRenamed("stability", "liquidity_stability"), wallets.smart_money(v).drop("smart_count"), alone]
+    by_pool = [measure.liquidity_stability(v).withColumnRenamed("stability", "liquidity_stability"), wallets.smart_money(v).drop("smart_count"), alone]
     by_token = [wallets.top10_concentration(v).withColumnRenamed("concentration", "top10_concentration"), wallets.holder_retention(v).withColumnRenamed("retention", "holder_retention"), wallets.cluster_concentration(v)]
     for key, tables in (("pool_id", by_pool), ("token_id", by_token)):
         for table in tables:

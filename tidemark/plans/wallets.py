@@ -95,14 +95,17 @@ def top10_concentration(v):
     return h.concentration(h.eligible(v.holders, _excluded(v)), supply)
 
 
-@query(""", x AS (SELECT t, pool_id, snapshot_id, lag(liquidity) OVER (PARTITION BY pool_id ORDER BY t, snapshot_id) AS pl, lag(t) OVER (PARTITION BY pool_id ORDER BY t, snapshot_id) AS pt, liquidity FROM snapshots)
-    SELECT snapshot_id, CASE WHEN (t - pt) / 6e7 > 0 THEN (liquidity - pl) / ((t - pt) / 6e7) END AS rate FROM x""")
+@query(""", c AS (SELECT token_id, first_t // 6000000000 AS reading, count(*) AS n FROM holders WHERE balance > 0 GROUP BY 1, 2), s AS (SELECT token_id, reading, CAST(sum(n) OVER (PARTITION BY token_id ORDER BY reading) AS BIGINT) AS holders FROM c)
+    SELECT token_id, reading, holders, CASE WHEN lag(reading) OVER w IS NOT NULL THEN (holders - lag(holders) OVER w) / ((reading - lag(reading) OVER w) * 100.0e0) END AS rate FROM s WINDOW w AS (PARTITION BY token_id ORDER BY reading)""")
 def holder_growth(v):
+    """New holders a minute since the reading before, a reading every 100 minutes in which a token gained holders."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy("pool_id").orderBy("t", "snapshot_id")
-    rows = v.snapshots.withColumns({"before": F.lag("liquidity").over(order), "minutes": (F.col("t") - F.lag("t").over(order)) / 6e7})
-    return rows.select("snapshot_id", features.holder_rate(F.col("liquidity"), F.col("before"), F.col("minutes")).alias("rate"))
+    counts = v.holders.filter("balance > 0").groupBy("token_id", F.floor(F.col("first_t") / 6_000_000_000).alias("reading")).agg(F.count("*").alias("n"))
+    order = Window.partitionBy("token_id").orderBy("reading")  # readings, not holders
+    rows = counts.select("token_id", "reading", F.sum("n").over(order).alias("holders"))
+    minutes = (F.col("reading") - F.lag("reading").over(order)) * 100.0
+    return rows.select("token_id", "reading", "holders", features.holder_rate(F.col("holders"), F.lag("holders").over(order), minutes).alias("rate"))
 
 
 _BATCH = """, fd AS (SELECT * FROM fundings), near AS (SELECT a.wallet AS anchor, b.wallet FROM fd a JOIN fd b ON b.t BETWEEN a.t AND a.t + 86400000000 AND (b.t > a.t OR b.wallet > a.wallet)
