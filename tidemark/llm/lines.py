@@ -29,7 +29,7 @@ FIELD = "<*>"
 #: Tokens with these are variable fields; lines with these, or with white space that isn't one space, need work.
 VARIABLE = "[0-9@]"
 WORK = r"[0-9@]|\s\s|[^\S ]"
-SENT, COPIES = 1 << 18, 16  # most rows of forms (some 50 bytes each) that are sent to every executor; copies of a form beyond
+SENT, COPIES = 1 << 18, 16  # most rows of forms or leaves (some 50 bytes each) that are sent to every executor; copies of a form beyond
 LEAF, FORM = ["tokens", "lead"], ["tokens", "lead", "form"]
 
 
@@ -67,8 +67,9 @@ def templates(lines: DataFrame, by_doc: DataFrame, min_docs: int, similarity: fl
     """(tokens, lead, form, template) of the forms whose template may recur. by_doc: the distinct (form, document) pairs of ``lines``."""
     counts = by_doc.groupBy(*FORM).agg(F.count("*").alias("docs"))
     # a template of enough documents needs a leaf of enough lines
-    leaves = counts.groupBy(*LEAF).agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select(*LEAF)
-    forms = stored(lines.join(leaves, LEAF, "left_semi").groupBy(*FORM).agg(F.min("masked").alias("masked")).join(counts, FORM))
+    leaves = stored(counts.groupBy(*LEAF).agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select(*LEAF))
+    few = F.broadcast(leaves) if leaves.count() <= SENT else leaves
+    forms = stored(lines.join(few, LEAF, "left_semi").groupBy(*FORM).agg(F.min("masked").alias("masked")).join(counts, FORM))
     tokens = F.split("masked", " ")
     fixed = F.aggregate(F.slice(tokens, 1, LEADING), F.lit(0), lambda n, t: n + F.when(t == FIELD, 0).otherwise(1))
     spots = forms.select(*FORM, "docs", F.posexplode(tokens).alias("at", "word")).filter((F.col("at") >= LEADING) & (F.col("word") != FIELD))
