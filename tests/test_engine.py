@@ -20,7 +20,7 @@ def test_quantiles(spark, values, q, want):
 
 
 def test_distribution_and_wilson(spark):
-    row = spark.createDataFrame([(float(v),) for v in (-50, -20, -5, 2, 4000)], "x double").agg(*ev.distribution("x")).first()
+    row = ev.distribution(spark.createDataFrame([(float(v),) for v in (-50, -20, -5, 2, 4000)], "x double"), [], "x").first()
     assert (row.median, row["mean"], row.lowest, row.highest) == (-5.0, 785.4, -50.0, 4000.0)
     low, high = (one(spark, c) for c in ev.wilson(F.lit(5), F.lit(10))[1:])
     assert (round(low, 4), round(high, 4)) == (0.2366, 0.7634)
@@ -321,8 +321,8 @@ def test_repairs_at_all_horizons(spark, tmp_path):
 
     at = datetime(2024, 1, 1)
     hours = lambda h: at + timedelta(hours=h)
-    # a signal, a trade of its pool written six minutes late just before 4h, a rollback found after 24h, the tail
+    # a signal, which is a trade written six minutes later, a trade of its pool written as late just before 4h, a rollback found after 24h, the tail
     rows = [(20, 1, "signup", at), (160, 2, "view", hours(4) - timedelta(minutes=1)), (998, 3, "view", hours(23)), (3, 4, "view", hours(25))]
     data = [(i, u, k, t, 5.0, '{"k": "1"}') for i, u, k, t in rows]
     spark.createDataFrame(data, "event_id long, user_id long, event_type string, ts timestamp, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
-    assert {tuple(r) for r in QUERIES["damaged_outcomes"](spark, str(tmp_path)).collect()} == {(20, "4h", "late"), (20, "24h", "reorg")}
+    assert {tuple(r) for r in QUERIES["damaged_outcomes"](spark, str(tmp_path)).collect()} == {(20, "1m", "late"), (20, "4h", "late"), (20, "24h", "reorg")}

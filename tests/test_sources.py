@@ -103,6 +103,13 @@ def test_ledger_applies_each_transfer_once(spark, tmp_path):
     assert got == {"a": ("2", True), "b": (str(big - 3), False), "c": ("1", False)}
 
 
+def test_history_is_appended_once(spark, tmp_path):
+    write = ledger.appender(str(tmp_path / "audit"))
+    for number, n in ((0, 3), (1, 2), (1, 2)):
+        write(spark.range(n), number)
+    assert ledger.table(spark, str(tmp_path / "audit")).groupBy("batch").count().orderBy("batch").collect() == [(0, 3), (1, 2)]
+
+
 def test_tails_start_again_and_raise_alarms():
     class Query:
         def __init__(self, fails):

@@ -104,3 +104,25 @@ def token_metadata(calls: DataFrame) -> DataFrame:
         "token", *(text.sanitize(_text(F.col(c))).alias(c) for c in ("symbol", "name")), decimals.alias("decimals"),
         F.when(decimals.isNull(), text.error_class(F.col("error"))).alias("decimals_error"), F.coalesce(supply, F.lit("0")).alias("total_supply"),
     )
+
+
+def rejected(logs: DataFrame) -> DataFrame:
+    """Logs that can't be told apart from others, with what they lack: block, transaction or index."""
+    lacks = F.array_compact(F.array(*(F.when(F.col(c).isNull(), c) for c in ("block_number", "tx_hash", "log_index"))))
+    return logs.withColumn("missing", F.array_join(lacks, ",")).filter("missing <> ''")
+
+
+def round_trips(calls: DataFrame) -> DataFrame:
+    """What a simulated purchase and sale came to: can_buy, can_sell, retained (share of what was spent), reason.
+
+    calls: token, spent (text), and answers buy_status, balance_status, balance, sell_status, sell_data, error. A purchase that
+    didn't go through proves nothing about selling; one that delivered nothing, or that can't be sold, does.
+    """
+    went = lambda c: F.coalesce(F.col(c) == "0x1", F.lit(False))
+    bought, sold = went("buy_status"), went("sell_status")
+    held = F.when(went("balance_status") & (F.length("balance") > 2), exact.word_unsigned(F.substring("balance", 3, 64)))
+    rows = calls.withColumns({"_held": F.coalesce(held, F.lit("0")), "_back": F.coalesce(last_amount(F.col("sell_data")), F.lit("0"))})
+    empty = F.col("_held") == "0"
+    share = F.col("_back").cast("double") / F.nullif(F.col("spent").cast("double"), F.lit(0.0))
+    reason = F.when(~bought, F.coalesce("error", F.lit("buy reverted"))).when(empty, "buy delivered zero tokens").when(~sold, F.coalesce("error", F.lit("sell reverted")))
+    return rows.select("token", bought.alias("can_buy"), F.when(bought, ~empty & sold).alias("can_sell"), F.when(bought & empty, 0.0).when(bought & sold, share).alias("retained"), reason.alias("reason"))

@@ -117,6 +117,10 @@ def alert_level(state: Column) -> Column:
     return F.when(state == "STRONG_SIGNAL", "STRONG").when(state == "INTERESTING", "INTERESTING").otherwise("NONE")
 
 
+def is_active(state: Column) -> Column:
+    return state != "EXPIRED"
+
+
 def _named(key: Column, names: dict[str, str], other: Column) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[key], other)
 

@@ -71,7 +71,7 @@ def distribution(rows: DataFrame, by: list[str], x: str) -> DataFrame:
 
 def _beside(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     """A left join of tables with a row a group; null groups meet."""
-    met = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
+    met = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by] or [F.lit(True)]  # without groups, one row
     return left.alias("l").join(right.alias("r"), met, "left").select("l.*", *(F.col(f"r.{c}") for c in right.columns if c not in by))
 
 

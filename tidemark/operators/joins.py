@@ -74,7 +74,7 @@ def latest_before(left: DataFrame, right: DataFrame, on: list[str], columns: lis
     Both sides go to spans of time by key. A row takes the last one of its span, or else what the spans before it
     left, one row each, so that a key's history is never ordered in one task.
     """
-    value = F.struct("t", *dict.fromkeys([*order, *columns]))
+    value = F.struct(*dict.fromkeys(["t", *order, *columns]))
     points = right.select(*on, F.col("t").alias("_at"), F.lit(0).alias("_side"), value.alias("_point"))
     rows = left.withColumns({"_at": F.col("at"), "_side": F.lit(1), "_row": F.struct(*left.columns)}).select(*on, "_at", "_side", "_row")
     both = rows.unionByName(points, allowMissingColumns=True).withColumn("_span", F.floor(F.col("_at") / span))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import decode, exact, text
 from tidemark.operators import joins, upserts, windows
-from tidemark.sources.views import MINUTE
+from tidemark.sources.views import DAY, MINUTE
 from tidemark.streaming import tail
 
 from .registry import query
@@ -47,6 +47,14 @@ def quote_usd(v):
     return met.select("block_number", F.when(F.col("pool_id") % 5 == 0, 1.0).otherwise(F.col("price")).alias("quote_usd"))
 
 
+@query("""SELECT x.block_number, q.price, x.t - q.t <= 60000000 AS fresh FROM trades x LEFT JOIN (SELECT x.block_number, q.price, q.t FROM trades x JOIN quotes q ON q.token_id = x.pool_id % 5 AND q.t <= x.t QUALIFY row_number() OVER (PARTITION BY x.block_number ORDER BY q.t DESC, q.quote_id DESC) = 1) q ON q.block_number = x.block_number""")
+def quote_last_good(v):
+    """The last price known when a trade came, however old, and whether it was within its minute to live."""
+    rows = v.trades.select("block_number", (F.col("pool_id") % 5).alias("token_id"), F.col("t").alias("at"))
+    found = joins.latest_before(rows, v.quotes, ["token_id"], ["price", "t"], ["t", "quote_id"], DAY)
+    return found.select("block_number", "price", (F.col("at") - F.col("t") <= MINUTE).alias("fresh"))
+
+
 @query(""", near AS (SELECT s.signal_id, q.price, abs(q.t - s.t) AS gap, q.t AS qt FROM signals s JOIN quotes q ON q.t BETWEEN s.t - 1800000000 AND s.t + 1800000000)
     SELECT s.signal_id, b.price AS quote FROM signals s LEFT JOIN (SELECT signal_id, price FROM near QUALIFY row_number() OVER (PARTITION BY signal_id ORDER BY gap, qt, price) = 1) b ON s.signal_id = b.signal_id""")
 def asof_nearest(v):

@@ -97,3 +97,24 @@ def token_metadata(v):
         F.when(key % 5 != 0, F.concat(F.lit("0x"), _word(F.col("s_nationkey").cast("long")))).alias("decimals"), F.when(key % 7 != 0, F.concat(F.lit("0x"), _word(key))).alias("supply"), F.lit("HTTP 429").alias("error"),
     )
     return decode.token_metadata(calls)
+
+
+@query("""SELECT event_id, concat_ws(',', CASE WHEN event_id % 7 = 0 THEN 'block_number' END, CASE WHEN event_id % 11 = 0 THEN 'tx_hash' END, CASE WHEN event_id % 13 = 0 THEN 'log_index' END) AS missing FROM events WHERE event_id % 7 = 0 OR event_id % 11 = 0 OR event_id % 13 = 0""")
+def log_rejects(v):
+    """Logs without an identity."""
+    key = F.col("event_id")
+    logs = v.table("events").select("event_id", F.when(key % 7 != 0, key).alias("block_number"), F.when(key % 11 != 0, "0x1").alias("tx_hash"), F.when(key % 13 != 0, 0).alias("log_index"))
+    return decode.rejected(logs).select("event_id", "missing")
+
+
+@query("""SELECT o_orderkey AS token, k % 5 <> 0 AS can_buy, CASE WHEN k % 5 <> 0 THEN k % 7 <> 0 AND k % 3 <> 0 END AS can_sell, CASE WHEN k % 5 = 0 THEN NULL WHEN k % 7 = 0 THEN 0e0 WHEN k % 3 <> 0 THEN round((k % 1000) / 1000.0e0, 9) END AS retained,
+    CASE WHEN k % 5 = 0 THEN CASE WHEN k % 2 = 0 THEN 'execution reverted' ELSE 'buy reverted' END WHEN k % 7 = 0 THEN 'buy delivered zero tokens' WHEN k % 3 = 0 THEN CASE WHEN k % 2 = 0 THEN 'execution reverted' ELSE 'sell reverted' END END AS reason FROM (SELECT o_orderkey, o_orderkey AS k FROM orders)""")
+def round_trip(v):
+    """Simulated purchases and sales: every fifth can't buy, every seventh gets nothing, every third can't sell."""
+    key = F.col("o_orderkey")
+    hex_of = lambda *words: F.concat(F.lit("0x"), *map(_word, words))
+    calls = v.table("orders").select(
+        key.alias("token"), F.lit("1000").alias("spent"), F.when(key % 5 != 0, "0x1").otherwise("0x0").alias("buy_status"), F.lit("0x1").alias("balance_status"), F.when(key % 7 != 0, hex_of(key)).otherwise("0x").alias("balance"),
+        F.when(key % 3 != 0, "0x1").alias("sell_status"), hex_of(F.lit(32), F.lit(2), F.lit(1000), key % 1000).alias("sell_data"), F.when(key % 2 == 0, "execution reverted").alias("error"),
+    )
+    return decode.round_trips(calls).withColumn("retained", F.round("retained", 9))

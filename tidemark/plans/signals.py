@@ -289,9 +289,10 @@ def last_alert(v):
     return joins.latest_by(v.signals.filter("alpha >= 60 AND signal_id % 3 <> 0"), ["token_id"], ["signal_id"], ["alpha"]).select("token_id", "signal_id", "alpha")
 
 
-@query(f"SELECT signal_id, CASE {_STATE} WHEN 'STRONG_SIGNAL' THEN 'STRONG' WHEN 'INTERESTING' THEN 'INTERESTING' ELSE 'NONE' END AS level FROM signals")
+@query(f"SELECT signal_id, CASE state WHEN 'STRONG_SIGNAL' THEN 'STRONG' WHEN 'INTERESTING' THEN 'INTERESTING' ELSE 'NONE' END AS level, state <> 'EXPIRED' AS active FROM (SELECT signal_id, CASE WHEN signal_id % 9 = 0 THEN 'EXPIRED' ELSE {_STATE} END AS state FROM signals)")
 def alert_level(v):
-    return v.signals.select("signal_id", text.alert_level(_state()).alias("level"))
+    state = F.when(F.col("signal_id") % 9 == 0, "EXPIRED").otherwise(_state())
+    return v.signals.select("signal_id", text.alert_level(state).alias("level"), text.is_active(state).alias("active"))
 
 
 @query("""SELECT s.signal_id, n.n_name AS name, l.liquidity, r.status FROM signals s JOIN customer c ON c.c_custkey = s.token_id JOIN nation n ON n.n_nationkey = c.c_nationkey

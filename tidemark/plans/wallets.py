@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import decode, features
 from tidemark.operators import holders as h
 from tidemark.operators import joins
+from tidemark.sources.shared import stored
 from tidemark.sources.views import DAY
 
 from .registry import query, six
@@ -45,7 +46,7 @@ def _large_transfers(v):
         F.col("t").alias("block_number"), F.col("tx").cast("string").alias("tx_hash"), "log_index",
     )
     number = lambda c: F.conv(F.right(F.col(c), F.lit(15)), 16, 10).cast("long")
-    rows = decode.transfers(logs).select(number("token").alias("token_id"), number("source").alias("source"), number("target").alias("target"), "value", F.col("block_number").alias("t"), F.col("tx_hash").cast("long").alias("tx"), "log_index")
+    rows = decode.transfers(stored(logs)).select(number("token").alias("token_id"), number("source").alias("source"), number("target").alias("target"), "value", F.col("block_number").alias("t"), F.col("tx_hash").cast("long").alias("tx"), "log_index")
     return rows
 
 

@@ -57,6 +57,15 @@ def writer(path: str, tokens: DataFrame, blocks: DataFrame):
     return write
 
 
+def appender(path: str):
+    """For ``foreachBatch``: an append-only table with a folder a batch; history is never rewritten, a replayed batch takes its own place."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
 def balances(spark: SparkSession, path: str) -> DataFrame | None:
     """token_id, wallet, balance (text), partially_observed after all batches."""
     changes = table(spark, f"{path}/changes")
