@@ -68,7 +68,7 @@ def last_amount(data: Column) -> Column:
     """The last 32-byte word of returned data (hex with its prefix) as text of any size; null if there is none."""
     body = F.substring(data, 3, 2**31 - 1)
     start = F.floor(F.length(body) / 64) * 64 - 64
-    return F.when(F.length(body) >= 64, exact.word_unsigned(F.substring(body, start.cast("int") + 1, F.lit(64))))
+    return exact.word_unsigned(F.when(F.length(body) >= 64, F.substring(body, start.cast("int") + 1, F.lit(64))))
 
 
 def _text(data: Column) -> Column:
@@ -86,7 +86,7 @@ def pool_states(calls: DataFrame) -> DataFrame:
     answers lack a side has no row.
     """
     v3 = F.col("dex") == "uniswap-v3"
-    nth = lambda c, i: F.when(F.length(c) >= 66 + 64 * i, exact.word_unsigned(F.substring(c, 3 + 64 * i, 64)))
+    nth = lambda c, i: exact.word_unsigned(F.when(F.length(c) >= 66 + 64 * i, F.substring(c, 3 + 64 * i, 64)))
     rows = calls.select("pool", "dex", F.when(v3, nth("slot0", 0)).alias("sqrt_price"), *(F.when(v3, nth(f"balance{i}", 0)).otherwise(nth("reserves", i)).alias(f"reserve{i}") for i in (0, 1)))
     return rows.filter("reserve0 IS NOT NULL AND reserve1 IS NOT NULL AND (dex <> 'uniswap-v3' OR sqrt_price IS NOT NULL)")
 
@@ -99,7 +99,7 @@ def token_metadata(calls: DataFrame) -> DataFrame:
     from . import text
 
     decimals = F.when(F.length("decimals") >= 66, F.conv(F.substring("decimals", 59, 8), 16, 10).cast("int"))
-    supply = F.when(F.length("supply") >= 66, exact.word_unsigned(F.substring("supply", 3, 64)))
+    supply = exact.word_unsigned(F.when(F.length("supply") >= 66, F.substring("supply", 3, 64)))
     return calls.select(
         "token", *(text.sanitize(_text(F.col(c))).alias(c) for c in ("symbol", "name")), decimals.alias("decimals"),
         F.when(decimals.isNull(), text.error_class(F.col("error"))).alias("decimals_error"), F.coalesce(supply, F.lit("0")).alias("total_supply"),
@@ -120,7 +120,7 @@ def round_trips(calls: DataFrame) -> DataFrame:
     """
     went = lambda c: F.coalesce(F.col(c) == "0x1", F.lit(False))
     bought, sold = went("buy_status"), went("sell_status")
-    held = F.when(went("balance_status") & (F.length("balance") > 2), exact.word_unsigned(F.substring("balance", 3, 64)))
+    held = exact.word_unsigned(F.when(went("balance_status") & (F.length("balance") > 2), F.substring("balance", 3, 64)))
     rows = calls.withColumns({"_held": F.coalesce(held, F.lit("0")), "_back": F.coalesce(last_amount(F.col("sell_data")), F.lit("0"))})
     empty = F.col("_held") == "0"
     share = F.col("_back").cast("double") / F.nullif(F.col("spent").cast("double"), F.lit(0.0))
