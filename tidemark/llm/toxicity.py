@@ -171,8 +171,9 @@ def _evidence(shared):
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> list[float]:
-    """Slopes and intercept of a logistic regression with a small ridge, by Newton steps. x: a column a feature."""
-    grid = np.c_[x, np.ones(len(x))]
+    """Slopes and intercept of a logistic regression with a small ridge, by Newton steps. x: a column a feature, each brought to a mean of 0 and a spread of 1."""
+    middle, spread = x.mean(0), x.std(0) + 1e-9
+    grid = np.c_[(x - middle) / spread, np.ones(len(x))]
     ridge = np.array([0.05] * x.shape[1] + [0.0])
     w = np.zeros(grid.shape[1])
     for _ in range(50):
@@ -183,7 +184,8 @@ def _curve(x: np.ndarray, y: np.ndarray) -> list[float]:
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return w.tolist()
+    slopes = w[:-1] / spread
+    return [*slopes.tolist(), float(w[-1] - (slopes * middle).sum())]
 
 
 def _beside(rows: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
