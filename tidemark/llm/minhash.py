@@ -281,20 +281,25 @@ def classes(docs: DataFrame, bound: float = 0.8) -> DataFrame:
     leaders = leaders.union(members.groupBy(*group).agg(F.min("doc_id").alias("leader")))
     led = members.join(leaders, group).filter("doc_id <> leader").select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
     tested = _measured(led, prints, bound)
-    heads = None
+    groups = cut_lineage(components(tested.filter("linked").select("a", "b")))
+    owned = lambda rows, c, to: rows.join(groups.select(F.col("node").alias(c), F.col("least").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
+    placed = owned(members, "doc_id", "owner")
+    split = placed.groupBy(*group).agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).filter("lo < hi").select(*group)
+    split = placed.join(split, group, "left_semi").select("doc_id", "n", "owner").distinct().join(prints, "doc_id").select("doc_id", "n", "owner", "prints")
+    heads = stored(_heads(split, bound))
     for least in (True, False):
-        groups = cut_lineage(components(tested.filter("linked").select("a", "b")))
-        owner = groups.select(F.col("node").alias("doc_id"), F.col("least").alias("owner"))
-        if heads is None:
-            placed = members.join(owner, "doc_id", "left").withColumn("owner", F.coalesce("owner", "doc_id"))
-            split = placed.groupBy(*group).agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).filter("lo < hi").select(*group)
-            split = placed.join(split, group, "left_semi").select("doc_id", "n", "owner").distinct().join(prints, "doc_id").select("doc_id", "n", "owner", "prints")
-            heads = stored(_heads(split, bound))
-        fresh = _meeting(heads.join(owner, "doc_id", "left").withColumn("owner", F.coalesce("owner", "doc_id")), bound, least)
+        fresh = _meeting(owned(heads, "doc_id", "owner"), bound, least)
         fresh = stored(fresh.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        if not fresh.isEmpty():
-            tested = tested.unionByName(_measured(fresh, prints, bound))
-    groups = cut_lineage(components(tested.filter("linked").select("a", "b"))).withColumnsRenamed({"node": "first"})
+        if fresh.isEmpty():
+            continue
+        found_now = _measured(fresh, prints, bound)
+        tested = tested.unionByName(found_now)
+        # classes that a link joins, by their least documents
+        joined = owned(owned(found_now.filter("linked"), "a", "u"), "b", "v").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
+        wider = cut_lineage(components(joined))
+        moved = groups.withColumnRenamed("least", "old").join(wider.select(F.col("node").alias("old"), "least"), "old", "left").select("node", F.coalesce("least", "old").alias("least"))
+        groups = cut_lineage(moved.unionByName(wider.join(groups.select("node"), "node", "left_anti")))
+    groups = groups.withColumnsRenamed({"node": "first"})
     firsts = firsts.select(*equal, "first").join(groups, "first", "left").select(*equal, F.coalesce("least", "first").alias("class_id"))
     known = named.select("doc_id", *equal).join(firsts, equal).select("doc_id", "class_id")
     return found.filter("doc_id is not null").select("doc_id").join(known, "doc_id").unionByName(found.filter("doc_id is null").join(firsts, equal, "left").select("doc_id", "class_id"))
