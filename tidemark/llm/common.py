@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,6 +13,54 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.sources.shared import cut_lineage, stored  # noqa: F401  for the operators
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Return memory that is free to the system: workers are kept for later steps, beside those of other steps."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(f):
+    """A function of batches that gives back memory when its partition ends."""
+
+    @functools.wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def lean_group(f):
+    """A function of (key, frame) that gives back memory after each group."""
+
+    def run(key, frame):
+        try:
+            return f(key, frame)
+        finally:
+            give_back()
+
+    return run
+
+
+def lean_cogroup(f):
+    """As ``lean_group``, of (key, left, right)."""
+
+    def run(key, left, right):
+        try:
+            return f(key, left, right)
+        finally:
+            give_back()
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

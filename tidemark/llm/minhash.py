@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, mix, row_blocks, stored, text_buffer, word_hashes
+from .common import cut_lineage, lean, mix, row_blocks, stored, text_buffer, word_hashes
 
 WORDS = 5  # words of a k-mer
 SKETCHES, PICKS = 16, 3
@@ -108,6 +108,7 @@ def _folded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return text_buffer(pc.utf8_lower(pc.fill_null(column, "")))
 
 
+@lean
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = _folded(batch.column(1))
@@ -124,6 +125,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(one), pa.array(two), spots], ["doc_id", "n", "one", "two", "values"])
 
 
+@lean
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """32-bit fingerprints of the k-mers in text order."""
     for batch in batches:
@@ -207,9 +209,10 @@ def components(links: DataFrame) -> DataFrame:
 def _measured(pairs: DataFrame, prints: DataFrame, bound: float) -> DataFrame:
     one, two = (prints.select(F.col("doc_id").alias(c), F.col("prints").alias(x)) for c, x in (("a", "x"), ("b", "y")))
     sides = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    return stored(sides.mapInArrow(_verify(bound), "a long, b long, linked boolean"))
+    return stored(sides.mapInArrow(lean(_verify(bound)), "a long, b long, linked boolean"))
 
 
+@lean
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, n, owner, item): the labelled k-mers of each text, a row each."""
     for batch in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, mix, row_blocks, text_buffer, word_hashes
+from .common import SPACE, lean, mix, row_blocks, text_buffer, word_hashes
 
 BLOCK = 1 << 18
 DIMS = 2048
@@ -129,6 +129,7 @@ def _blocks(batch: pa.RecordBatch, column: int):
             yield c, d, part, edges, traits(part, edges)
 
 
+@lean
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for *_, found in _blocks(batch, 0):
@@ -136,6 +137,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["pattern", "n"])
 
 
+@lean
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, part, edges, found in _blocks(batch, 0):
@@ -215,7 +217,7 @@ def classify(docs: DataFrame, max_rows: int = 4_000) -> DataFrame:
     """doc_id, votes (base-3 digits of the labellers, 0 none, 1 good, 2 bad), score (P(good)) and keep (score >= 0.5) of every row."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     weights = fit(docs, max_rows)
-    return docs.mapInArrow(_score(weights), "doc_id long, votes long, score double").withColumn("keep", F.col("score") >= 0.5)
+    return docs.mapInArrow(lean(_score(weights)), "doc_id long, votes long, score double").withColumn("keep", F.col("score") >= 0.5)
 
 
 def keep_rows(docs: DataFrame, max_rows: int = 4_000) -> DataFrame:
@@ -231,4 +233,4 @@ def keep_rows(docs: DataFrame, max_rows: int = 4_000) -> DataFrame:
                 z[a:b] = np.bincount(at // DIMS, value * weights[at % DIMS], minlength=b - a) + weights[-1]
             yield batch.filter(pa.array(z >= 0))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_table, cut_lineage, mix, text_buffer
+from .common import byte_table, cut_lineage, lean, lean_cogroup, lean_group, mix, text_buffer
 
 CHUNK = 4 << 20  # bytes of text in a chunk
 SLICE = 1 << 18  # windows hashed at once
@@ -458,13 +458,16 @@ def _apply(width: int):
                 spot, windows = spot[later], windows[later]
                 np.add.at(change, spot, 1)
                 np.add.at(change, spot + windows + (width - 1), -1)
-            covered = np.cumsum(change[:-1]) > 0
+            np.cumsum(change, out=change)
+            covered = change[:-1] > 0
+            del change
             edge = covered.copy()
             edge[1:] &= ~covered[:-1]
             starts = offsets[:-1][offsets[:-1] < len(data)]
             edge[starts] = covered[starts]
-            gone = np.concatenate([[0], np.cumsum(covered)])
-            spans = np.concatenate([[0], np.cumsum(edge)])
+            gone, spans = (np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64) for _ in range(2))
+            np.cumsum(covered, out=gone[1:])
+            np.cumsum(edge, out=spans[1:])
             for doc, tag, a, b in zip(ids.tolist(), json.loads(_unzip(row.tags)), offsets[:-1].tolist(), offsets[1:].tolist()):
                 lost = int(gone[b] - gone[a])
                 kept = data[a:b][~covered[a:b]].tobytes() if lost else raw[a:b]
@@ -484,12 +487,12 @@ def dedup_substrings(docs: DataFrame, width: int = 50, tag: Column | None = None
     if not GRAM < width <= 100:
         raise ValueError(f"width must be from {GRAM + 1} to 100 bytes")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text"), (F.lit(None).cast("string") if tag is None else tag).alias("tag"))
-    chunks = cut_lineage(docs.mapInArrow(_pack, "chunk long, bytes long, ids binary, lengths binary, tags binary, data binary"))
+    chunks = cut_lineage(docs.mapInArrow(lean(_pack), "chunk long, bytes long, ids binary, lengths binary, tags binary, data binary"))
     total = chunks.agg(F.sum("bytes")).first()[0] or 0
     bits = max(8, (total >> 24).bit_length())
-    grams = chunks.mapInPandas(_send_grams(width, bits), "bucket long, chunk long, n int, steps binary, low binary")
-    suspects = cut_lineage(grams.groupBy("bucket").applyInPandas(_recurring, "chunk long, bucket long, blob binary"))
-    runs = chunks.groupBy("chunk").cogroup(suspects.groupBy("chunk")).applyInPandas(_send_runs(width, bits), "bucket long, chunk long, n int, run binary")
-    least = runs.groupBy("bucket").applyInPandas(_merge(width), "chunk long, n long, blob binary")
-    whole = chunks.groupBy("chunk").cogroup(least.groupBy("chunk")).applyInPandas(_apply(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, tag string")
+    grams = chunks.mapInPandas(lean(_send_grams(width, bits)), "bucket long, chunk long, n int, steps binary, low binary")
+    suspects = cut_lineage(grams.groupBy("bucket").applyInPandas(lean_group(_recurring), "chunk long, bucket long, blob binary"))
+    runs = chunks.groupBy("chunk").cogroup(suspects.groupBy("chunk")).applyInPandas(lean_cogroup(_send_runs(width, bits)), "bucket long, chunk long, n int, run binary")
+    least = runs.groupBy("bucket").applyInPandas(lean_group(_merge(width)), "chunk long, n long, blob binary")
+    whole = chunks.groupBy("chunk").cogroup(least.groupBy("chunk")).applyInPandas(lean_cogroup(_apply(width)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, tag string")
     return whole.drop("tag") if tag is None else whole
