@@ -64,7 +64,7 @@ def validate(name: Column, arguments: Column, schemas: dict[str, dict[str, tuple
             fits = kind_of.isin(TYPES[kind])
             if kind == "integer":  # a whole number in any notation
                 number = F.try_variant_get(parsed, f"$['{field}']", "double")
-                fits = fits | (kind_of.isin(TYPES["number"]) & (number == F.floor(number)))
+                fits = fits | (kind_of.isin(TYPES["number"]) & (number % 1 == 0))
             wrong = ~absent & ~fits
             errors += [F.when(absent & F.lit(required), F.lit(f"{field}:missing")), F.when(wrong, F.lit(f"{field}:type"))]
         known = F.array(*(F.lit(f) for f in sorted(fields))) if fields else F.array().cast("array<string>")
