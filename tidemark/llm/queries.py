@@ -97,9 +97,9 @@ ORACLE_SQL = {
         m AS (SELECT doc_id, n, line, trim(regexp_replace(regexp_replace(line, '(^|\s)[^\s\d@]*[\d@]\S*', '\1<*>', 'g'), '\s+', ' ', 'g')) AS t FROM l),
         p AS (SELECT *, string_split(t, ' ') AS w FROM m WHERE t <> '' AND len(string_split(t, ' ')) >= 3),
         o AS (SELECT t, any_value(w) AS w, count(DISTINCT doc_id) AS docs FROM p GROUP BY t),
-        s AS (SELECT t, len(w) AS size, w[:3] AS lead, docs, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM o),
-        c AS (SELECT size, lead, at, word FROM s WHERE word <> '<*>' AND at > 3 GROUP BY ALL HAVING sum(docs) >= 5),
-        h AS (SELECT s.t, count(*) AS kept, string_agg(s.at || ':' || s.word, ' ' ORDER BY s.at) AS path FROM s JOIN c ON s.size = c.size AND s.lead = c.lead AND s.at = c.at AND s.word = c.word GROUP BY s.t),
+        s AS (SELECT t, len(w) AS size, w[:3] AS lead, docs, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM o),
+        c AS (SELECT size, lead, pos, word FROM s WHERE word <> '<*>' AND pos > 3 GROUP BY ALL HAVING sum(docs) >= 5),
+        h AS (SELECT s.t, count(*) AS kept, string_agg(s.pos || ':' || s.word, ' ' ORDER BY s.pos) AS path FROM s JOIN c ON s.size = c.size AND s.lead = c.lead AND s.pos = c.pos AND s.word = c.word GROUP BY s.t),
         g AS (SELECT o.t, len(w) AS size, w[:3] AS lead, coalesce(path, '') AS path FROM o LEFT JOIN h ON o.t = h.t WHERE len(list_filter(w[:3], lambda x: x <> '<*>')) + coalesce(kept, 0) >= 0.7 * len(w) - 1e-9),
         q AS (SELECT p.doc_id, p.n, g.size, g.lead, g.path FROM p JOIN g ON p.t = g.t),
         r AS (SELECT size, lead, path, min(doc_id) AS first_doc FROM q GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5),
