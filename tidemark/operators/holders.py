@@ -5,13 +5,16 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import exact
 
-from .joins import first_by, range_join, top_by
+from .joins import first_by, top_by
 
 
 def unique_transfers(transfers: DataFrame) -> DataFrame:
@@ -101,31 +104,133 @@ def within_tolerance(a: Column, b: Column, tolerance: float) -> Column:
     return F.when(a == b, True).when((a == 0) | (b == 0), False).otherwise(gap <= tolerance)
 
 
-def batches(fundings: DataFrame, proximity: int, tolerance: float) -> DataFrame:
-    """(anchor, wallet): each wallet with those funded up to ``proximity`` later (ties in wallet order) with like amounts.
-
-    Wallets meet by time and by classes of amounts, as wide as the tolerance on a logarithmic scale, so that like amounts are in
-    the same class or in neighbours.
+#: Wider than what the tolerance spans, so that few rows are copied: widths of a cell in proximities, of a class of amounts on a logarithmic scale.
+CELL, CLASS = 8, 1.0
+PAIRS = 1 << 20  # pairs held at once
+
+
+def _like(a: np.ndarray, b: np.ndarray, tolerance: float) -> np.ndarray:
+    """``within_tolerance`` of arrays of longs."""
+    large, small = np.maximum(a, b), np.minimum(a, b)
+    safe = max(np.abs(large).max(initial=0), np.abs(small).max(initial=0)) < 4 * 10**12
+    gap = (large - small) * 1_000_000 if safe else (large.astype(float) - small) * 1e6
+    return (a == b) | ((a != 0) & (b != 0) & (np.floor(gap / np.where(large == 0, 1, large)) / 1_000_000 <= tolerance))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by their first two columns, a table for each pair of values."""
+    held, key = [], None
+    for batch in batches:
+        keys = np.stack([batch.column(i).to_numpy() for i in (0, 1)])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi > lo:
+                if held and key != tuple(keys[:, lo]):
+                    yield pa.Table.from_batches(held)
+                    held = []
+                key = tuple(keys[:, lo])
+                held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _met(proximity: int, tolerance: float, least: int | None):
+    """A task's pairs (anchor, wallet), anchor by anchor. With ``least``: each wallet once, the anchor with them, anchors of as many wallets alone."""
+    width, slack = max(proximity, 1), 1 - tolerance - 4e-6
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _gathered(batches):
+            table = table.sort_by("t").combine_chunks()
+            own, t, value = (table[c].to_numpy() for c in ("own", "t", "value"))
+            wallets = table["wallet"].combine_chunks()
+            rank, unknown = pc.rank(wallets, null_placement="at_start", tiebreaker="dense").to_numpy(), wallets.is_null().to_numpy(zero_copy_only=False)
+            for slot in np.unique(t[own] // width):
+                first, middle, last = np.searchsorted(t, [slot * width, (slot + 1) * width, (slot + 2) * width])
+                points = first + np.argsort(value[first:last], kind="stable")
+                anchors, amounts = first + np.flatnonzero(own[first:middle]), value[points].astype(float)
+                at = value[anchors].astype(float)
+                low, high = np.where(at > 0, at * slack, -np.inf), np.where(at > 0, at / slack, 0)
+                lo, hi = np.searchsorted(amounts, low, "left"), np.searchsorted(amounts, high, "right")
+                ends = np.cumsum(hi - lo)
+                begin = 0
+                while begin < len(anchors):
+                    done = ends[begin - 1] if begin else 0
+                    end = max(begin + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
+                    n = (hi - lo)[begin:end]
+                    a = np.repeat(anchors[begin:end], n)
+                    b = points[np.arange(len(a)) + np.repeat(lo[begin:end] - (np.cumsum(n) - n), n)]
+                    begin = end
+                    gap = t[b] - t[a]
+                    keep = (gap >= 0) & (gap <= proximity) & ((gap > 0) | ((rank[b] > rank[a]) & ~unknown[a]))
+                    a, b = a[keep], b[keep]
+                    keep = _like(value[a], value[b], tolerance)
+                    a, b = a[keep], b[keep]
+                    if least is not None:
+                        if len(a):  # wallets that were funded more than once
+                            order = np.lexsort((rank[b], a))
+                            a, b = a[order], b[order]
+                            fresh = np.append(True, (a[1:] != a[:-1]) | (rank[b[1:]] != rank[b[:-1]]))
+                            a, b = a[fresh], b[fresh]
+                        who, members = np.unique(a, return_counts=True)
+                        who = who[members + 1 >= least]
+                        keep = np.isin(a, who)
+                        a, b = np.append(a[keep], who), np.append(b[keep], who)
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([wallets.take(pa.array(a)), wallets.take(pa.array(b))], ["anchor", "wallet"])
+
+    return met
+
+
+def _near(anchors: DataFrame, fundings: DataFrame, proximity: int, tolerance: float, least: int | None = None) -> DataFrame:
+    """``batches`` of some anchors: those of ``fundings`` where the boolean column ``anchors`` holds.
+
+    Wallets meet by time and by classes of amounts: an anchor goes to the cell and class of its own, the wallets to those in which an
+    anchor can have them, so that all pairs of an anchor are made in one place and are never shuffled.
     """
-    width = -math.log(1 - tolerance - 2e-6)
-    kind = F.when(F.col("value") > 0, F.floor(F.log(F.col("value").cast("double")) / width)).otherwise(-1_000_000)
-    near = F.explode(F.when(F.col("value") > 0, F.array(kind - 1, kind, kind + 1)).otherwise(F.array(kind)))
-    a = fundings.select(F.col("wallet").alias("anchor"), F.col("t").alias("start"), (F.col("t") + proximity).alias("end"), F.col("value").alias("anchor_value"), near.alias("_kind"))
-    b = fundings.select("wallet", "t", "value", kind.alias("_kind"))
-    met = range_join(a, b, ["_kind"], max(proximity, 1))
-    later = (F.col("t") > F.col("start")) | (F.col("wallet") > F.col("anchor"))
-    return met.filter(later & within_tolerance(F.col("anchor_value"), F.col("value"), tolerance)).select("anchor", "wallet")
+    cell, reach = CELL * max(proximity, 1), -math.log(1 - tolerance - 4e-6)
+    size = F.log(F.col("value").cast("double"))
+    kind = lambda x: F.when(F.col("value") > 0, F.floor(x / CLASS)).otherwise(-1_000_000)
+    rows = fundings.filter(F.col("t").isNotNull() & F.col("value").isNotNull())
+    rows = rows.select(anchors.alias("_anchor"), "wallet", "t", F.col("value").cast("long").alias("value"))
+    rows = rows.withColumn("_cell", F.explode(F.sequence(F.floor((F.col("t") - proximity) / cell), F.floor(F.col("t") / cell))))
+    rows = rows.withColumn("_kind", F.explode(F.sequence(kind(size - reach), kind(size + reach))))
+    own = F.col("_anchor") & (F.col("_cell") == F.floor(F.col("t") / cell)) & (F.col("_kind") == kind(size))
+    rows = rows.select("_cell", "_kind", own.alias("own"), "wallet", "t", "value")
+    # a number of partitions, as the rows that are made tell how much work a task has, not those that are read
+    parts = int(fundings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wallet = dict(fundings.dtypes)["wallet"]
+    return rows.repartition(parts, "_cell", "_kind").sortWithinPartitions("_cell", "_kind").mapInArrow(_met(proximity, tolerance, least), f"anchor {wallet}, wallet {wallet}")
+
+
+def batches(fundings: DataFrame, proximity: int, tolerance: float) -> DataFrame:
+    """(anchor, wallet): each wallet with those funded up to ``proximity`` later (ties in wallet order) with like amounts."""
+    return _near(F.lit(True), fundings, proximity, tolerance)
 
 
 def clusters(fundings: DataFrame, proximity: int, tolerance: float, least: int = 2) -> DataFrame:
-    """(cluster_key, wallet): groups by funder, by funding transaction, and by batch around an anchor."""
-    by_funder = fundings.select(F.concat(F.lit("funder:"), F.col("funder")).alias("cluster_key"), "wallet")
-    by_tx = fundings.select(F.concat(F.lit("tx:"), F.col("tx")).alias("cluster_key"), "wallet")
-    near = batches(fundings, proximity, tolerance)
-    by_batch = near.select("anchor", "wallet").union(near.select("anchor", "anchor")).select(F.concat(F.lit("batch:"), F.col("anchor")).alias("cluster_key"), "wallet")
-    rows = by_funder.union(by_tx).union(by_batch).distinct()
-    large = rows.groupBy("cluster_key").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select("cluster_key")
-    return rows.join(large, "cluster_key", "left_semi")
+    """(cluster_key, wallet): groups by funder, by funding transaction, and by batch around an anchor.
+
+    Where a wallet was funded once, its rows are distinct as they are made; only batches around the others are compared with each other.
+    """
+    again = fundings.groupBy("wallet").agg((F.count("*") > 1).alias("_again")).filter("_again")
+    once = again.isEmpty()
+
+    def large(rows: DataFrame, key: str, distinct: bool) -> DataFrame:
+        rows = rows.select(key, "wallet").filter(F.col(key).isNotNull())
+        rows = rows if distinct else rows.distinct()
+        keys = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select(key)
+        return rows.join(keys, key, "left_semi")
+
+    kinds = {"funder": large(fundings, "funder", once), "tx": large(fundings, "tx", once)}
+    if once:
+        by_batch = _near(F.lit(True), fundings, proximity, tolerance, least)
+    else:
+        marked = fundings.join(again.withColumnRenamed("wallet", "_w"), F.col("wallet").eqNullSafe(F.col("_w")), "left").withColumn("_again", F.coalesce("_again", F.lit(False)))
+        by_batch = _near(~F.col("_again"), marked, proximity, tolerance, least)
+        near = _near(F.col("_again"), marked, proximity, tolerance)
+        by_batch = by_batch.union(large(near.union(near.select("anchor", "anchor")), "anchor", False))
+    rows = [found.select(F.concat(F.lit(f"{kind}:"), F.col(key)).alias("cluster_key"), "wallet") for kind, key, found in (("funder", "funder", kinds["funder"]), ("tx", "tx", kinds["tx"]), ("batch", "anchor", by_batch))]
+    return rows[0].union(rows[1]).union(rows[2])
 
 
 def cluster_concentration(members: DataFrame, holders: DataFrame) -> DataFrame:
