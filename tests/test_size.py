@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import holders as h
+from tidemark.operators import windows
 
 
 def plan(df):
@@ -47,3 +50,24 @@ def test_clusters_with_wallets_funded_once_and_again(spark):
                 want.setdefault(f"tx:{tx}", set()).add(wallet)
             _, got = plan(h.clusters(df, 10, 0.05, least))
             assert sorted(got) == sorted((k, w) for k, ws in want.items() if len(ws) >= least for w in ws)
+
+
+def windowed(trades, at, length, base):
+    inside = [x for x in trades if at is not None and at - length < x[1] <= at]
+    buy = "OUT0" if base else "OUT1"
+    volumes = [abs(x[5] if base else x[4]) for x in inside if (x[5] if base else x[4]) is not None]
+    return sum(x[2] == buy for x in inside), sum(x[2] not in (buy, None) for x in inside), len({x[3] for x in inside if x[2] == buy} - {None}), sum(volumes) if volumes else None
+
+
+def test_windows_are_swept_not_joined(spark):
+    rng = random.Random(5)
+    trades = [(rng.choice([0, 1, None]), rng.randrange(-40, 90), rng.choice(["OUT0", "OUT1", None]), rng.choice(["a", "b", "c", None]), rng.choice([None, -4, 9]), rng.choice([None, 2**61, -7])) for _ in range(200)]
+    anchors = [(i, rng.choice([0, 1, 2, None]), rng.choice([None, *range(-45, 120)]), rng.choice([True, False, None])) for i in range(60)]
+    left = spark.createDataFrame(trades, "pool_id long, t long, side string, wallet string, amount0 long, amount1 long").withColumn("amount1", F.col("amount1").cast("decimal(20,0)"))
+    left, right = left.withColumn("amount0", F.col("amount0").cast("decimal(20,0)")), spark.createDataFrame(anchors, "row long, pool_id long, at long, base_is_token0 boolean")
+    text, got = plan(windows.consecutive_windows(left, right, 7, 3))
+    assert "Join" not in text
+    want = [(i, pool, at, base, k, *windowed([x for x in trades if x[0] == pool and pool is not None], None if at is None else at - 7 * k, 7, base)) for i, pool, at, base in anchors for k in range(3)]
+    assert sorted(got, key=lambda r: (r[0], r[4])) == want
+    _, got = plan(windows.trade_window(left, right, 7))
+    assert sorted(got, key=lambda r: r[0]) == [(*r[:4], *r[5:]) for r in want if r[4] == 0]

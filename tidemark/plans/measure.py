@@ -132,7 +132,7 @@ _SIDED = ", s AS (SELECT *, CASE WHEN pool_id % 2 = 0 THEN 'OUT0' ELSE 'OUT1' EN
 
 @query(_SIDED + f" SELECT s.signal_id, {_WINDOW} AS quote_volume FROM s LEFT JOIN trades x ON x.pool_id = s.pool_id AND x.t > s.t - 3600000000 AND x.t <= s.t GROUP BY s.signal_id")
 def trade_window(v):
-    return windows.trade_window(v.trades, _anchors(v), HOUR, "signal_id").select("signal_id", "buys", "sells", "unique_buyers", "quote_volume")
+    return windows.trade_window(v.trades, _anchors(v), HOUR).select("signal_id", "buys", "sells", "unique_buyers", "quote_volume")
 
 
 _WINDOW_OR_ZERO = _WINDOW.replace("CAST(sum(", "coalesce(CAST(sum(") + ", 0)"
@@ -141,14 +141,14 @@ _WINDOW_OR_ZERO = _WINDOW.replace("CAST(sum(", "coalesce(CAST(sum(") + ", 0)"
 @query(_SIDED + f" SELECT s.signal_id, {_WINDOW_OR_ZERO} AS quote_volume FROM s LEFT JOIN trades x ON x.pool_id = s.pool_id AND x.t > s.t - 300000000 AND x.t <= s.t GROUP BY s.signal_id")
 def snapshot_trade_stats(v):
     """As a trade window, but an empty one has a volume of 0."""
-    return windows.trade_window(v.trades, _anchors(v), 5 * MINUTE, "signal_id").select("signal_id", "buys", "sells", "unique_buyers", F.coalesce("quote_volume", F.lit(0)).alias("quote_volume"))
+    return windows.trade_window(v.trades, _anchors(v), 5 * MINUTE).select("signal_id", "buys", "sells", "unique_buyers", F.coalesce("quote_volume", F.lit(0)).alias("quote_volume"))
 
 
 _CONSECUTIVE = _SIDED + f", c AS (SELECT s.signal_id, k, {_WINDOW} AS quote_volume FROM s CROSS JOIN (SELECT unnest(range(0, 5)) AS k) LEFT JOIN trades x ON x.pool_id = s.pool_id AND x.t > s.t - (k + 1) * 3600000000 AND x.t <= s.t - k * 3600000000 GROUP BY 1, 2)"
 
 
 def _consecutive(v):
-    return windows.consecutive_windows(v.trades, _anchors(v), HOUR, 5, "signal_id")
+    return windows.consecutive_windows(v.trades, _anchors(v), HOUR, 5)
 
 
 @query(_CONSECUTIVE + " SELECT signal_id, CAST(k AS BIGINT) AS k, buys, sells, unique_buyers, quote_volume FROM c")
