@@ -151,7 +151,8 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 102
     groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = clean(vectors).mapInArrow(_pack(scale, BLOCK), packed).withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
     asked = clean(queries).dropDuplicates().mapInArrow(_pack(scale, QUERIES), packed).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"), F.col("n").alias("m"), F.col("width").alias("query_width"), F.col("ids").alias("query_ids"), F.col("columns").alias("queries"))
-    pairs = blocks.join(asked, "group").select("n", "width", "ids", "columns", "m", "query_width", "query_ids", "queries")
+    # copies are more than Spark's estimate knows of: without the hint it may broadcast them, all through the driver
+    pairs = blocks.join(asked.hint("merge"), "group").select("n", "width", "ids", "columns", "m", "query_width", "query_ids", "queries")
     found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long, exact binary")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("exact"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
