@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import scoring
 from tidemark.operators import holders as h
 from tidemark.operators import joins, windows
 from tidemark.plans import catalog
@@ -96,3 +97,20 @@ def test_copies_are_never_broadcast(spark):
     points = spark.createDataFrame([(1, 7, "a"), (1, 501, "b"), (2, 95, "c")], "key long, t long, name string")
     text, got = plan(joins.range_join(spans, points, ["key"], 1))
     assert "Broadcast" not in text and sorted(r[-1] for r in got) == ["a", "c"]
+
+
+def test_scores_are_made_in_steps(spark):
+    names = [c for parts in [*scoring.COMPONENTS.values(), scoring.PENALTIES] for c in parts]
+    rows = spark.createDataFrame([(1, *[0.5] * len(names)), (2, *[None] * len(names))], "signal_id long, " + ", ".join(f"{c} double" for c in names))
+    found = scoring.strategy(rows)
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 50_000
+    some, none = sorted(found.collect())
+    # a half of each: floored at 1000, 2 of 3, a half, floored at 1; and 25 points off for 0.4 of 0.5
+    assert round(some.liquidity, 6) == round(20 * 2 / 3 + 10 + 20, 6) and round(some.smart_money, 6) == round(5 + 20 * (1 - 0.5 / 60) + 0.15, 6)
+    assert some.coverage == 1 and round(some.score, 6) == round(some.liquidity * 0.2 + some.momentum * 0.3 + some.holder * 0.2 + some.smart_money * 0.3 - 20, 6)
+    assert (none.liquidity, none.score, none.coverage) == (None, 0, 0)
+
+
+def test_parts_of_features_are_written_one_after_another(spark):
+    text = catalog.QUERIES["feature_set"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in text for x in ("Window", "MapInArrow", "Generate", "Aggregate"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -98,11 +98,15 @@ def alpha(components: list[tuple[Column, float]], penalties: Column) -> tuple[Co
     return F.coalesce(_clamp(base - penalties), F.lit(0.0)), coverage
 
 
-def strategy(policy: str = "renormalize") -> dict[str, Column]:
-    """Columns of the first strategy's components, score and coverage over the sixteen features."""
-    found = {name: component([(kind(F.col(c), *bounds), w) for c, (w, kind, *bounds) in parts.items()], policy)[0] for name, parts in COMPONENTS.items()}
+def strategy(rows: DataFrame, policy: str = "renormalize") -> DataFrame:
+    """Rows with the first strategy's components, score and coverage over the sixteen features.
+
+    Each step reads columns of the step before: in one expression, every feature would be written out hundreds of times.
+    """
+    scaled = {f"_{c}": kind(F.col(c), *bounds) for parts in [*COMPONENTS.values(), PENALTIES] for c, (_, kind, *bounds) in parts.items()}
+    found = {name: component([(F.col(f"_{c}"), w) for c, (w, *_) in parts.items()], policy)[0] for name, parts in COMPONENTS.items()}
     off = F.lit(0.0)
-    for c, (most, kind, *bounds) in PENALTIES.items():
-        off = off + penalty(kind(F.col(c), *bounds), most)
-    score, coverage = alpha([(found[name], WEIGHTS[name]) for name in found], off)
-    return found | {"score": score, "coverage": coverage}
+    for c, (most, *_) in PENALTIES.items():
+        off = off + penalty(F.col(f"_{c}"), most)
+    score, coverage = alpha([(F.col(name), w) for name, w in WEIGHTS.items()], off)
+    return rows.withColumns(scaled).withColumns(found).withColumns({"score": score, "coverage": coverage}).drop(*scaled)
