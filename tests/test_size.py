@@ -56,6 +56,18 @@ def test_clusters_with_wallets_funded_once_and_again(spark):
             assert sorted(got) == sorted((k, w) for k, ws in want.items() if len(ws) >= least for w in ws)
 
 
+def test_first_clusters_without_rows_for_pairs(spark):
+    for repeated in (False, True):
+        _, df = funded(spark, repeated)
+        for least in (2, 4):
+            first = lambda found: sorted(map(tuple, found.groupBy("wallet").agg(F.min("cluster_key")).collect()))  # noqa: E731, B023
+            found = h.clusters(df, 10, 0.05, least, first=True)
+            assert first(found) == first(h.clusters(df, 10, 0.05, least))
+    crowd = spark.createDataFrame([(i, None, None, 5, 1000) for i in range(300)], "wallet long, funder string, tx string, t long, value long")
+    found = h.clusters(crowd, 10, 0.05, first=True).collect()
+    assert len(found) <= 600 and {min(r.cluster_key for r in found if r.wallet == w) for w in (1, 2, 299)} == {"batch:0"}
+
+
 def windowed(trades, at, length, base):
     inside = [x for x in trades if at is not None and at - length < x[1] <= at]
     buy = "OUT0" if base else "OUT1"

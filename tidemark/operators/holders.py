@@ -134,8 +134,11 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _met(proximity: int, tolerance: float, least: int | None):
-    """A task's pairs (anchor, wallet), anchor by anchor. With ``least``: each wallet once, the anchor with them, anchors of as many wallets alone."""
+def _met(proximity: int, tolerance: float, least: int | None, first: bool = False):
+    """A task's pairs (anchor, wallet), anchor by anchor. With ``least``: each wallet once, the anchor with them, anchors of as many wallets alone.
+
+    With ``first``: of each wallet's anchors in a cell and class the first as text alone, so rows are no more than those that came.
+    """
     width, slack = max(proximity, 1), 1 - tolerance - 4e-6
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,10 +147,18 @@ def _met(proximity: int, tolerance: float, least: int | None):
             own, t, value = (table[c].to_numpy() for c in ("own", "t", "value"))
             wallets = table["wallet"].combine_chunks()
             rank, unknown = pc.rank(wallets, null_placement="at_start", tiebreaker="dense").to_numpy(), wallets.is_null().to_numpy(zero_copy_only=False)
+            of_rank = np.zeros(len(t) + 1, np.int64)
+            of_rank[rank] = np.arange(len(t))
+            distinct = int(rank.max(initial=0)) == len(t)
+            if first:
+                text = pc.rank(pc.cast(wallets, pa.string()), null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64)
+                of_text = np.zeros(len(t) + 1, np.int64)
+                of_text[text] = np.arange(len(t))
+                best = np.full(len(t) + 1, len(t) + 1)
             for slot in np.unique(t[own] // width):
-                first, middle, last = np.searchsorted(t, [slot * width, (slot + 1) * width, (slot + 2) * width])
-                points = first + np.argsort(value[first:last], kind="stable")
-                anchors, amounts = first + np.flatnonzero(own[first:middle]), value[points].astype(float)
+                start, middle, last = np.searchsorted(t, [slot * width, (slot + 1) * width, (slot + 2) * width])
+                points = start + np.argsort(value[start:last], kind="stable")
+                anchors, amounts = start + np.flatnonzero(own[start:middle]), value[points].astype(float)
                 at = value[anchors].astype(float)
                 low, high = np.where(at > 0, at * slack, -np.inf), np.where(at > 0, at / slack, 0)
                 lo, hi = np.searchsorted(amounts, low, "left"), np.searchsorted(amounts, high, "right")
@@ -165,23 +176,32 @@ def _met(proximity: int, tolerance: float, least: int | None):
                     a, b = a[keep], b[keep]
                     keep = _like(value[a], value[b], tolerance)
                     a, b = a[keep], b[keep]
-                    if least is not None:
-                        if len(a):  # wallets that were funded more than once
-                            order = np.lexsort((rank[b], a))
-                            a, b = a[order], b[order]
-                            fresh = np.append(True, (a[1:] != a[:-1]) | (rank[b[1:]] != rank[b[:-1]]))
-                            a, b = a[fresh], b[fresh]
-                        who, members = np.unique(a, return_counts=True)
-                        who = who[members + 1 >= least]
-                        keep = np.isin(a, who)
-                        a, b = np.append(a[keep], who), np.append(b[keep], who)
+                    if least is not None and len(a):
+                        who_b = rank[b].astype(np.int64)
+                        if not (first and distinct):  # in the order of wallets, each once: some were funded more than once
+                            pairs = np.sort(a << 32 | who_b)
+                            pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
+                            a, who_b = pairs >> 32, pairs & 0xFFFFFFFF
+                        starts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+                        who, members = a[starts], np.diff(np.append(starts, len(a)))
+                        enough = members + 1 >= least
+                        if not enough.all():
+                            keep, who = np.repeat(enough, members), who[enough]
+                            a, who_b = a[keep], who_b[keep]
+                        if first:
+                            np.minimum.at(best, who_b, text[a])
+                            np.minimum.at(best, rank[who].astype(np.int64), text[who])
+                            continue
+                        a, b = np.append(a, who), np.append(of_rank[who_b], who)
                     if len(a):
                         yield pa.RecordBatch.from_arrays([wallets.take(pa.array(a)), wallets.take(pa.array(b))], ["anchor", "wallet"])
+            if first and len(some := np.flatnonzero(best <= len(t))):
+                yield pa.RecordBatch.from_arrays([wallets.take(pa.array(of_text[best[some]])), wallets.take(pa.array(of_rank[some]))], ["anchor", "wallet"])
 
     return met
 
 
-def _near(anchors: DataFrame, fundings: DataFrame, proximity: int, tolerance: float, least: int | None = None) -> DataFrame:
+def _near(anchors: DataFrame, fundings: DataFrame, proximity: int, tolerance: float, least: int | None = None, first: bool = False) -> DataFrame:
     """``batches`` of some anchors: those of ``fundings`` where the boolean column ``anchors`` holds.
 
     Wallets meet by time and by classes of amounts: an anchor goes to the cell and class of its own, the wallets to those in which an
@@ -199,7 +219,7 @@ def _near(anchors: DataFrame, fundings: DataFrame, proximity: int, tolerance: fl
     # a number of partitions, as the rows that are made tell how much work a task has, not those that are read
     parts = int(fundings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wallet = dict(fundings.dtypes)["wallet"]
-    return rows.repartition(parts, "_cell", "_kind").sortWithinPartitions("_cell", "_kind").mapInArrow(_met(proximity, tolerance, least), f"anchor {wallet}, wallet {wallet}")
+    return rows.repartition(parts, "_cell", "_kind").sortWithinPartitions("_cell", "_kind").mapInArrow(_met(proximity, tolerance, least, first), f"anchor {wallet}, wallet {wallet}")
 
 
 def batches(fundings: DataFrame, proximity: int, tolerance: float) -> DataFrame:
@@ -207,10 +227,11 @@ def batches(fundings: DataFrame, proximity: int, tolerance: float) -> DataFrame:
     return _near(F.lit(True), fundings, proximity, tolerance)
 
 
-def clusters(fundings: DataFrame, proximity: int, tolerance: float, least: int = 2) -> DataFrame:
+def clusters(fundings: DataFrame, proximity: int, tolerance: float, least: int = 2, first: bool = False) -> DataFrame:
     """(cluster_key, wallet): groups by funder, by funding transaction, and by batch around an anchor.
 
     Where a wallet was funded once, its rows are distinct as they are made; only batches around the others are compared with each other.
+    With ``first`` for uses that take each wallet's first key alone: batches that can't be it may be left out, and pairs aren't rows.
     """
     again = fundings.groupBy("wallet").agg((F.count("*") > 1).alias("_again")).filter("_again")
     once = again.isEmpty()
@@ -223,10 +244,10 @@ def clusters(fundings: DataFrame, proximity: int, tolerance: float, least: int =
 
     kinds = {"funder": large(fundings, "funder", once), "tx": large(fundings, "tx", once)}
     if once:
-        by_batch = _near(F.lit(True), fundings, proximity, tolerance, least)
+        by_batch = _near(F.lit(True), fundings, proximity, tolerance, least, first)
     else:
         marked = fundings.join(again.withColumnRenamed("wallet", "_w"), F.col("wallet").eqNullSafe(F.col("_w")), "left").withColumn("_again", F.coalesce("_again", F.lit(False)))
-        by_batch = _near(~F.col("_again"), marked, proximity, tolerance, least)
+        by_batch = _near(~F.col("_again"), marked, proximity, tolerance, least, first)
         near = _near(F.col("_again"), marked, proximity, tolerance)
         by_batch = by_batch.union(large(near.union(near.select("anchor", "anchor")), "anchor", False))
     rows = [found.select(F.concat(F.lit(f"{kind}:"), F.col(key)).alias("cluster_key"), "wallet") for kind, key, found in (("funder", "funder", kinds["funder"]), ("tx", "tx", kinds["tx"]), ("batch", "anchor", by_batch))]

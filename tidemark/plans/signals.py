@@ -94,8 +94,7 @@ def _features(v):
     last = stored(last.join(measure.liquidity_growth(v), "snapshot_id", "left").join(measure.mc_liquidity(v), "snapshot_id", "left").drop("snapshot_id"))
     keys = {key: stored(rows.select(key).distinct()) for key in ("pool_id", "token_id")}
     rows = rows.join(last.hint("merge"), "signal_id", "left")
-    first = wallets.clusters(v).groupBy("wallet").agg(F.min("cluster_key").alias("k"))
-    alone = wallets.smart_entries(v).join(first, "wallet", "left").groupBy("pool_id").agg(F.countDistinct(F.coalesce("k", F.concat(F.lit("wallet:"), "wallet"))).alias("smart_count"))
+    alone = wallets.smart_entries(v).join(wallets.first_clusters(v), "wallet", "left").groupBy("pool_id").agg(F.countDistinct(F.coalesce("k", F.concat(F.lit("wallet:"), "wallet"))).alias("smart_count"))
     by_pool = [measure.liquidity_stability(v).withColumnRenamed("stability", "liquidity_stability"), wallets.smart_money(v).drop("smart_count"), alone]
     by_token = [wallets.top10_concentration(v).withColumnRenamed("concentration", "top10_concentration"), wallets.holder_retention(v).withColumnRenamed("retention", "holder_retention"), wallets.cluster_concentration(v)]
     for key, tables in (("pool_id", by_pool), ("token_id", by_token)):

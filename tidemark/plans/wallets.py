@@ -115,8 +115,8 @@ _CLUSTERS = _BATCH + """, members AS (SELECT concat('funder:', funder) AS cluste
     cl AS (SELECT * FROM members WHERE cluster_key IN (SELECT cluster_key FROM members GROUP BY 1 HAVING count(*) >= 2))"""
 
 
-def _clusters(v):
-    return h.clusters(v.fundings, DAY, 0.05)
+def _clusters(v, first=False):
+    return h.clusters(v.fundings, DAY, 0.05, first=first)
 
 
 @query(_BATCH + " SELECT anchor, wallet FROM near")
@@ -131,7 +131,7 @@ def clusters(v):
 
 @query(_CLUSTERS + ", f AS (SELECT wallet, min(cluster_key) AS k FROM cl GROUP BY 1) SELECT count(DISTINCT k) + count(*) FILTER (k IS NULL) AS independent FROM (SELECT fd.wallet, f.k FROM fd LEFT JOIN f ON fd.wallet = f.wallet)")
 def independent_count(v):
-    return h.independent(_clusters(v), v.fundings)
+    return h.independent(_clusters(v, True), v.fundings)
 
 
 @query(_CLUSTERS + """, p AS (SELECT * FROM holders WHERE balance > 0), g AS (SELECT p.token_id, cluster_key, sum(balance) AS held FROM cl JOIN p ON cl.wallet = p.wallet GROUP BY 1, 2), m AS (SELECT token_id, max(held) AS held FROM g GROUP BY 1)
@@ -140,6 +140,11 @@ def cluster_concentration(v):
     return h.cluster_concentration(_clusters(v), v.holders)
 
 
+def first_clusters(v):
+    """Each wallet in a cluster with its first cluster by key."""
+    return _clusters(v, True).groupBy("wallet").agg(F.min("cluster_key").alias("k"))
+
+
 @query("SELECT pool_id, wallet, min(t) AS entered FROM trades WHERE wallet IN (SELECT c_custkey FROM customer WHERE c_custkey % 9 = 0) GROUP BY 1, 2")
 def smart_entries(v):
     seeds = v.table("customer").filter("c_custkey % 9 = 0").select(F.col("c_custkey").alias("wallet"))
