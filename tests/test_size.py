@@ -68,6 +68,21 @@ def test_first_clusters_without_rows_for_pairs(spark):
     assert len(found) <= 600 and {min(r.cluster_key for r in found if r.wallet == w) for w in (1, 2, 299)} == {"batch:0"}
 
 
+def test_pairs_are_written_in_little_space(spark, tmp_path):
+    rng = random.Random(3)
+    for name, spread in (("alike", 1), ("apart", 997)):
+        rows = [(w, None, None, rng.randrange(2), 10**5 * 2 ** rng.randrange(5) + rng.randrange(spread)) for w in rng.sample(range(10**6), 4000)]
+        df = spark.createDataFrame(rows, "wallet long, funder string, tx string, t long, value long")
+        for kind, found in (("clusters", h.clusters(df, 1, 0.05)), ("batches", h.batches(df, 1, 0.05))):
+            path = tmp_path / f"{name}-{kind}"
+            found.write.parquet(str(path))
+            n = spark.read.parquet(str(path)).count()
+            groups = [sum(x[3] == t and x[4] // 10**5 == 2**g for x in rows) for t in (0, 1) for g in range(5)]
+            pairs = sum(x * (x - 1) // 2 for x in groups) + sum(groups[g] * groups[g + 5] for g in range(5))
+            assert n - pairs in ((0,) if kind == "batches" else range(3900, 4001))
+            assert sum(p.stat().st_size for p in path.rglob("*.parquet")) / n < 0.5
+
+
 def windowed(trades, at, length, base):
     inside = [x for x in trades if at is not None and at - length < x[1] <= at]
     buy = "OUT0" if base else "OUT1"

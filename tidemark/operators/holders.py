@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -107,6 +108,7 @@ def within_tolerance(a: Column, b: Column, tolerance: float) -> Column:
 #: Wider than what the tolerance spans, so that few rows are copied: widths of a cell in proximities, of a class of amounts on a logarithmic scale.
 CELL, CLASS = 8, 1.0
 PAIRS = 1 << 20  # pairs held at once
+LIST = 1 << 14  # wallets of an anchor in one list
 
 
 def _like(a: np.ndarray, b: np.ndarray, tolerance: float) -> np.ndarray:
@@ -135,21 +137,28 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _met(proximity: int, tolerance: float, least: int | None, first: bool = False):
-    """A task's pairs (anchor, wallet), anchor by anchor. With ``least``: each wallet once, the anchor with them, anchors of as many wallets alone.
+    """A task's pairs as rows (anchor, wallets), lists of up to ``LIST``. With ``least``: each wallet once, the anchor with them, anchors of as many wallets alone.
 
+    Anchors go by amount, their wallets from the last by time and wallet: lists that follow each other then begin alike, which a file's compression
+    takes out. As files pack numbers by eights, what a list has beyond a multiple of eight comes after all lists.
     With ``first``: of each wallet's anchors in a cell and class the first as text alone, so rows are no more than those that came.
     """
     width, slack = max(proximity, 1), 1 - tolerance - 4e-6
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _gathered(batches):
-            table = table.sort_by("t").combine_chunks()
+            table = table.sort_by([("t", "ascending"), ("wallet", "ascending")]).combine_chunks()
             own, t, value = (table[c].to_numpy() for c in ("own", "t", "value"))
             wallets = table["wallet"].combine_chunks()
             rank, unknown = pc.rank(wallets, null_placement="at_start", tiebreaker="dense").to_numpy(), wallets.is_null().to_numpy(zero_copy_only=False)
             of_rank = np.zeros(len(t) + 1, np.int64)
             of_rank[rank] = np.arange(len(t))
             distinct = int(rank.max(initial=0)) == len(t)
+
+            def lists(a: np.ndarray, b: np.ndarray, starts: np.ndarray, wallets: pa.Array = wallets) -> pa.RecordBatch:
+                ends = pa.array(np.append(starts, len(b)).astype(np.int32))
+                return pa.RecordBatch.from_arrays([wallets.take(pa.array(a[starts])), pa.ListArray.from_arrays(ends, wallets.take(pa.array(b)))], ["anchor", "wallets"])
+
             if first:
                 text = pc.rank(pc.cast(wallets, pa.string()), null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64)
                 of_text = np.zeros(len(t) + 1, np.int64)
@@ -159,6 +168,7 @@ def _met(proximity: int, tolerance: float, least: int | None, first: bool = Fals
                 start, middle, last = np.searchsorted(t, [slot * width, (slot + 1) * width, (slot + 2) * width])
                 points = start + np.argsort(value[start:last], kind="stable")
                 anchors, amounts = start + np.flatnonzero(own[start:middle]), value[points].astype(float)
+                anchors = anchors[np.argsort(value[anchors], kind="stable")]
                 at = value[anchors].astype(float)
                 low, high = np.where(at > 0, at * slack, -np.inf), np.where(at > 0, at / slack, 0)
                 lo, hi = np.searchsorted(amounts, low, "left"), np.searchsorted(amounts, high, "right")
@@ -168,41 +178,55 @@ def _met(proximity: int, tolerance: float, least: int | None, first: bool = Fals
                     done = ends[begin - 1] if begin else 0
                     end = max(begin + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
                     n = (hi - lo)[begin:end]
-                    a = np.repeat(anchors[begin:end], n)
-                    b = points[np.arange(len(a)) + np.repeat(lo[begin:end] - (np.cumsum(n) - n), n)]
+                    i = np.repeat(np.arange(begin, end), n)
+                    a, b = anchors[i], points[np.arange(len(i)) + np.repeat(lo[begin:end] - (np.cumsum(n) - n), n)]
                     begin = end
                     gap = t[b] - t[a]
                     keep = (gap >= 0) & (gap <= proximity) & ((gap > 0) | ((rank[b] > rank[a]) & ~unknown[a]))
-                    a, b = a[keep], b[keep]
+                    i, a, b = i[keep], a[keep], b[keep]
                     keep = _like(value[a], value[b], tolerance)
-                    a, b = a[keep], b[keep]
-                    if least is not None and len(a):
-                        who_b = rank[b].astype(np.int64)
-                        if not (first and distinct):  # in the order of wallets, each once: some were funded more than once
-                            pairs = np.sort(a << 32 | who_b)
+                    i, b = i[keep], b[keep]
+                    if not len(i):
+                        continue
+                    if least is not None and not distinct:  # some were funded more than once
+                        b = of_rank[rank[b]]
+                    if not (first and distinct):
+                        pairs = np.sort(i << 32 | (len(t) - b))
+                        if least is not None and not distinct:
                             pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
-                            a, who_b = pairs >> 32, pairs & 0xFFFFFFFF
-                        starts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-                        who, members = a[starts], np.diff(np.append(starts, len(a)))
+                        i, b = pairs >> 32, len(t) - (pairs & 0xFFFFFFFF)
+                    starts = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+                    if least is not None:
+                        members = np.diff(np.append(starts, len(i)))
                         enough = members + 1 >= least
                         if not enough.all():
-                            keep, who = np.repeat(enough, members), who[enough]
-                            a, who_b = a[keep], who_b[keep]
+                            keep = np.repeat(enough, members)
+                            i, b = i[keep], b[keep]
+                            if not len(i):
+                                continue
+                            starts = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
                         if first:
-                            np.minimum.at(best, who_b, text[a])
+                            np.minimum.at(best, rank[b].astype(np.int64), text[anchors[i]])
+                            who = anchors[i[starts]]
                             np.minimum.at(best, rank[who].astype(np.int64), text[who])
                             continue
-                        a, b = np.append(a, who), np.append(of_rank[who_b], who)
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([wallets.take(pa.array(a)), wallets.take(pa.array(b))], ["anchor", "wallet"])
+                        after = np.append(starts[1:], len(i))
+                        i, b = np.insert(i, after, i[starts]), np.insert(b, after, anchors[i[starts]])
+                        starts = starts + np.arange(len(starts))
+                    members = np.diff(np.append(starts, len(i)))
+                    over = np.arange(len(i)) - np.repeat(starts, members) >= np.repeat(members & ~7, members)
+                    order = np.argsort(over, kind="stable")
+                    i, b = i[order], b[order]
+                    starts = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+                    yield lists(anchors[i], b, np.union1d(starts, np.arange(0, len(i), LIST)))
             if first and len(some := np.flatnonzero(best <= len(t))):
-                yield pa.RecordBatch.from_arrays([wallets.take(pa.array(of_text[best[some]])), wallets.take(pa.array(of_rank[some]))], ["anchor", "wallet"])
+                yield lists(of_text[best[some]], of_rank[some], np.arange(len(some)))
 
     return met
 
 
 def _near(anchors: DataFrame, fundings: DataFrame, proximity: int, tolerance: float, least: int | None = None, first: bool = False) -> DataFrame:
-    """``batches`` of some anchors: those of ``fundings`` where the boolean column ``anchors`` holds.
+    """``batches`` of some anchors, with lists of wallets: those of ``fundings`` where the boolean column ``anchors`` holds.
 
     Wallets meet by time and by classes of amounts: an anchor goes to the cell and class of its own, the wallets to those in which an
     anchor can have them, so that all pairs of an anchor are made in one place and are never shuffled.
@@ -219,12 +243,12 @@ def _near(anchors: DataFrame, fundings: DataFrame, proximity: int, tolerance: fl
     # a number of partitions, as the rows that are made tell how much work a task has, not those that are read
     parts = int(fundings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wallet = dict(fundings.dtypes)["wallet"]
-    return rows.repartition(parts, "_cell", "_kind").sortWithinPartitions("_cell", "_kind").mapInArrow(_met(proximity, tolerance, least, first), f"anchor {wallet}, wallet {wallet}")
+    return rows.repartition(parts, "_cell", "_kind").sortWithinPartitions("_cell", "_kind").mapInArrow(_met(proximity, tolerance, least, first), f"anchor {wallet}, wallets array<{wallet}>")
 
 
 def batches(fundings: DataFrame, proximity: int, tolerance: float) -> DataFrame:
     """(anchor, wallet): each wallet with those funded up to ``proximity`` later (ties in wallet order) with like amounts."""
-    return _near(F.lit(True), fundings, proximity, tolerance)
+    return _near(F.lit(True), fundings, proximity, tolerance).select("anchor", F.explode("wallets").alias("wallet"))
 
 
 def clusters(fundings: DataFrame, proximity: int, tolerance: float, least: int = 2, first: bool = False) -> DataFrame:
@@ -242,16 +266,21 @@ def clusters(fundings: DataFrame, proximity: int, tolerance: float, least: int =
         keys = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select(key)
         return rows.join(keys, key, "left_semi")
 
-    kinds = {"funder": large(fundings, "funder", once), "tx": large(fundings, "tx", once)}
+    def keyed(kind: str, key: str, rows: DataFrame, column: str) -> DataFrame:
+        return rows.select(F.concat(F.lit(f"{kind}:"), F.col(key)).alias("cluster_key"), column)
+
+    def spread(rows: DataFrame) -> DataFrame:  # a list's key is made once, before its rows
+        return rows.select(rows.columns[0], F.explode("wallets").alias("wallet"))
+
+    found = [keyed(kind, kind, large(fundings, kind, once), "wallet") for kind in ("funder", "tx")]
     if once:
-        by_batch = _near(F.lit(True), fundings, proximity, tolerance, least, first)
+        found.append(spread(keyed("batch", "anchor", _near(F.lit(True), fundings, proximity, tolerance, least, first), "wallets")))
     else:
         marked = fundings.join(again.withColumnRenamed("wallet", "_w"), F.col("wallet").eqNullSafe(F.col("_w")), "left").withColumn("_again", F.coalesce("_again", F.lit(False)))
-        by_batch = _near(~F.col("_again"), marked, proximity, tolerance, least, first)
-        near = _near(F.col("_again"), marked, proximity, tolerance)
-        by_batch = by_batch.union(large(near.union(near.select("anchor", "anchor")), "anchor", False))
-    rows = [found.select(F.concat(F.lit(f"{kind}:"), F.col(key)).alias("cluster_key"), "wallet") for kind, key, found in (("funder", "funder", kinds["funder"]), ("tx", "tx", kinds["tx"]), ("batch", "anchor", by_batch))]
-    return rows[0].union(rows[1]).union(rows[2])
+        found.append(spread(keyed("batch", "anchor", _near(~F.col("_again"), marked, proximity, tolerance, least, first), "wallets")))
+        near = spread(_near(F.col("_again"), marked, proximity, tolerance))
+        found.append(keyed("batch", "anchor", large(near.union(near.select("anchor", "anchor")), "anchor", False), "wallet"))
+    return reduce(DataFrame.union, found)
 
 
 def cluster_concentration(members: DataFrame, holders: DataFrame) -> DataFrame:
